@@ -28,7 +28,7 @@ PAIRS = (
     ("utf-8", "cp1252", 1), ("utf-8", "latin-1", 1), ("utf-8", "cp1250", 1), ("utf-8", "cp437", 1), ("utf-8", "cp850", 1), ("utf-8", "mac_roman", 1), ("utf-8", "cp1254", 1),
     ("utf-8", "iso8859-2", 1), ("utf-8", "cp1251", 1), ("utf-8", "cp1257", 1), ("utf-8", "cp852", 1), ("utf-8", "iso8859-15", 1), ("utf-8", "cp1252", 2), ("utf-8", "latin-1", 2), ("utf-8", "cp1250", 2), ("utf-8", "cp1252", 3),
     ("cp1250", "cp1252", 1), ("cp1250", "latin-1", 1), ("iso8859-2", "latin-1", 1), ("iso8859-2", "cp1250", 1), ("cp1250", "iso8859-2", 1), ("iso8859-2", "cp1252", 1), ("cp1252", "cp1250", 1), ("latin-1", "iso8859-2", 1),
-    ("cp1252", "cp850", 1), ("cp1252", "cp437", 1), ("cp1252", "mac_roman", 1), ("mac_roman", "cp1252", 1), ("mac_roman", "latin-1", 1), ("cp850", "cp1252", 1), ("cp437", "cp1252", 1), ("cp852", "cp1252", 1), ("cp852", "cp1250", 1),
+    ("cp1252", "cp850", 1), ("cp1252", "cp437", 1), ("cp1252", "mac_roman", 1), ("mac_roman", "cp1252", 1), ("mac_roman", "latin-1", 1), 
     ("cp1250", "cp852", 1), ("cp1250", "cp437", 1), ("cp1250", "cp850", 1), ("cp1250", "mac_roman", 1), ("cp1252", "cp1251", 1), ("cp1250", "cp1251", 1), ("cp1252", "cp1257", 1), ("cp1250", "cp1257", 1),
 )
 STATES = ("clean", *(f"{w}>{r}" + (f"*{n}" if n > 1 else "") for w, r, n in PAIRS), "lost")
@@ -39,7 +39,7 @@ BEYOND = r"[^\x00-\x7f]|&#"
 REFERENCE = re.compile(r"&#(\d{3,7}|[xX][0-9a-fA-F]{2,6});")
 FLOOR = -80.0
 #: Prior chance that a text starts garbled, that a run is the first of a garbled span, and that a span ends at a run.
-P_START, P_ENTER, P_LEAVE = 1e-2, 1e-3, 5e-2
+P_START, P_ENTER, P_LEAVE = 3e-3, 1e-3, 5e-2
 
 _to_byte: dict[str, dict[str, int]] = {}
 
@@ -131,9 +131,13 @@ def count_bigrams(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class CleanModel:
-    """Interpolated bigram log-probabilities of non-ASCII runs in context."""
+    """Interpolated bigram log-probabilities of non-ASCII runs in context.
 
-    def __init__(self, grams: list[tuple[str, str, int]], weight: float = 2.0):
+    ``discount`` is taken off every count, so that what a damaged text alone contributes can't vouch for itself.
+    """
+
+    def __init__(self, grams: list[tuple[str, str, int]], weight: float = 2.0, discount: int = 2):
+        grams = [(p, c, n - discount) for p, c, n in grams if n > discount]
         self.pair = {(p, c): n for p, c, n in grams}
         self.left: Counter = Counter()
         ones = {True: Counter(), False: Counter()}
