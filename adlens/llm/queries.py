@@ -12,6 +12,7 @@ from adlens.llm.contamination import leaked
 from adlens.llm.lookalike import respelled
 from adlens.llm.mojibake import mojibake
 from adlens.llm.nearest import near_pairs, neighbours
+from adlens.llm.residue import residue
 from adlens.llm.simcluster import described, linked
 from adlens.session import table
 
@@ -51,12 +52,16 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return respelled(keyword_spellings(spark, root), table(spark, root, "keywords"))
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return residue(texts(spark, root)).select("src", "rec_id").distinct()
+
+
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return leaked(table(spark, root, "documents"), table(spark, root, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_texts": p3_texts, "p4_found": p4_found, "p9_found": p9_found,
+    "p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_texts": p3_texts, "p4_found": p4_found, "p5_found": p5_found, "p9_found": p9_found,
 }
 
 SQL: dict[str, str] = {}

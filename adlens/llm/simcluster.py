@@ -62,7 +62,7 @@ def _hoods(least: float):
 def affinities(rows: DataFrame, least: float, near: int = NEAR) -> DataFrame:
     """(hood, key, weight) over the distinct usable vectors ``rows``."""
     cells = fit_cells(rows)
-    found = placed(rows, cells, near).groupBy("space", "cell").applyInPandas(_hoods(least), "hood bigint, key bigint, weight double")
+    found = written(placed(rows, cells, near).groupBy("space", "cell").applyInPandas(_hoods(least), "hood bigint, key bigint, weight double"))
     # A hood whose members are all in one other hood as well adds nothing but rows; it is kept only once per member set.
     sets = found.groupBy("hood").agg(F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(20,0)")).alias("mark"), F.min("key").alias("least_key"))
     kept = sets.withColumn("r", F.row_number().over(Window.partitionBy("least_key", "n", "mark").orderBy("hood"))).filter(F.col("r") == 1).select("hood")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Most vectors that the cells are fitted on, and rows that a cell is home to while the sample allows.
-SAMPLE, HOME = 60_000, 64
+SAMPLE, HOME = 32_000, 64
 #: Rank of the error bound: a true inner product is outside with probability below exp(-EPS**2 / 2).
 EPS = 3.0
 
