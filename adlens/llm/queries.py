@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from adlens.llm.boilerplate import boilerplate
 from adlens.llm.common import texts
 from adlens.llm.contamination import leaked
 from adlens.llm.lookalike import respelled
@@ -56,12 +57,17 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return residue(texts(spark, root)).select("src", "rec_id").distinct()
 
 
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    rows = texts(spark, root)
+    return boilerplate(rows).join(residue(rows).select("src", "rec_id"), ["src", "rec_id"], "left_anti").distinct()
+
+
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return leaked(table(spark, root, "documents"), table(spark, root, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_texts": p3_texts, "p4_found": p4_found, "p5_found": p5_found, "p9_found": p9_found,
+    "p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_texts": p3_texts, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p9_found": p9_found,
 }
 
 SQL: dict[str, str] = {}
