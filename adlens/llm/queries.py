@@ -13,6 +13,7 @@ from adlens.llm.contamination import leaked
 from adlens.llm.lookalike import respelled
 from adlens.llm.mojibake import mojibake
 from adlens.llm.nearest import near_pairs, neighbours
+from adlens.llm.pii import personal_information, redacted
 from adlens.llm.residue import residue
 from adlens.llm.simcluster import described, linked
 from adlens.session import table
@@ -66,8 +67,16 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return leaked(table(spark, root, "documents"), table(spark, root, "benchmark"))
 
 
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return personal_information(table(spark, root, "documents")).select("doc_id", "pii_kind", "start_at").distinct()
+
+
+def p10_redacted(spark: SparkSession, root: str) -> DataFrame:
+    return redacted(table(spark, root, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_texts": p3_texts, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p9_found": p9_found,
+    "p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_texts": p3_texts, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found, "p10_redacted": p10_redacted,
 }
 
 SQL: dict[str, str] = {}
