@@ -49,8 +49,8 @@ def line_key(line: str) -> str:
     return _DIGITS.sub("0", low) if len(_WORD.findall(low)) >= 3 or "(" in low else low
 
 
-def common_lines(a: list[str], places: dict[str, list[int]]) -> list[int]:
-    """Positions in ``a`` of a longest common subsequence with the text whose keys stand at ``places`` (positions descending)."""
+def common_lines(a: list[str], places: dict[str, list[int]]) -> list[str]:
+    """Keys of a longest common subsequence of ``a`` and the text whose keys stand at ``places`` (positions descending)."""
     tails: list[int] = []
     ends: list[int] = []
     back: list[tuple[int, int]] = []
@@ -65,7 +65,7 @@ def common_lines(a: list[str], places: dict[str, list[int]]) -> list[int]:
                 tails[at], ends[at] = j, len(back) - 1
     out, k = [], ends[-1] if ends else -1
     while k >= 0:
-        out.append(back[k][0])
+        out.append(a[back[k][0]])
         k = back[k][1]
     return out
 
@@ -73,9 +73,9 @@ def common_lines(a: list[str], places: dict[str, list[int]]) -> list[int]:
 class Page:
     """Visible lines of a text with their keys."""
 
-    __slots__ = ("at", "boxes", "heads", "host", "keys", "lines", "name", "places", "rec_id", "src")
+    __slots__ = ("at", "boxes", "heads", "host", "keys", "lines", "name", "off", "places", "rec_id", "src")
 
-    def __init__(self, src: str, rec_id: int, host: str, name: str, text: str):
+    def __init__(self, src: str, rec_id: int, host: str, name: str, text: str, keys: dict[str, str]):
         self.src, self.rec_id, self.host, self.name = src, rec_id, host, name
         raw = text.split("\n")
         self.boxes = self.heads = None
@@ -96,7 +96,7 @@ class Page:
         else:
             self.at = [i for i, x in enumerate(raw) if x.strip()]
             self.lines = [raw[i].strip() for i in self.at]
-        self.keys = [line_key(x) for x in self.lines]
+        self.keys = [keys.get(x) or keys.setdefault(x, line_key(x)) if len(x) < 60 else line_key(x) for x in self.lines]
         self.places: dict[str, list[int]] = {}
         for j in range(len(self.keys) - 1, -1, -1):
             self.places.setdefault(self.keys[j], []).append(j)
@@ -121,13 +121,20 @@ class HostTemplates:
         self.lines: set[str] = set()
         self.parts: set[str] = set()
         self.leads: set[str] = set()
+        self.paths: dict[str, bool] = {}
 
     def compare(self, page: Page, other: Page) -> None:
+        """Count one pairing for both pages."""
         same = common_lines(page.keys, other.places)
         if len(same) >= 0.9 * min(len(page.keys), len(other.keys)):  # a copy or a version of the page
             return
-        self.met.update(set(page.keys))
-        self.aligned.update({page.keys[i] for i in same})
+        aligned = set(same)
+        for key in page.places:
+            self.met[key] += 1
+        for key in other.places:
+            self.met[key] += 1
+        for key in aligned:
+            self.aligned[key] += 2
 
     def settle(self) -> None:
         self.lines = {k for k, n in self.aligned.items() if n >= self.least_pairs and n >= self.least_share * self.met[k]}
@@ -153,8 +160,14 @@ class HostTemplates:
         self.leads = {k for k, n in led.items() if n >= 2 and n >= 0.6 * seen[k]}
 
     def is_path(self, line: str) -> bool:
-        parts = _PARTS.split(line)
-        return len(parts) >= 3 and sum(line_key(p) in self.parts for p in parts) >= min(2, len(parts) - 1)
+        if line[-1] in ".!?":
+            return False
+        known = self.paths.get(line)
+        if known is None:
+            parts = _PARTS.split(line)
+            known = len(parts) >= 3 and sum(line_key(p) in self.parts for p in parts) >= min(2, len(parts) - 1)
+            self.paths[line] = known
+        return known
 
     def start(self, page: Page) -> int:
         for i, (key, line) in enumerate(zip(page.keys, page.lines)):
@@ -182,7 +195,7 @@ class HostTemplates:
     def outside(self, page: Page, utility: set[str]) -> list[int]:
         """Positions of the lines outside the main body."""
         keys, lines = page.keys, page.lines
-        off = self.plain_off(page, utility)
+        off = page.off if utility.isdisjoint(page.places) else self.plain_off(page, utility)
         start = next((i for i, x in enumerate(off) if not x), len(off))
         led = [i for i in range(start + 1, len(keys)) if keys[i] in self.leads]
         for i in led:
@@ -221,28 +234,30 @@ def _chunk(pages: list[Page], neighbours: int, least_share: float) -> Iterator[t
         hosts[page.host].append(page)
     settled: list[tuple[HostTemplates, list[Page]]] = []
     known, total = Counter(), Counter()
+    none: set[str] = set()
     for host in hosts.values():
         names: dict[str, list[Page]] = {}
         for page in host:
             names.setdefault(page.name, []).append(page)
         order = list(names.values())
-        templates = HostTemplates(least_share, 2)
+        templates = HostTemplates(least_share, 4)
         for i, versions in enumerate(order):
-            near = [order[j][0] for j in range(max(0, i - neighbours), min(len(order), i + neighbours + 1)) if j != i]
-            for other in near:
-                templates.compare(versions[0], other)
+            for other in order[i + 1 : i + neighbours + 1]:
+                templates.compare(versions[0], other[0])
         templates.settle()
         templates.learn_parts(host)
         templates.learn_leads(host)
         settled.append((templates, host))
         for page in host:
             total.update(page.keys)
-            known.update(k for k, x in zip(page.keys, templates.plain_off(page, set())) if x)
+            page.off = templates.plain_off(page, none)
+            known.update(k for k, x in zip(page.keys, page.off) if x)
     # Lines that mostly are template lines where they occur are so on pages, too, that have no like neighbour.
     utility = {k for k, n in known.items() if n >= 3 and n >= 0.5 * total[k]}
     for templates, host in settled:
+        rare = utility - templates.lines
         for page in host:
-            for i in templates.outside(page, utility):
+            for i in templates.outside(page, rare):
                 yield page.src, page.rec_id, page.at[i]
 
 
@@ -256,16 +271,18 @@ def boilerplate(texts: DataFrame, neighbours: int = NEIGHBOURS, least_share: flo
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[Page] = []
+        keys: dict[str, str] = {}
 
         def flush() -> pd.DataFrame:
             return pd.DataFrame(list(_chunk(held, neighbours, least_share)), columns=["src", "rec_id", "line_no"])
 
         for batch in batches:
             for src, rec_id, text, host, page in zip(batch["src"], batch["rec_id"], batch["text"], batch["host"], batch["page"]):
-                held.append(Page(src, rec_id, host, page, text))
+                held.append(Page(src, rec_id, host, page, text, keys))
                 if len(held) >= CHUNK:
                     yield flush()
                     held.clear()
+                    keys.clear()
         yield flush()
 
     return ordered.mapInPandas(find, "src string, rec_id bigint, line_no int")

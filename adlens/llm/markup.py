@@ -14,13 +14,17 @@ def _blank(m: re.Match) -> str:
     return "\n" * m.group().count("\n")
 
 
+def _read(text: str) -> str:
+    return (_html.unescape(text) if "&" in text else text).replace("\xa0", " ").strip()
+
+
 def shown_text(line: str) -> str:
-    return _html.unescape(_TAG.sub("", line)).replace("\xa0", " ").strip()
+    return _read(_TAG.sub("", line))
 
 
 def shown_lines(page: str) -> list[str]:
     """For each line of ``page`` (split at newline characters) the text it shows, '' for none."""
-    return [shown_text(x) for x in _TAG.sub(lambda m: _blank(m), _HIDDEN.sub(_blank, page)).split("\n")]
+    return [_read(x) if x else x for x in _TAG.sub(_blank, _HIDDEN.sub(_blank, page)).split("\n")]
 
 
 def notice_lines(page: str) -> list[str]:
