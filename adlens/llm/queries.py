@@ -13,6 +13,7 @@ from adlens.llm.contamination import leaked
 from adlens.llm.lookalike import respelled
 from adlens.llm.mojibake import mojibake
 from adlens.llm.nearest import near_pairs, neighbours
+from adlens.llm.packing import fill_rates, packed
 from adlens.llm.pii import personal_information, redacted
 from adlens.llm.residue import residue
 from adlens.llm.simcluster import described, linked
@@ -63,6 +64,14 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return boilerplate(rows).join(residue(rows).select("src", "rec_id"), ["src", "rec_id"], "left_anti").distinct()
 
 
+def p8_packed(spark: SparkSession, root: str) -> DataFrame:
+    return packed(table(spark, root, "documents"), table(spark, root, "containers"))
+
+
+def p8_fill(spark: SparkSession, root: str) -> DataFrame:
+    return fill_rates(p8_packed(spark, root), table(spark, root, "containers"))
+
+
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return leaked(table(spark, root, "documents"), table(spark, root, "benchmark"))
 
@@ -76,7 +85,7 @@ def p10_redacted(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_texts": p3_texts, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found, "p10_redacted": p10_redacted,
+    "p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_texts": p3_texts, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found, "p10_redacted": p10_redacted,
 }
 
 SQL: dict[str, str] = {}
