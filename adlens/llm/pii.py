@@ -41,12 +41,16 @@ _HOUSE = r"\d{1,4}(?:[a-zA-Z](?![\w])| ?(?:bis|ter)\b)?"
 #: What may follow street and house: flat, postal code and place.
 _PLACE = re.compile(rf"(?:/\d+| (?:m\.|lok\.) ?\d+)?(?:(?:,| à| in) (?:(?:\d\d-\d{{3}}|\d{{5}}) )?{_W}(?:[ -]{_W})?(?: [A-Z]{{1,2}}\d\d? \d[A-Z]{{2}})?)?")
 ADDRESS = re.compile(
+    rf"(?<![\w])(?=[{_UP}0-9uaopUAOP])(?:"
     rf"(?P<pl>(?i:\b{STREET_BEFORE}) ?(?P<k1>{_W}(?: {_W}){{0,3}}) {_HOUSE}(?:/\d+)?)"
     rf"|(?P<en>(?:(?:Flat|Apt\.?|Unit|Suite) \w+, )?\b\d{{1,4}}[A-Z]? (?P<k2>{_W}(?: {_W}){{0,3}} {STREET_AFTER})(?![\w]))"
     rf"|(?P<de>\b(?P<k3>(?:{_W}[ -]){{0,2}}[{_UP}][{_LOW}{_UP}-]*{STREET_END}|(?:{_W}[ -]){{1,3}}(?i:straße|weg|allee|ring|gasse|platz)) {_HOUSE}(?![\w/]))"
     rf"|(?P<fr>\b\d{{1,4}}(?: ?(?:bis|ter|quater|[a-zA-Z]))?,? (?P<k4>(?i:{STREET_FRENCH}) (?:(?:de|du|des|la|le|les|l|d|de la)[ ’'])*(?:{_W}|d[’']{_W}|l[’']{_W})))"
-    rf"|(?P<bare>(?<![\w-])(?P<k5>{_W}(?: {_W}){{0,2}}) \d{{1,3}}[a-z]?(?:/\d{{1,3}})?(?![\w])|(?:(?:Flat|Apt\.?|Unit|Suite) \w+, )?(?<![\w.,/-])\d{{1,3}}[A-Z]? (?P<k6>{_W}(?: {_W}){{0,2}}) {_W})"
+    rf"|(?P<bare>(?<![\w-])(?P<k5>{_W}(?: {_W}){{0,2}}) \d{{1,3}}[a-z]?(?:/\d{{1,3}})?(?![\w])|(?:(?:Flat|Apt\.?|Unit|Suite) \w+, )?(?<![\w.,/-])\d{{1,3}}[A-Z]? (?P<k6>{_W}(?: {_W}){{0,2}}) {_W}))"
 )
+#: An address holds a number beside a capitalised word or a French street type.
+_NEAR_NUMBER = re.compile(rf"[{_UP}][{_UP}{_LOW}’'.-]+ \d{{1,4}}(?![\d.,]*\d)|(?<![\w.,/-])\d{{1,4}}(?: ?(?:bis|ter|quater)|[a-zA-Z])?,? (?:[{_UP}]|(?i:{STREET_FRENCH})\b)")
+_AT = re.compile(r"(?i)@|[\[(]at[\])]")
 _NAME_TOKEN = re.compile(rf"(?<![\w@#.&’'-])(?:[{_UP}]\.(?=[ ][{_UP}])|[{_UP}][{_LOW}]+(?:[’'-][{_UP}]?[{_LOW}]+)*|[{_UP}]{{2,}}(?:-[{_UP}]{{2,}})*)(?![\w@])")
 _CONTEXT = re.compile(r"\w+|[^\w ]")
 _PLAIN = str.maketrans("łŁøØđĐ", "lLoOdD")
@@ -79,10 +83,28 @@ def _pesel(value: str) -> bool:
     return (10 - sum(d * w for d, w in zip(digits, (1, 3, 7, 9) * 2 + (1, 3)))) % 10 == digits[10]
 
 
+def _addresses(text: str) -> Iterator[re.Match]:
+    """Address shapes, looked for in the lines around numbers that may be house numbers."""
+    done = 0
+    for hit in _NEAR_NUMBER.finditer(text):
+        if hit.end() <= done:
+            continue
+        start = max(done, text.rfind("\n", 0, hit.start()) + 1, hit.start() - 90)
+        if start and text[start - 1].isalnum():  # not into the middle of a word
+            start = text.find(" ", start) + 1 or start
+        end = text.find("\n", hit.end(), hit.end() + 120)
+        end = min(len(text), hit.end() + 120) if end < 0 else end
+        for m in ADDRESS.finditer(text, min(start, hit.start()), end):
+            yield m
+            done = m.end()
+            if done >= hit.end():
+                break
+
+
 def _mentions(text: str) -> list[tuple]:
     """(kind, start, end, instance, pattern, seed) of one text; kind 'number' is decided later."""
     out = []
-    emails = [(m.start(), m.end()) for m in EMAIL.finditer(text)] if "@" in text or "at" in text else []
+    emails = [(m.start(), m.end()) for m in EMAIL.finditer(text)] if _AT.search(text) else []
     out += [("email", a, b, "", "", 1) for a, b in emails]
     locals_ = [re.split(r"@|[\[(\s]", text[a:b].strip(), maxsplit=1)[0].lower() for a, b in emails]
     taken = list(emails)
@@ -90,7 +112,7 @@ def _mentions(text: str) -> list[tuple]:
     def free(a: int, b: int) -> bool:
         return all(b <= x or a >= y for x, y in taken)
 
-    for m in ADDRESS.finditer(text):
+    for m in _addresses(text):
         a, b = m.span()
         kind = m.lastgroup if m.lastgroup in ("pl", "en", "de", "fr", "bare") else next(k for k in ("pl", "en", "de", "fr", "bare") if m.group(k))
         b = _PLACE.match(text, b).end()
