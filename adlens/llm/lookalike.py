@@ -115,7 +115,8 @@ def canonical_forms(texts: DataFrame, reference: DataFrame) -> DataFrame:
     def convert(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = Lattice(grams.value)
         for part in parts:
-            yield part.assign(canonical=[lattice.canonical(t) for t in part["text"]])
+            own = {c: part[c].tolist() for c in ("src", "rec_id", "pos", "text")}
+            yield pd.DataFrame(own | {"canonical": [lattice.canonical(t) for t in own["text"]]})
 
     rows = texts.select("src", "rec_id", "pos", "text").filter(F.col("text").isNotNull())
     odd = rows.filter(F.col("text").rlike(UNUSUAL)).mapInPandas(convert, "src string, rec_id bigint, pos int, text string, canonical string")
