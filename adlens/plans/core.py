@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from adlens.plans import snapshots
+from adlens.plans import snapshots, terms
 
-MODULES = (snapshots,)
+MODULES = (terms, snapshots)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 SQL = {name: q for m in MODULES for name, q in m.SQL.items()}
