@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from adlens.plans import snapshots, terms
+from adlens.plans import groups, pages, snapshots, streams, terms
 
-MODULES = (terms, snapshots)
+MODULES = (terms, groups, pages, snapshots, streams)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 SQL = {name: q for m in MODULES for name, q in m.SQL.items()}

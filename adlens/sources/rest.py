@@ -16,22 +16,6 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 OK = 20000
 ENVELOPE = "struct<status_code:int,status_message:string,cost:double,tasks:array<struct<id:string,status_code:int,status_message:string,result:array<string>>>>"
 
-#: Endpoint name -> (path, whether the answer comes by a task that is polled).
-ENDPOINTS = {
-    "search_volume": ("keywords_data/google_ads/search_volume/live", False),
-    "keywords_for_site": ("keywords_data/google_ads/keywords_for_site/live", False),
-    "keywords_for_keywords": ("keywords_data/google_ads/keywords_for_keywords/live", False),
-    "ad_traffic_by_keywords": ("keywords_data/google_ads/ad_traffic_by_keywords/live", False),
-    "google_trends": ("keywords_data/google_trends/explore/live", False),
-    "keyword_ideas": ("dataforseo_labs/google/keyword_ideas/live", False),
-    "keyword_suggestions": ("dataforseo_labs/google/keyword_suggestions/live", False),
-    "keyword_difficulty": ("dataforseo_labs/google/bulk_keyword_difficulty/live", False),
-    "search_intent": ("dataforseo_labs/google/search_intent/live", False),
-    "serp": ("serp/google/organic/live/advanced", False),
-    "autocomplete": ("serp/google/autocomplete/live/advanced", False),
-}
-
-
 def flattened(answers: DataFrame, column: str = "body") -> DataFrame:
     """One row per result: the other columns, ok, error, task_id, result (JSON text). An answer without results is one row.
 
@@ -68,7 +52,11 @@ def location_options(value, language=None) -> dict:
 
 
 class RestSource(DataSource):
-    """``format("adlens_rest")``: options ``transport`` (module:function), ``endpoint`` or ``path``, ``payloads`` (JSON array)."""
+    """``format("adlens_rest")``: options ``transport`` (module:function), ``path``, ``payloads`` (JSON array), ``method``.
+
+    With option ``ready_path`` the request is a task: its answer names a task id, and ``ready_path`` + id is asked until its task
+    is ready or ``timeout`` seconds are over.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -98,6 +86,23 @@ class _RestReader(DataSourceReader):
 
         module, _, function = self.options["transport"].partition(":")
         transport = getattr(importlib.import_module(module), function)
-        path = self.options.get("path") or ENDPOINTS[self.options["endpoint"]][0]
+        path, ready = self.options["path"], self.options.get("ready_path")
         status, body = send(transport, self.options.get("method", "POST"), path, partition.payload)
+        if ready and status == 200:
+            status, body = await_task(transport, ready, body, float(self.options.get("timeout", "60")), float(self.options.get("interval", "2")))
         yield path, partition.payload, status, body
+
+
+def await_task(transport: Callable, ready_path: str, submitted: str, timeout: float, interval: float, sleep: Callable[[float], None] = time.sleep, now: Callable[[], float] = time.monotonic) -> tuple[int, str]:
+    """Ask for a submitted task until its status is ``OK``; after ``timeout`` the answer is 504 with the task's id."""
+    task = ((json.loads(submitted).get("tasks") or [{}])[0]).get("id")
+    if task is None:
+        return 502, submitted
+    end = now() + timeout
+    while True:
+        status, body = send(transport, "GET", f"{ready_path}{task}", "", sleep=sleep)
+        if status == 200 and ((json.loads(body).get("tasks") or [{}])[0]).get("status_code") == OK:
+            return status, body
+        if now() + interval > end:
+            return 504, json.dumps({"status_code": 504, "status_message": "task not ready", "tasks": [{"id": task}]})
+        sleep(interval)
