@@ -31,6 +31,8 @@ def moments(vectors: DataFrame, dim: int) -> tuple[int, np.ndarray, np.ndarray]:
 
     rows = vectors.filter(F.col("vec").isNotNull() & (F.size("vec") == dim)).select("vec").mapInPandas(partial, "n bigint, i int, v array<double>")
     total = rows.select("n", F.posexplode("v").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).toPandas().sort_values("k")
+    if not len(total):
+        return 0, np.zeros(dim), np.zeros((dim, dim))
     flat = total["x"].to_numpy()
     return int(total["n"].iloc[0]), flat[:dim], flat[dim:].reshape(dim, dim)
 
