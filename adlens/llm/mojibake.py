@@ -8,7 +8,7 @@ inverse. The clean model is a character bigram model counted over the whole corp
 which is well-formed in a multi-byte pair or U+FFFD. Viterbi labels the runs; each labelled span gets its state's inverse.
 
 Defined cases: null text is no case and gives no row; empty and pure ASCII texts are clean; repeated rows are judged
-each for itself; an empty table gives an empty result. Numeric references beyond ASCII are read as their characters. Restored text keeps lost characters as U+FFFD.
+each for itself; an empty table gives an empty result. A rare sign is known as clean once it stands in more texts than the model's discount. Numeric references beyond ASCII are read as their characters. Restored text keeps lost characters as U+FFFD.
 """
 
 from __future__ import annotations

@@ -189,4 +189,4 @@ def packed(documents: DataFrame, containers: DataFrame, path: str = TOKENIZER, p
 def fill_rates(packing: DataFrame, containers: DataFrame) -> DataFrame:
     """(container_kind, containers, tokens, filled): the filled part of all containers' capacity."""
     per = packing.groupBy("container_kind").agg(F.count_distinct("container_id").alias("containers"), F.sum("n_tokens").alias("tokens"))
-    return per.join(containers, "container_kind").select("container_kind", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("filled"))
+    return per.join(containers.select("container_kind", "capacity_tokens"), "container_kind").select("container_kind", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("filled"))
