@@ -51,7 +51,7 @@ ADDRESS = re.compile(
 #: An address holds a number beside a capitalised word or a French street type.
 _NEAR_NUMBER = re.compile(rf"[{_UP}][{_UP}{_LOW}’'.-]+ \d{{1,4}}(?![\d.,]*\d)|(?<![\w.,/-])\d{{1,4}}(?: ?(?:bis|ter|quater)|[a-zA-Z])?,? (?:[{_UP}]|(?i:{STREET_FRENCH})\b)")
 _AT = re.compile(r"(?i)@|[\[(]at[\])]")
-_NAME_TOKEN = re.compile(rf"(?<![\w@#.&’'-])(?:[{_UP}]\.(?=[ ][{_UP}])|[{_UP}][{_LOW}]+(?:[’'-][{_UP}]?[{_LOW}]+)*|[{_UP}]{{2,}}(?:-[{_UP}]{{2,}})*)(?![\w@])")
+_NAME_TOKEN = re.compile(rf"(?<![\w@#.&’'-])(?:(?:(?<=[\s=(:;])|(?<!.))[{_UP}]\.(?=[ ][{_UP}])|[{_UP}][{_LOW}]+(?:[’'-][{_UP}]?[{_LOW}]+)*|[{_UP}]{{2,}}(?:-[{_UP}]{{2,}})*)(?![\w@])")
 _CONTEXT = re.compile(r"\w+|[^\w ]")
 _PLAIN = str.maketrans("łŁøØđĐ", "lLoOdD")
 
@@ -129,7 +129,7 @@ def _mentions(text: str) -> list[tuple]:
             value, a, b = value[1:-1], a + 1, b - 1
         digits = sum(c.isdigit() for c in value)
         if 8 <= digits <= 16 and free(a, b):
-            phone = digits <= 15 and (value[0] == "+" and digits >= 9 or value.startswith("00") and digits >= 12)
+            phone = digits <= 15 and (value[0] == "+" and digits >= 9 or value.startswith("00") and digits >= 12 and len(value) > digits)
             out.append(("number", a, b, number_shape(value), left_of(text, a), 1 if phone else 2 if _is_identity(value) else 0))
     for m in CODE.finditer(text):
         if free(*m.span()):
