@@ -24,7 +24,10 @@ from pyspark.sql import functions as F
 from adlens.llm.vectors import OneBitCodes, decoded, fit_cells, placed, unit, usable
 from adlens.session import written
 
-NEAR, COLUMNS, TOLERANCE = 5, 4, 1e-3
+#: Cells a vector is placed in and rows a cell is home to: groups hold together by links near the threshold, so more and smaller cells
+#: than for the nearest vectors.
+NEAR, HOME = 7, 40
+COLUMNS, TOLERANCE = 4, 1e-3
 
 
 def _hoods(least: float):
@@ -61,7 +64,7 @@ def _hoods(least: float):
 
 def affinities(rows: DataFrame, least: float, near: int = NEAR) -> DataFrame:
     """(hood, key, weight) over the distinct usable vectors ``rows``."""
-    cells = fit_cells(rows)
+    cells = fit_cells(rows, HOME)
     found = written(placed(rows, cells, near).groupBy("space", "cell").applyInPandas(_hoods(least), "hood bigint, key bigint, weight double"))
     # A hood whose members are all in one other hood as well adds nothing but rows; it is kept only once per member set.
     sets = found.groupBy("hood").agg(F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(20,0)")).alias("mark"), F.min("key").alias("least_key"))

@@ -57,7 +57,7 @@ def kmeans_tree(x: np.ndarray, leaf: float, rng: np.random.Generator, branch: in
     return np.stack(out).astype(np.float32)
 
 
-def fit_cells(rows: DataFrame, seed: int = 7) -> dict[int, np.ndarray]:
+def fit_cells(rows: DataFrame, home: int = HOME, seed: int = 7) -> dict[int, np.ndarray]:
     """Cell centres of every space."""
     counts = {r["space"]: r["n"] for r in rows.groupBy("space").agg(F.approx_count_distinct("key").alias("n")).collect()}
     every = max(1, math.ceil(sum(counts.values()) / SAMPLE))
@@ -66,7 +66,7 @@ def fit_cells(rows: DataFrame, seed: int = 7) -> dict[int, np.ndarray]:
     for space in sorted(counts):
         own = sample[sample["space"] == space].sort_values("key")
         if len(own):
-            cells[space] = kmeans_tree(unit(own["vec"]).astype(np.float32), max(4, HOME / every), rng)
+            cells[space] = kmeans_tree(unit(own["vec"]).astype(np.float32), max(4, home / every), rng)
     return cells
 
 
