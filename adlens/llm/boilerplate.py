@@ -4,8 +4,8 @@ Pages of all sources are sorted by (host, path, url). Each page is paired with t
 their lines are aligned by longest common subsequence, and aligned lines are shared lines. Over the pages of a host each line
 gets its share, the part of its pairings in which it was aligned; lines from ``least_share`` are template lines. Around them
 lie lines that templates fill in: path lines made of template parts, and the entries below a lead-in (a template line that,
-after the start of the main body, is mostly followed by a title-like line that is no template line). Short lines among template lines at a page's ends go with them, and lines that mostly
-are template lines in their chunk count as such everywhere. In markup, whole blocks
+after the start of the main body, is mostly followed by a title-like line that is no template line). Short lines among template lines at a page's ends go with them, and short lines that
+mostly are template lines where they occur, over all hosts, count as such everywhere. In markup, whole blocks
 are decided: a block with headings or sentences of its own is main body, any other is not.
 
 Lines are compared by their ASCII letters in lower case, numbers as one symbol, so that garbled copies still align.
@@ -17,6 +17,7 @@ held in chunks of at most ``CHUNK`` rows of the sorted order, so a host of any s
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
@@ -28,9 +29,12 @@ from pyspark.sql import functions as F
 
 from adlens.llm.markup import shown_lines
 from adlens.operators.snapshot_diff import normal_url
+from adlens.session import written
 
 CHUNK = 4000
 NEIGHBOURS = 3
+#: Kinds of lines: template line, otherwise outside the main body, short line whose block is main body, short line without such evidence.
+TEMPLATE, OUTSIDE, DECIDED, OPEN = 3, 2, 1, 0
 _BEYOND = re.compile(r"[^\x00-\x7f]+")
 _DIGITS = re.compile(r"[0-9]+")
 _WORD = re.compile(r"[a-z]+")
@@ -49,6 +53,11 @@ def line_key(line: str) -> str:
     return _DIGITS.sub("0", low) if len(_WORD.findall(low)) >= 3 or "(" in low else low
 
 
+def line_hash(key: str) -> int:
+    """64 bits of a key, the same in every process."""
+    return int.from_bytes(hashlib.blake2b(key.encode(), digest_size=8).digest(), "little", signed=True)
+
+
 def common_lines(a: list[str], places: dict[str, list[int]]) -> list[str]:
     """Keys of a longest common subsequence of ``a`` and the text whose keys stand at ``places`` (positions descending)."""
     tails: list[int] = []
@@ -175,10 +184,10 @@ class HostTemplates:
                 return i
         return len(page.keys)
 
-    def plain_off(self, page: Page, utility: set[str]) -> list[bool]:
+    def plain_off(self, page: Page) -> list[bool]:
         """Template and path lines, and short lines that stand among them before or after the main body."""
         keys, lines = page.keys, page.lines
-        off = [k in self.lines or k in utility or self.is_path(x) for k, x in zip(keys, lines)]
+        off = [k in self.lines or self.is_path(x) for k, x in zip(keys, lines)]
         n = len(off)
         for i in range(min(n - 2, 6)):  # a title is not followed by template lines only
             if off[i]:
@@ -192,10 +201,10 @@ class HostTemplates:
                 off[i] = True
         return off
 
-    def outside(self, page: Page, utility: set[str]) -> list[int]:
+    def outside(self, page: Page) -> list[int]:
         """Positions of the lines outside the main body."""
         keys, lines = page.keys, page.lines
-        off = page.off if utility.isdisjoint(page.places) else self.plain_off(page, utility)
+        off = list(page.off)
         start = next((i for i, x in enumerate(off) if not x), len(off))
         led = [i for i in range(start + 1, len(keys)) if keys[i] in self.leads]
         for i in led:
@@ -211,13 +220,18 @@ class HostTemplates:
             off = self._by_box(page, off)
         return [i for i, x in enumerate(off) if x]
 
+    @staticmethod
+    def _is_list(page: Page, at: list[int], off: list[bool]) -> bool:
+        """A block of entries in lower case or with figures, none of them known, continues the main body."""
+        return not any(off[i] for i in at) and any(page.lines[i][0].islower() or page.lines[i][0].isdigit() for i in at)
+
     def _by_box(self, page: Page, off: list[bool]) -> list[bool]:
         boxes: dict[tuple[int, str], list[int]] = defaultdict(list)
         for i, box in enumerate(page.boxes):
             boxes[box].append(i)
         if len(boxes) < 2:
             return [x and not h for x, h in zip(off, page.heads)]
-        own = {b: any(page.heads[i] or (_sentence(page.lines[i]) and not off[i]) for i in at) for b, at in boxes.items()}
+        own = {b: any(page.heads[i] or (_sentence(page.lines[i]) and not off[i]) for i in at) or self._is_list(page, at, off) for b, at in boxes.items()}
         titled = {b[1] for b, main in own.items() if main and any(page.heads[i] for i in boxes[b])}
         other = {b[1] for b, main in own.items() if not main and all(off[i] for i in boxes[b])}
         out = list(off)
@@ -228,13 +242,10 @@ class HostTemplates:
         return out
 
 
-def _chunk(pages: list[Page], neighbours: int, least_share: float) -> Iterator[tuple[str, int, int]]:
+def _chunk(pages: list[Page], neighbours: int, least_share: float) -> Iterator[tuple[str, int, int, int, int]]:
     hosts: dict[str, list[Page]] = defaultdict(list)
     for page in pages:
         hosts[page.host].append(page)
-    settled: list[tuple[HostTemplates, list[Page]]] = []
-    known, total = Counter(), Counter()
-    none: set[str] = set()
     for host in hosts.values():
         names: dict[str, list[Page]] = {}
         for page in host:
@@ -247,18 +258,18 @@ def _chunk(pages: list[Page], neighbours: int, least_share: float) -> Iterator[t
         templates.settle()
         templates.learn_parts(host)
         templates.learn_leads(host)
-        settled.append((templates, host))
-        for page in host:
-            total.update(page.keys)
-            page.off = templates.plain_off(page, none)
-            known.update(k for k, x in zip(page.keys, page.off) if x)
-    # Lines that mostly are template lines where they occur are so on pages, too, that have no like neighbour.
-    utility = {k for k, n in known.items() if n >= 3 and n >= 0.5 * total[k]}
-    for templates, host in settled:
-        rare = utility - templates.lines
         for page in host:
-            for i in templates.outside(page, rare):
-                yield page.src, page.rec_id, page.at[i]
+            page.off = templates.plain_off(page)
+            known = [i for i, x in enumerate(page.off) if x]
+            outside = templates.outside(page)
+            boxed = page.boxes is not None and len(set(page.boxes)) > 1
+            certain = set(known)
+            for i in outside:
+                yield page.src, page.rec_id, page.at[i], line_hash(page.keys[i]), TEMPLATE if i in certain else OUTSIDE
+            inside = set(outside)
+            for i, line in enumerate(page.lines):
+                if i not in inside and not _sentence(line):
+                    yield page.src, page.rec_id, page.at[i], line_hash(page.keys[i]), DECIDED if boxed else OPEN
 
 
 def boilerplate(texts: DataFrame, neighbours: int = NEIGHBOURS, least_share: float = 0.25) -> DataFrame:
@@ -274,7 +285,7 @@ def boilerplate(texts: DataFrame, neighbours: int = NEIGHBOURS, least_share: flo
         keys: dict[str, str] = {}
 
         def flush() -> pd.DataFrame:
-            return pd.DataFrame(list(_chunk(held, neighbours, least_share)), columns=["src", "rec_id", "line_no"])
+            return pd.DataFrame(list(_chunk(held, neighbours, least_share)), columns=["src", "rec_id", "line_no", "key", "kind"])
 
         for batch in batches:
             for src, rec_id, text, host, page in zip(batch["src"], batch["rec_id"], batch["text"], batch["host"], batch["page"]):
@@ -285,4 +296,8 @@ def boilerplate(texts: DataFrame, neighbours: int = NEIGHBOURS, least_share: flo
                     keys.clear()
         yield flush()
 
-    return ordered.mapInPandas(find, "src string, rec_id bigint, line_no int")
+    lines = written(ordered.mapInPandas(find, "src string, rec_id bigint, line_no int, key bigint, kind tinyint"))
+    # Lines that mostly are template lines where they occur are so on pages, too, whose neighbours lack them.
+    usual = lines.groupBy("key").agg(F.count_if(F.col("kind") == TEMPLATE).alias("known"), F.count("*").alias("n")).filter((F.col("known") >= 3) & (F.col("known") >= 0.5 * F.col("n"))).select("key")
+    out = lines.filter(F.col("kind").isin(TEMPLATE, OUTSIDE)).unionByName(lines.filter(F.col("kind") == OPEN).join(usual, "key", "left_semi").select(*lines.columns))
+    return out.select("src", "rec_id", "line_no")
