@@ -23,7 +23,7 @@ def _search(least: float, k: int):
         part = part.drop_duplicates("key")
         keys, out = part["key"].to_numpy(), []
         if len(keys) > 1:
-            for i, j, s in OneBitCodes(decoded(part["code"].tolist())).near_pairs(least, k):
+            for i, j, s in OneBitCodes(decoded(part["code"].tolist())).nearest(least, k):
                 order = np.lexsort((keys[j], -s, i))
                 i, j, s = i[order], j[order], s[order]
                 first = np.r_[True, i[1:] != i[:-1]] if len(i) else np.zeros(0, bool)

@@ -5,8 +5,8 @@ cell of the index the linked vectors form neighbourhoods (a neighbourhood has an
 group of m vectors costs m rows and not m**2. The degree-normalised affinity passes values from vectors to their
 neighbourhoods and back. Several start vectors, drawn from key hashes, are iterated together as columns of one distributed
 table; on every connected group they tend to the group's own weighted means, which differ from group to group. k-means on
-this embedding starts from its occupied cells (side ``tolerance``), so that k need not be known; with four columns two groups
-share a cell with a chance of about (number of groups)**2 * tolerance**4. A check against the affinities follows: as long as
+this embedding starts from its occupied cells (side ``tolerance``), so that k need not be known; with five columns two groups
+share a cell with a chance of about (number of groups)**2 * tolerance**5. A check against the affinities follows: as long as
 a neighbourhood lies in two clusters, these are merged. Members are ranked by internal affinity, the sum of their cosines with
 all members, which equals the product with the sum of the members' unit vectors.
 
@@ -24,10 +24,18 @@ from pyspark.sql import functions as F
 from adlens.llm.vectors import OneBitCodes, decoded, fit_cells, placed, unit, usable
 from adlens.session import written
 
-#: Cells a vector is placed in and rows a cell is home to: groups hold together by links near the threshold, so more and smaller cells
-#: than for the nearest vectors.
-NEAR, HOME = 7, 40
-COLUMNS, TOLERANCE = 4, 1e-3
+#: Cells a vector is placed in and rows a cell is home to: groups hold together by links near the threshold, so in more cells than
+#: for the nearest vectors.
+NEAR, HOME = 7, 64
+COLUMNS, TOLERANCE = 5, 1e-3
+
+
+def _mixed(keys: np.ndarray) -> np.ndarray:
+    """64-bit integers spread evenly."""
+    z = keys.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
 
 def _hoods(least: float):
@@ -39,7 +47,7 @@ def _hoods(least: float):
         none = pd.DataFrame({"hood": [], "key": [], "weight": []})
         if len(keys) < 2:
             return none
-        links = [x for x in OneBitCodes(decoded(part["code"].tolist())).near_pairs(least, None) if len(x[0])]
+        links = [x for x in OneBitCodes(decoded(part["code"].tolist())).near_pairs(least) if len(x[0])]
         if not links:
             return none
         i, j, s = (np.concatenate(x) for x in zip(*links))
@@ -52,12 +60,16 @@ def _hoods(least: float):
             if (low == label).all():
                 break
             label = low
-        degree = np.bincount(i, minlength=len(keys))
+        ends, both = np.concatenate([i, j]), np.concatenate([s, s])
+        degree = np.bincount(ends, minlength=len(keys))
         linked = degree > 0
-        weight = np.bincount(i, s, minlength=len(keys))[linked] / degree[linked]
-        # The smallest member's key, mixed with the cell, names the neighbourhood.
-        name = keys[label[linked]] ^ np.int64((int(part["cell"].iloc[0]) + 1) * 0x9E3779B97F4A7C15 % 2**63)
-        return pd.DataFrame({"hood": name, "key": keys[linked], "weight": weight})
+        weight = np.bincount(ends, both, minlength=len(keys))[linked] / degree[linked]
+        # The set of members names the neighbourhood, so equal ones of different cells are one.
+        group = np.unique(label[linked], return_inverse=True)[1]
+        mixed = _mixed(keys[linked])
+        name = np.zeros(group.max() + 1, np.uint64)
+        np.add.at(name, group, mixed)
+        return pd.DataFrame({"hood": _mixed(name.view(np.int64)).view(np.int64)[group], "key": keys[linked], "weight": weight})
 
     return hoods
 
@@ -65,11 +77,18 @@ def _hoods(least: float):
 def affinities(rows: DataFrame, least: float, near: int = NEAR) -> DataFrame:
     """(hood, key, weight) over the distinct usable vectors ``rows``."""
     cells = fit_cells(rows, HOME)
-    found = written(placed(rows, cells, near).groupBy("space", "cell").applyInPandas(_hoods(least), "hood bigint, key bigint, weight double"))
-    # A hood whose members are all in one other hood as well adds nothing but rows; it is kept only once per member set.
-    sets = found.groupBy("hood").agg(F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(20,0)")).alias("mark"), F.min("key").alias("least_key"))
-    kept = sets.withColumn("r", F.row_number().over(Window.partitionBy("least_key", "n", "mark").orderBy("hood"))).filter(F.col("r") == 1).select("hood")
-    return found.join(kept, "hood", "left_semi")
+    found = placed(rows, cells, near).groupBy("space", "cell").applyInPandas(_hoods(least), "hood bigint, key bigint, weight double")
+    return _maximal(written(found.groupBy("hood", "key").agg(F.max("weight").alias("weight"))))
+
+
+def _maximal(hoods: DataFrame) -> DataFrame:
+    """Without neighbourhoods that lie wholly in another one: these hold nothing together that the other does not."""
+    sizes = hoods.groupBy("hood").agg(F.count("*").cast("int").alias("n"))
+    largest = hoods.select("hood", "key").join(sizes, "hood").groupBy("key").agg(F.max(F.struct("n", "hood")).alias("best"))
+    ends = hoods.select("hood", "key").join(largest.select("key", F.col("best.hood").alias("best")), "key").groupBy("hood").agg(F.min("best").alias("low"), F.max("best").alias("high"))
+    # If all members share one largest neighbourhood, they all lie in it.
+    kept = ends.filter((F.col("low") != F.col("high")) | (F.col("low") == F.col("hood"))).select("hood")
+    return hoods.join(kept, "hood", "left_semi")
 
 
 def _means(values: DataFrame, by: str, columns: list[str]) -> DataFrame:
@@ -82,8 +101,8 @@ def power_iteration(hoods: DataFrame, rounds: int, columns: int = COLUMNS) -> Da
     names = [f"v{i}" for i in range(columns)]
     values = hoods.select("key").distinct().select("key", *[((F.xxhash64("key", F.lit(i)) % 1_000_003) / 1_000_003.0).alias(c) for i, c in enumerate(names)])
     for _ in range(rounds):
-        by_hood = _means(hoods.join(values, "key"), "hood", names)
-        values = written(_means(hoods.join(by_hood, "hood"), "key", names))
+        means = _means(hoods.join(values, "key"), "hood", names)
+        values = written(_means(hoods.join(means, "hood"), "key", names))
     return values
 
 
@@ -103,7 +122,7 @@ def _merged(hoods: DataFrame, labels: DataFrame) -> DataFrame:
         roots = next_roots
 
 
-def spectral_labels(hoods: DataFrame, rounds: int = 8, tolerance: float = TOLERANCE) -> DataFrame:
+def spectral_labels(hoods: DataFrame, rounds: int = 6, tolerance: float = TOLERANCE) -> DataFrame:
     """(key, label) of every vector in a group of two or more."""
     values = power_iteration(hoods, rounds)
     names = [c for c in values.columns if c != "key"]

@@ -127,23 +127,46 @@ class OneBitCodes:
         self.own = rest @ self.centre
         self.base = float(self.centre @ self.centre)
 
-    def bounds(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of the inner products of rows a..b with all rows."""
-        dots = np.zeros((b - a, len(self.x)), np.int32)
+    def bounds(self, a: int, b: int, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of the inner products of rows a..b with the rows from ``first`` on."""
+        bits = self.bits[first:]
+        dots = np.zeros((b - a, len(bits)), np.int32)
+        wide = np.uint8 if self.d < 256 else np.uint16  # so many bits one sum can hold
         for j, plane in enumerate(self.planes):
-            for w in range(plane.shape[1]):
-                dots += np.bitwise_count(plane[a:b, w, None] & self.bits[None, :, w]).astype(np.int32) << j
+            count = np.bitwise_count(plane[a:b, 0, None] & bits[None, :, 0]).astype(wide, copy=False)
+            for w in range(1, plane.shape[1]):
+                count += np.bitwise_count(plane[a:b, w, None] & bits[None, :, w])
+            dots += np.multiply(count, 1 << j, dtype=np.int32)
         root = math.sqrt(self.d)
-        low, step = self.low[a:b, None], self.step[a:b, None]
-        est = (2 * step * dots + 2 * low * self.ones - step * self.level_sum[a:b, None]) / root - root * low
-        scale = self.length[a:b, None] * self.length
+        low, step, align = self.low[a:b, None], self.step[a:b, None], self.align[first:]
+        est = (2 * step * dots + 2 * low * self.ones[first:] - step * self.level_sum[a:b, None]) / root - root * low
+        scale = self.length[a:b, None] * self.length[first:]
         # Rounding a query to 4 bits moves it by half a step in every direction at most: on average step / sqrt(12).
-        slack = self.error + EPS * step / math.sqrt(12) / self.align
-        middle = self.base + self.own[a:b, None] + self.own + scale * (est / self.align)
-        return middle - scale * slack, middle + scale * slack
+        slack = scale * (self.error[first:] + EPS * step / math.sqrt(12) / align)
+        middle = self.base + self.own[a:b, None] + self.own[first:] + scale * (est / align)
+        return middle - slack, middle + slack
+
+    def _exact(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.empty(len(i))
+        for s in range(0, len(i), 100_000):
+            out[s : s + 100_000] = np.einsum("ij,ij->i", self.x[i[s : s + 100_000]], self.x[j[s : s + 100_000]])
+        return out
+
+    def near_pairs(self, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Blocks of (i, j, exact product), i < j, of all pairs with products from ``least`` that the bounds leave."""
+        n = len(self.x)
+        block = max(8, min(512, 2_000_000 // n))
+        for a in range(0, n, block):
+            b = min(n, a + block)
+            _, upper = self.bounds(a, b, a)
+            i, j = np.nonzero(upper >= least)
+            i, j = i[i < j] + a, j[i < j] + a
+            exact = self._exact(i, j)
+            fine = exact >= least
+            yield i[fine], j[fine], exact[fine]
 
-    def near_pairs(self, least: float, top: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Blocks of (i, j, exact product) that may hold the ``top`` best (all, if None) of every row with products from ``least``."""
+    def nearest(self, least: float, top: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Blocks of (i, j, exact product) that hold the ``top`` best of every row with products from ``least``."""
         n = len(self.x)
         block = max(8, min(512, 2_000_000 // n))
         for a in range(0, n, block):
@@ -152,14 +175,13 @@ class OneBitCodes:
             mine = np.arange(a, b)
             lower[mine - a, mine] = upper[mine - a, mine] = -2
             keep = upper >= least
-            if top is not None and n > top + 1:
+            if n > top + 1:
                 keep &= upper >= -np.partition(-lower, top - 1, axis=1)[:, top - 1 : top]
             i, j = np.nonzero(keep)
-            exact = np.empty(len(i))
-            for s in range(0, len(i), 100_000):
-                exact[s : s + 100_000] = np.einsum("ij,ij->i", self.x[i[s : s + 100_000] + a], self.x[j[s : s + 100_000]])
+            i += a
+            exact = self._exact(i, j)
             fine = exact >= least
-            yield i[fine] + a, j[fine], exact[fine]
+            yield i[fine], j[fine], exact[fine]
 
 
 def decoded(codes) -> np.ndarray:
