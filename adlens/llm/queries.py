@@ -88,4 +88,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_texts": p3_texts, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found, "p10_redacted": p10_redacted,
 }
 
-SQL: dict[str, str] = {}
+_USABLE = """u AS (SELECT vec_id, text, hash(coalesce(provider, ''), coalesce(model, ''), coalesce(req_dim, -1)) AS space, CAST(vec AS DOUBLE[]) AS v FROM emb
+ WHERE vec IS NOT NULL AND len(vec) = dim AND len(list_filter(vec, lambda x: isnan(x))) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0)"""
+
+SQL: dict[str, str] = {
+    "p2_found": f"""WITH RECURSIVE {_USABLE},
+e AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.space = b.space AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT min(b) AS root_id, a AS vec_id FROM r GROUP BY a HAVING min(b) < a""",
+    "p3_found": f"""WITH {_USABLE},
+s AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.space = b.space AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(c, 6) DESC, b) AS r FROM s WHERE c >= 0.8)
+SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM k WHERE r <= 5""",
+    "p9_found": r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL),
+dw AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 12), ' ') AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+bw AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 12), ' ') AS p FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS i FROM b))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN bw USING (p)""",
+}
