@@ -272,6 +272,15 @@ def product_view(blocks: list[str]) -> dict:
     return {"errors": errors, "types": list(types), "found": True, "missing": missing, "advised": advised}
 
 
+# The known states of availability, without their prefix.
+AVAILABILITY = ("instock", "outofstock", "preorder", "backorder", "discontinued", "instoreonly", "limitedavailability", "onlineonly", "soldout")
+
+
+def known_availability(value: Column) -> Column:
+    """Whether a state of availability, given by name or url, is known."""
+    return F.coalesce(F.lower(F.trim(F.element_at(F.split(value, "/"), -1))).isin(*AVAILABILITY), F.lit(False))
+
+
 VIEWS = {
     "content": "struct<title:string,description:string,h1:array<string>,h2:array<string>,h3:array<string>,text:string,words:int>",
     "audit": "struct<lang:string,title:string,description:string,robots:string,viewport:boolean,canonical:string,h1:array<string>,h2:array<string>,images:int,images_no_alt:int,ld_blocks:array<string>,words:int,ld_types:array<string>,ctas:int,cta_words:array<string>,cta_samples:array<string>>",

@@ -6,12 +6,14 @@ member has the metric; ties go to the smaller kw_id, for labels to the alphabeti
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from adlens.functions.text import keyword_tokens, ngrams
 from adlens.operators.graph import components, ranked_components
-from adlens.operators.similarity import blocked_links, lexical_ratio, set_links, token_sets, token_sort_ratio
+from adlens.operators.similarity import blocked_links, blocked_vector_links, lexical_ratio, set_links, token_sets, token_sort_ratio
 from adlens.session import written
 
 #: Default least similarity of each method.
@@ -44,6 +46,25 @@ def cluster_ids(keywords: DataFrame, method: str = "tokens", least: float | None
     return ranked_components(written(labels), "kw_id")
 
 
+def vector_clusters(vectors: DataFrame, least: float = 0.8, min_size: int = 1) -> tuple[DataFrame, DataFrame]:
+    """((id, root, component), noise (id)) of connected groups of vectors (id, vec) with a cosine of at least ``least``.
+
+    Components are numbered over the groups of at least ``min_size``; ids of smaller ones and of unusable vectors are noise.
+    """
+    ids = vectors.select("id").distinct()
+    found = components(blocked_vector_links(vectors, least).select("a", "b"))
+    labels = written(ids.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root")))
+    large = labels.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") >= min_size).select("root")
+    kept = ranked_components(written(labels.join(large, "root", "left_semi")), "id")
+    return kept, labels.join(large, "root", "left_anti").select("id")
+
+
+@F.pandas_udf(T.StringType())
+def title_case(text: pd.Series) -> pd.Series:
+    """Every run of letters with a capital first letter and the rest small."""
+    return pd.Series([None if t is None else t.title() for t in text], dtype=object)
+
+
 def rollup(members: DataFrame) -> DataFrame:
     """One row per cluster of (cluster, kw_id, text, avg_monthly_searches, cpc_low, cpc_high, competition)."""
     v = F.col("avg_monthly_searches")

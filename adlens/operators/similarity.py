@@ -12,8 +12,9 @@ linked to each other.
 from __future__ import annotations
 
 import difflib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,6 +122,39 @@ def blocked_links(texts: DataFrame, measure: Callable[[str, str], float], least:
     return sent.groupBy("x", "y").applyInPandas(compare, "a bigint, b bigint, score double")
 
 
+def blocked_vector_links(vectors: DataFrame, least: float, block: int = 2000) -> DataFrame:
+    """(a, b, score), a < b: all pairs of (id, vec) of one length with a cosine of at least ``least``, by products of blocks.
+
+    Vectors with nulls, NaN or zeros only are left out. Every pair of blocks is one task; for large tables search an index instead.
+    """
+    fine = F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x)) & F.exists("vec", lambda x: x != 0)
+    rows = written(vectors.filter(fine).select("id", "vec"))
+    blocks = max(1, -(-rows.count() // block))
+    numbered = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    sent = numbered.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "id", "vec")
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        x, y = int(part["x"].iloc[0]), int(part["y"].iloc[0])
+        out = []
+        for _, own in part.groupby(part["vec"].str.len()):
+            sides = []
+            for b in (x, y):
+                side = own[own["block"] == b]
+                if len(side):
+                    m = np.stack(side["vec"]).astype(float)
+                    sides.append((side["id"].to_numpy(), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)))
+            if len(sides) == 2:
+                (ia, ma), (ib, mb) = sides
+                score = ma @ mb.T
+                i, j = np.nonzero(score >= least)
+                a, b = ia[i], ib[j]
+                keep = (a < b) if x == y else a != b
+                out.append(pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "score": score[i, j][keep]}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "score": []})
+
+    return sent.groupBy("x", "y").applyInPandas(compare, "a bigint, b bigint, score double")
+
+
 def _bag(text: str) -> dict[str, int]:
     out: dict[str, int] = {}
     for c in text:

@@ -14,11 +14,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from adlens.sources.pages import domain_slug
 
-def flagged(versions: DataFrame, tie: str = "snap_id") -> DataFrame:
-    """``versions`` (url, fetched_at, text, tie) with hash, previous hash and time, and ``changed`` (null on the first)."""
+
+def flagged(versions: DataFrame, tie: str = "snap_id", scope: str = "url") -> DataFrame:
+    """``versions`` (url, fetched_at, text, tie) with hash, previous version and ``changed`` (null on the first).
+
+    ``scope`` says what a version is compared with: the one before of its ``url`` or of its whole ``domain``.
+    """
+    if scope not in ("url", "domain"):
+        raise ValueError(f"unknown scope: {scope}")
     rows = versions.filter("text IS NOT NULL AND url IS NOT NULL").select(tie, "url", "fetched_at", F.sha2("text", 256).alias("text_hash"))
-    order = Window.partitionBy("url").orderBy("fetched_at", tie)
+    order = Window.partitionBy("url" if scope == "url" else domain_slug(F.col("url"))).orderBy("fetched_at", tie)
     before = F.lag("text_hash").over(order)
     return rows.select("*", F.lag(tie).over(order).alias("previous"), (before != F.col("text_hash")).alias("changed"))
 

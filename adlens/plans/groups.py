@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adlens.functions.text import keyword_tokens
-from adlens.operators.keyword_clusters import cluster_ids, distinct_labels, labels, medoids, rollup
-from adlens.operators.similarity import token_links
+from adlens.operators.keyword_clusters import cluster_ids, distinct_labels, labels, medoids, rollup, title_case, vector_clusters
+from adlens.operators.similarity import blocked_vector_links, token_links
 from adlens.operators.whitening import whitened
 from adlens.session import table
 from adlens.sources.caches import alive, newest, request_key, split_requests, statistics
@@ -69,6 +69,24 @@ def k13_medoids(spark: SparkSession, root: str) -> DataFrame:
     return medoids(table(spark, root, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("vec")))
 
 
+def k5_titles(spark: SparkSession, root: str) -> DataFrame:
+    return labels(_heads(spark, root)).select("cluster", title_case(F.col("label")).alias("title"))
+
+
+def g2_vector_groups(spark: SparkSession, root: str) -> DataFrame:
+    """Groups of embeddings with a cosine of 0.5 and more."""
+    rows = table(spark, root, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return vector_clusters(rows, 0.5)[0].select("id", "root")
+
+
+def j5_vector_links(spark: SparkSession, root: str) -> DataFrame:
+    """For each embedding the number of others with a cosine of 0.5 and more."""
+    rows = table(spark, root, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    links = blocked_vector_links(rows, 0.5)
+    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
+    return rows.select("id").join(ends.groupBy("id").agg(F.count("*").alias("links")), "id", "left").select("id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def f13_whitened(spark: SparkSession, root: str) -> DataFrame:
     return whitened(table(spark, root, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), 64)
 
@@ -104,7 +122,7 @@ def x3_distinct_in_order(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     "k1_rollup": k1_rollup, "k5_labels": k5_labels, "k6_distinct_labels": k6_distinct_labels, "min_cluster_size": p7_min_size, "o4_by_volume": o4_by_volume, "k12_card": k12_card, "x1_links": x1_links, "g1_components": g1_components,
-    "g3_token_groups": g3_semantic_rollup, "k13_medoids": k13_medoids, "f13_whitened": f13_whitened, "s8_cache_statistics": s8_cache_statistics, "s9_alive": s9_alive, "s9_keys": s9_keys, "j12_hits": j12_hits, "j12_misses": j12_misses, "x3_distinct_in_order": x3_distinct_in_order,
+    "g3_token_groups": g3_semantic_rollup, "k13_medoids": k13_medoids, "f13_whitened": f13_whitened, "k5_titles": k5_titles, "g2_vector_groups": g2_vector_groups, "j5_vector_links": j5_vector_links, "s8_cache_statistics": s8_cache_statistics, "s9_alive": s9_alive, "s9_keys": s9_keys, "j12_hits": j12_hits, "j12_misses": j12_misses, "x3_distinct_in_order": x3_distinct_in_order,
 }
 
 _TOKS = r"regexp_extract_all(trim(regexp_replace(strip_accents(translate(lower(coalesce(text, '')), 'łđø', 'ldo')), '\s+', ' ', 'g')), '[\p{L}\p{N}]+')"
@@ -137,6 +155,8 @@ SELECT kw_id, coalesce(links, 0) AS links FROM m LEFT JOIN q ON kw_id = x""",
     "k13_medoids": """WITH e AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), x AS (SELECT label, vec_id, unnest(range(1, 65)) AS i, unnest(v) AS x FROM e),
 m AS (SELECT label, i, avg(x) AS m FROM x GROUP BY ALL), d AS (SELECT label, vec_id, round(sum((x.x - m.m) * (x.x - m.m)), 9) AS gap FROM x JOIN m USING (label, i) GROUP BY ALL)
 SELECT label, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY gap, vec_id) AS r FROM d) WHERE r = 1""",
+    "j5_vector_links": """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+SELECT a.id, count(b.id) AS links FROM v a LEFT JOIN v b ON a.id <> b.id AND list_cosine_similarity(a.e, b.e) >= 0.5 GROUP BY a.id""",
     "s8_cache_statistics": "SELECT provider, model, dim, count(*) AS n FROM emb GROUP BY ALL",
     "s9_alive": """WITH n AS (SELECT *, row_number() OVER (PARTITION BY provider, model, req_dim, text ORDER BY cached_at DESC, vec_id DESC) AS r FROM emb WHERE text IS NOT NULL AND cached_at IS NOT NULL)
 SELECT text, vec_id FROM n WHERE r = 1 AND epoch_us(TIMESTAMP '2024-06-01 00:00:00') - epoch_us(cached_at) <= 30::BIGINT * 86400 * 1000000""",

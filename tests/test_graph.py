@@ -2,13 +2,17 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from pyspark.sql import functions as F
 
 from adlens.operators.graph import components, crawl, ranked_components, redirect_chains
-from adlens.operators.keyword_clusters import cluster_ids, distinct_labels, labels, rollup
+from adlens.operators.keyword_clusters import cluster_ids, distinct_labels, labels, rollup, title_case, vector_clusters
 from adlens.operators.similarity import blocked_links, cosine, lexical_ratio, token_links, token_sort_ratio
 from adlens.operators.whitening import whitened
 from adlens.sources.caches import alive, newest, split_requests
+from adlens.sources.embeddings import embedded, load_background, model_slug
 
 
 def brute(edges):
@@ -134,3 +138,30 @@ def test_cosine_and_whitening(spark):
     assert len(out) == 3 and all(abs(sum(x * x for x in r["vec"]) - 1) < 1e-9 for r in out)
     assert whitened(df.filter("id = 0"), 3).first()["vec"] == [1.0, 0.0, 0.0]
     assert whitened(df.limit(0), 3).count() == 0
+
+
+def test_vector_clusters(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, [0.0, 1.0]), (4, None), (5, [float("nan"), 1.0]), (6, [0.0, 0.0]), (7, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    groups, noise = vector_clusters(df, 0.9, 2)
+    assert {r["id"]: (r["root"], r["component"]) for r in groups.collect()} == {1: (1, 0), 2: (1, 0)}
+    assert {r["id"] for r in noise.collect()} == {3, 4, 5, 6, 7}
+
+
+def test_embedding_cache(spark, tmp_path):
+    texts = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "text string")
+    cache = spark.createDataFrame([("a", [9.0], "2024-01-01", 1), ("a", [8.0], "2024-01-02", 2)], "text string, vec array<float>, cached_at string, vec_id long")
+    full, fresh = embedded(texts, cache, lambda batch: [[float(len(t))] for t in batch])
+    assert {r["text"]: r["vec"] for r in full.collect()} == {"a": [8.0], "b": [1.0]} and fresh.count() == 1
+    with pytest.raises(Exception, match="without a vector"):
+        embedded(texts, cache.limit(0), lambda batch: [])[0].collect()
+    np.save(tmp_path / "mean_m_2.npy", np.zeros(2))
+    assert load_background(str(tmp_path), "m", 2) is None
+    np.save(tmp_path / "matrix_m_2.npy", np.eye(2))
+    assert load_background(str(tmp_path), "m", 2)[1].shape == (2, 2)
+    assert spark.range(1).select(model_slug(F.lit("Org/Model-X v2"))).first()[0] == "org-model-x-v2"
+
+
+def test_title_case(spark):
+    df = spark.createDataFrame([("3latka o'neil buty",), (None,)], "t string")
+    assert [r[0] for r in df.select(title_case("t")).collect()] == ["3Latka O'Neil Buty", None]

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from adlens.operators.html import coverage, gaps, parsed, product_view, resolved, signals
+from adlens.operators.html import coverage, gaps, known_availability, parsed, product_view, resolved, signals
 from adlens.operators.snapshot_diff import normal_url, snapshot_changes
 from adlens.operators.versions import diffs, flagged
 from adlens.sources.pages import domain_slug, inline, output_format, url_slug
@@ -55,6 +55,11 @@ def test_offers():
     assert product_view(["[" * 5000 + "]" * 5000])["found"] is False
 
 
+def test_availability(spark):
+    df = spark.createDataFrame([("https://schema.org/InStock",), (" instock ",), ("soon",), (None,)], "v string")
+    assert [r[0] for r in df.select(known_availability(F.col("v"))).collect()] == [True, True, False, False]
+
+
 def test_resolved_links(spark):
     df = spark.createDataFrame([("https://s.example/d/", h) for h in ("/a", "b#f", "mailto:x@y", None, "//o.example/z", "http://[bad")], "b string, h string")
     assert [r[0] for r in df.select(resolved("b", "h")).collect()] == ["https://s.example/a", "https://s.example/d/b", None, None, "https://o.example/z", None]
@@ -73,6 +78,12 @@ def test_versions(spark):
     assert {r["snap_id"]: (r["added"], r["removed"]) for r in diffs(df).collect()} == {3: (1, 1), 4: (0, 0)}
 
 
+def test_versions_of_a_domain(spark):
+    df = versions(spark, [(1, "http://d.example/a", "2024-01-01", "A"), (2, "http://www.d.example/b", "2024-01-02", "B"), (3, "http://d.example/a", "2024-01-03", "A")])
+    assert {r["snap_id"]: r["changed"] for r in flagged(df).collect()} == {1: None, 2: None, 3: False}
+    assert {r["snap_id"]: r["changed"] for r in flagged(df, scope="domain").collect()} == {1: None, 2: True, 3: True}
+
+
 def test_version_stream(spark, tmp_path):
     df = versions(spark, [(1, "u", "2024-01-01", "A"), (2, "u", "2024-01-02", "A"), (3, "u", "2024-01-03", "B"), (4, "w", "2024-01-01", "x")])
     df.coalesce(1).write.parquet(f"{tmp_path}/v.parquet")
