@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from adlens.llm.vectors import OneBitCodes, decoded, fit_cells, placed, usable
 from adlens.session import written
 
-NEAR = 5
+NEAR = 6
 
 
 def _search(least: float, k: int):
