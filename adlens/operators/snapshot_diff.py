@@ -82,7 +82,7 @@ def differing_leaves(levels: list[DataFrame], leaf_bits: int, level_bits: int) -
         differ = sides.filter(~F.col("s0").eqNullSafe(F.col("s1"))).select("delivery", "node")
         if open_nodes is not None:
             differ = differ.withColumn("parent", F.shiftrightunsigned("node", steps[depth - 1])).join(open_nodes.select("delivery", F.col("node").alias("parent")), ["delivery", "parent"], "left_semi").drop("parent")
-        open_nodes = differ
+        open_nodes = written(differ)  # few rows, used on both sides of the next level
     return open_nodes
 
 
