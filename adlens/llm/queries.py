@@ -15,7 +15,7 @@ from adlens.llm.mojibake import mojibake
 from adlens.llm.nearest import near_pairs, neighbours
 from adlens.llm.packing import fill_rates, packed
 from adlens.llm.pii import personal_information, redacted
-from adlens.llm.residue import residue
+from adlens.llm.residue import residue, validated
 from adlens.llm.simcluster import described, linked
 from adlens.session import table
 
@@ -59,6 +59,10 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return residue(texts(spark, root)).select("src", "rec_id").distinct()
 
 
+def p5_validation(spark: SparkSession, root: str) -> DataFrame:
+    return validated(texts(spark, root))
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     rows = texts(spark, root)
     return boilerplate(rows).join(residue(rows).select("src", "rec_id"), ["src", "rec_id"], "left_anti").distinct()
@@ -85,7 +89,7 @@ def p10_redacted(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_texts": p3_texts, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found, "p10_redacted": p10_redacted,
+    "p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_texts": p3_texts, "p4_found": p4_found, "p5_found": p5_found, "p5_validation": p5_validation, "p7_found": p7_found, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found, "p10_redacted": p10_redacted,
 }
 
 _USABLE = """u AS (SELECT vec_id, text, hash(coalesce(provider, ''), coalesce(model, ''), coalesce(req_dim, -1)) AS space, CAST(vec AS DOUBLE[]) AS v FROM emb

@@ -10,7 +10,7 @@ from adlens.llm.boilerplate import boilerplate, common_lines, line_key
 from adlens.llm.contamination import WuManber, leaked, windows
 from adlens.llm.lookalike import respelled
 from adlens.llm.pii import personal_information, redacted
-from adlens.llm.residue import fit, labelled_lines, residue, residue_vote, scores
+from adlens.llm.residue import fit, labelled_lines, residue, residue_vote, scores, validated
 
 ROWS = "src string, rec_id long, text string, status int, url string"
 
@@ -118,6 +118,14 @@ def test_residue(spark):
     assert {r["rec_id"] for r in residue(mixed).filter("src = 'pages'").collect()} == {0}
 
 
+def test_validation(spark):
+    table, _ = residue_table(spark)
+    hosts = table.withColumn("url", F.concat(F.lit("https://h"), F.col("rec_id") % 20, F.lit(".example/")))
+    r = validated(hosts).first()
+    assert r["positive"] > 0 and r["right"] >= 0.8 * r["positive"] and r["right"] >= 0.9 * r["found"]
+    assert validated(hosts.limit(0)).count() == 0
+
+
 def test_residue_on_unseen_hosts(spark):
     """Trained on one half of the messages' texts, it knows the other half's by their words."""
     table, bad = residue_table(spark)
