@@ -11,27 +11,30 @@ are decided: a block with headings or sentences of its own is main body, any oth
 Lines are compared by their ASCII letters in lower case, numbers as one symbol, so that garbled copies still align.
 
 Defined cases: null texts and rows without url give no row; empty lines show no text and give no row; a page alone on its host
-has no template lines; equal pages and versions of one page are not paired with each other; empty tables give no rows. Pages are
-held in chunks of at most ``CHUNK`` rows of the sorted order, so a host of any size never gathers in one task.
+has no template lines; equal pages and versions of one page are not paired with each other; empty tables give no rows. A text
+that is delivered again and again is read once. Texts are held in blocks of ``BLOCK`` of the sorted order, each with the texts of other
+blocks that it is paired with; counts are summed over the whole host, so a host or page of any size never gathers in one task and
+block borders do not matter.
 """
 
 from __future__ import annotations
 
 import hashlib
+import marshal
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adlens.llm.markup import shown_lines
 from adlens.operators.snapshot_diff import normal_url
 from adlens.session import written
 
-CHUNK = 4000
+BLOCK = 500
 NEIGHBOURS = 3
 #: Kinds of lines: template line, otherwise outside the main body, short line whose block is main body, short line without such evidence.
 TEMPLATE, OUTSIDE, DECIDED, OPEN = 3, 2, 1, 0
@@ -58,7 +61,7 @@ def line_hash(key: str) -> int:
     return int.from_bytes(hashlib.blake2b(key.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def common_lines(a: list[str], places: dict[str, list[int]]) -> list[str]:
+def common_lines(a: list, places: dict) -> list:
     """Keys of a longest common subsequence of ``a`` and the text whose keys stand at ``places`` (positions descending)."""
     tails: list[int] = []
     ends: list[int] = []
@@ -80,15 +83,16 @@ def common_lines(a: list[str], places: dict[str, list[int]]) -> list[str]:
 
 
 class Page:
-    """Visible lines of a text with their keys."""
+    """Visible lines of a text with the hashes of their keys."""
 
-    __slots__ = ("at", "boxes", "heads", "host", "keys", "lines", "name", "off", "places", "rec_id", "src")
+    __slots__ = ("at", "boxes", "copies", "heads", "host", "keys", "lines", "number", "off", "places")
 
-    def __init__(self, src: str, rec_id: int, host: str, name: str, text: str, keys: dict[str, str]):
-        self.src, self.rec_id, self.host, self.name = src, rec_id, host, name
+    @classmethod
+    def read(cls, text: str, markup: bool, keys: dict[str, int]) -> Page:
+        page = cls()
         raw = text.split("\n")
-        self.boxes = self.heads = None
-        if src == "pages":
+        page.boxes = page.heads = None
+        if markup:
             shown = shown_lines(text)
             box, boxes, heads, number = "", [], [], 0
             for line, seen in zip(raw, shown):
@@ -99,16 +103,27 @@ class Page:
                         box = "" if m[1] else f"{m[2].lower()}.{_DIGITS.sub('', c[1]) if c else ''}"
                 boxes.append((number, box))
                 heads.append(bool(_HEADING.search(line)))
-            self.at = [i for i, x in enumerate(shown) if x]
-            self.lines = [shown[i] for i in self.at]
-            self.boxes, self.heads = [boxes[i] for i in self.at], [heads[i] for i in self.at]
+            page.at = [i for i, x in enumerate(shown) if x]
+            page.lines = [shown[i] for i in page.at]
+            page.boxes, page.heads = [boxes[i] for i in page.at], [heads[i] for i in page.at]
         else:
-            self.at = [i for i, x in enumerate(raw) if x.strip()]
-            self.lines = [raw[i].strip() for i in self.at]
-        self.keys = [keys.get(x) or keys.setdefault(x, line_key(x)) if len(x) < 60 else line_key(x) for x in self.lines]
-        self.places: dict[str, list[int]] = {}
-        for j in range(len(self.keys) - 1, -1, -1):
-            self.places.setdefault(self.keys[j], []).append(j)
+            page.at = [i for i, x in enumerate(raw) if x.strip()]
+            page.lines = [raw[i].strip() for i in page.at]
+        page.keys = [keys.get(x) or keys.setdefault(x, line_hash(line_key(x))) if len(x) < 60 else line_hash(line_key(x)) for x in page.lines]
+        page.places = {}
+        for j in range(len(page.keys) - 1, -1, -1):
+            page.places.setdefault(page.keys[j], []).append(j)
+        return page
+
+    def packed(self) -> bytes:
+        return marshal.dumps((self.at, self.lines, self.keys, self.boxes, self.heads))
+
+    @classmethod
+    def unpacked(cls, number: int, host: str, copies: int, blob: bytes) -> Page:
+        page = cls()
+        page.number, page.host, page.copies = number, host, copies
+        page.at, page.lines, page.keys, page.boxes, page.heads = marshal.loads(blob)
+        return page
 
 
 def _sentence(line: str) -> bool:
@@ -120,53 +135,51 @@ def _title_like(line: str) -> bool:
     return not _sentence(line) and bool(line) and not line[0].islower() and not line[0].isdigit() and line[-1] not in ".!?;,"
 
 
-class HostTemplates:
-    """Shares of lines over a host's pairs, its template lines, their parts, and its lead-ins."""
-
-    def __init__(self, least_share: float, least_pairs: int):
-        self.least_share, self.least_pairs = least_share, least_pairs
-        self.met: Counter = Counter()
-        self.aligned: Counter = Counter()
-        self.lines: set[str] = set()
-        self.parts: set[str] = set()
-        self.leads: set[str] = set()
-        self.paths: dict[str, bool] = {}
+class Pairings:
+    """Counts of lines over a host's pairings: [met, aligned], and both with each pair of pages counting ``WHOLE`` in all."""
 
-    def compare(self, page: Page, other: Page) -> None:
+    def __init__(self):
+        self.counts: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+
+    def compare(self, page: Page, other: Page, weight: int) -> None:
         """Count one pairing for both pages."""
         same = common_lines(page.keys, other.places)
         if len(same) >= 0.9 * min(len(page.keys), len(other.keys)):  # a copy or a version of the page
             return
-        aligned = set(same)
-        for key in page.places:
-            self.met[key] += 1
-        for key in other.places:
-            self.met[key] += 1
-        for key in aligned:
-            self.aligned[key] += 2
-
-    def settle(self) -> None:
-        self.lines = {k for k, n in self.aligned.items() if n >= self.least_pairs and n >= self.least_share * self.met[k]}
-
-    def learn_parts(self, pages: list[Page]) -> None:
-        self.parts = set(self.lines)
-        for page in pages:
-            for key, line in zip(page.keys, page.lines):
-                if key in self.lines:
-                    parts = _PARTS.split(line)
-                    if len(parts) > 1:
-                        self.parts.update(map(line_key, parts))
-
-    def learn_leads(self, pages: list[Page]) -> None:
-        seen, led = Counter(), Counter()
-        for page in pages:
-            start = self.start(page)
-            for i in range(start + 1, len(page.keys) - 1):
-                key = page.keys[i]
-                if key in self.lines and page.keys[i - 1] not in self.lines:
-                    seen[key] += 1
-                    led[key] += page.keys[i + 1] not in self.lines and _title_like(page.lines[i + 1])
-        self.leads = {k for k, n in led.items() if n >= 2 and n >= 0.6 * seen[k]}
+        for places in (page.places, other.places):
+            for key in places:
+                n = self.counts[key]
+                n[0] += 1
+                n[2] += weight
+        for key in set(same):
+            n = self.counts[key]
+            n[1] += 2
+            n[3] += 2 * weight
+
+
+class HostTemplates:
+    """Template lines of a host, their parts, and its lead-ins, as hashes of keys."""
+
+    def __init__(self):
+        self.lines: set[int] = set()
+        self.parts: set[int] = set()
+        self.leads: set[int] = set()
+        self.paths: dict[str, bool] = {}
+
+    def parts_of(self, page: Page) -> Iterator[int]:
+        for key, line in zip(page.keys, page.lines):
+            if key in self.lines:
+                parts = _PARTS.split(line)
+                if len(parts) > 1:
+                    yield from (line_hash(line_key(x)) for x in parts)
+
+    def leads_of(self, page: Page) -> Iterator[tuple[int, bool]]:
+        """Template lines after the main body's start that may be lead-ins, and whether an entry follows."""
+        start = self.start(page)
+        for i in range(start + 1, len(page.keys) - 1):
+            key = page.keys[i]
+            if key in self.lines and page.keys[i - 1] not in self.lines:
+                yield key, page.keys[i + 1] not in self.lines and _title_like(page.lines[i + 1])
 
     def is_path(self, line: str) -> bool:
         if line[-1] in ".!?":
@@ -174,7 +187,7 @@ class HostTemplates:
         known = self.paths.get(line)
         if known is None:
             parts = _PARTS.split(line)
-            known = len(parts) >= 3 and sum(line_key(p) in self.parts for p in parts) >= min(2, len(parts) - 1)
+            known = len(parts) >= 3 and sum((h := line_hash(line_key(p))) in self.parts or h in self.lines for p in parts) >= min(2, len(parts) - 1)
             self.paths[line] = known
         return known
 
@@ -242,34 +255,87 @@ class HostTemplates:
         return out
 
 
-def _chunk(pages: list[Page], neighbours: int, least_share: float) -> Iterator[tuple[str, int, int, int, int]]:
-    hosts: dict[str, list[Page]] = defaultdict(list)
+WHOLE = 1 << 24
+_FOUND = "what int, block bigint, number bigint, host string, copies bigint, key bigint, met bigint, aligned bigint, met_whole bigint, aligned_whole bigint, packed binary"
+
+
+def _compared(texts: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    """The block's own texts, read (what 0), and the counts of lines over its pairings (what 1)."""
+    out: list[tuple] = []
+    keys: dict[str, int] = {}
+    pages: dict[int, Page] = {}
+    for block, number, host, markup, text, copies, own in zip(texts["block"], texts["number"], texts["host"], texts["markup"], texts["text"], texts["copies"], texts["own"]):
+        page = pages[number] = Page.read(text, markup, keys)
+        page.host = host
+        if own:
+            out.append((0, block, number, host, copies, 0, 0, 0, 0, 0, page.packed()))
+    hosts: dict[str, Pairings] = defaultdict(Pairings)
+    for a, b, weight in zip(pairs["a"], pairs["b"], pairs["weight"]):
+        hosts[pages[a].host].compare(pages[a], pages[b], weight)
+    out += [(1, 0, 0, host, 0, key, *n, None) for host, of in hosts.items() for key, n in of.counts.items()]
+    return pd.DataFrame(out, columns=[x.split()[0] for x in _FOUND.split(", ")])
+
+
+def _over_blocks(read: DataFrame, known: DataFrame, step: Callable[[HostTemplates, list[Page]], Iterator[tuple]], schema: str) -> DataFrame:
+    """Rows of ``step`` over the pages of each block and host, with what is known of the host: (host, what, key)."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def find(pages: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
+        templates: dict[str, HostTemplates] = defaultdict(HostTemplates)
+        for host, what, key in zip(facts["host"], facts["what"], facts["key"]):
+            (templates[host].lines, templates[host].parts, templates[host].leads)[what].add(key)
+        hosts: dict[str, list[Page]] = defaultdict(list)
+        for number, host, copies, packed in zip(pages["number"], pages["host"], pages["copies"], pages["packed"]):
+            hosts[host].append(Page.unpacked(number, host, copies, packed))
+        return pd.DataFrame([x for host, own in hosts.items() for x in step(templates[host], own)], columns=names)
+
+    blocks = read.select(F.col("block").alias("block"), F.col("host").alias("host")).distinct()
+    facts = blocks.join(known, "host").select(F.col("block").alias("block"), F.col("host").alias("host"), "what", "key")
+    return read.groupBy("block").cogroup(facts.groupBy("block")).applyInPandas(find, schema)
+
+
+def _parts(templates: HostTemplates, pages: list[Page]) -> Iterator[tuple[str, int]]:
+    return iter({(page.host, part) for page in pages for part in templates.parts_of(page)})
+
+
+def _leads(templates: HostTemplates, pages: list[Page]) -> Iterator[tuple[str, int, int, int]]:
+    seen, led = Counter(), Counter()
     for page in pages:
-        hosts[page.host].append(page)
-    for host in hosts.values():
-        names: dict[str, list[Page]] = {}
-        for page in host:
-            names.setdefault(page.name, []).append(page)
-        order = list(names.values())
-        templates = HostTemplates(least_share, 4)
-        for i, versions in enumerate(order):
-            for other in order[i + 1 : i + neighbours + 1]:
-                templates.compare(versions[0], other[0])
-        templates.settle()
-        templates.learn_parts(host)
-        templates.learn_leads(host)
-        for page in host:
-            page.off = templates.plain_off(page)
-            known = [i for i, x in enumerate(page.off) if x]
-            outside = templates.outside(page)
-            boxed = page.boxes is not None and len(set(page.boxes)) > 1
-            certain = set(known)
-            for i in outside:
-                yield page.src, page.rec_id, page.at[i], line_hash(page.keys[i]), TEMPLATE if i in certain else OUTSIDE
-            inside = set(outside)
-            for i, line in enumerate(page.lines):
-                if i not in inside and not _sentence(line):
-                    yield page.src, page.rec_id, page.at[i], line_hash(page.keys[i]), DECIDED if boxed else OPEN
+        for key, entry in templates.leads_of(page):
+            seen[key] += page.copies
+            led[key] += page.copies * entry
+    return ((pages[0].host, key, n, led[key]) for key, n in seen.items())
+
+
+def _kinds(templates: HostTemplates, pages: list[Page]) -> Iterator[tuple[int, int, int, int, int]]:
+    for page in pages:
+        page.off = templates.plain_off(page)
+        certain = {i for i, x in enumerate(page.off) if x}
+        outside = templates.outside(page)
+        boxed = page.boxes is not None and len(set(page.boxes)) > 1
+        for i in outside:
+            yield page.number, page.copies, page.at[i], page.keys[i], TEMPLATE if i in certain else OUTSIDE
+        inside = set(outside)
+        for i, line in enumerate(page.lines):
+            if i not in inside and not _sentence(line):
+                yield page.number, page.copies, page.at[i], page.keys[i], DECIDED if boxed else OPEN
+
+
+def _numbered(parts: DataFrame, part: str, offset: str) -> DataFrame:
+    """Rows before each part, from (part, n)."""
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(parts.select(part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(offset)))
+
+
+def _pairs(texts: DataFrame, neighbours: int) -> DataFrame:
+    """(block, a, b, weight): pairings of the pages of ``texts`` (number, host, page, part) with their next ``neighbours`` on the host."""
+    pages = texts.groupBy("host", "page").agg(F.min("number").alias("first"), F.min("part").alias("part"), F.count("*").alias("n"))
+    pages = pages.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("first")))
+    starts = _numbered(pages.groupBy("part").agg(F.count("*").alias("n")), "part", "offset")
+    pages = written(pages.join(starts, "part").select("host", "first", "n", (F.col("rank") + F.col("offset")).alias("rank")))
+    left = pages.select("host", F.col("first").alias("a"), F.explode(F.sequence(F.col("rank") + 1, F.col("rank") + neighbours)).alias("rank"))
+    near = left.join(pages.select("host", "rank", F.col("first").alias("b")), ["host", "rank"])
+    return near.select(F.expr(f"a DIV {BLOCK}").alias("block"), "a", "b", F.lit(WHOLE).cast("bigint").alias("weight"))
 
 
 def boilerplate(texts: DataFrame, neighbours: int = NEIGHBOURS, least_share: float = 0.25) -> DataFrame:
@@ -277,27 +343,35 @@ def boilerplate(texts: DataFrame, neighbours: int = NEIGHBOURS, least_share: flo
     rows = texts.filter(F.col("text").isNotNull() & F.col("url").isNotNull()).select("src", "rec_id", "text", normal_url(F.col("url")).alias("page"))
     rows = rows.select("src", "rec_id", "text", F.regexp_replace("page", r"^[^/]*//|\.html?$|/+$", "").alias("page"))
     rows = rows.select("src", "rec_id", "text", F.regexp_replace(F.split("page", "/", 2)[0], r"^www\.", "").alias("host"), "page")
+    rows = rows.select("*", (F.col("src") == "pages").alias("markup"), F.md5("text").alias("digest"))
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartitionByRange(parts, "host", "page").sortWithinPartitions("host", "page", "src", "rec_id")
-
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[Page] = []
-        keys: dict[str, str] = {}
-
-        def flush() -> pd.DataFrame:
-            return pd.DataFrame(list(_chunk(held, neighbours, least_share)), columns=["src", "rec_id", "line_no", "key", "kind"])
-
-        for batch in batches:
-            for src, rec_id, text, host, page in zip(batch["src"], batch["rec_id"], batch["text"], batch["host"], batch["page"]):
-                held.append(Page(src, rec_id, host, page, text, keys))
-                if len(held) >= CHUNK:
-                    yield flush()
-                    held.clear()
-                    keys.clear()
-        yield flush()
-
-    lines = written(ordered.mapInPandas(find, "src string, rec_id bigint, line_no int, key bigint, kind tinyint"))
+    # Distinct texts of each page, numbered through in the order of host and page.
+    same = ["host", "page", "markup", "digest"]
+    single = rows.groupBy(*same).agg(F.min(F.struct("src", "rec_id")).alias("id"), F.count("*").alias("copies"), F.first("text").alias("text"))
+    ordered = single.repartitionByRange(parts, "host", "page", "id").sortWithinPartitions("host", "page", "id").withColumn("at", F.monotonically_increasing_id())
+    single = written(ordered.select(*same, "copies", "text", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("at")))
+    starts = _numbered(single.groupBy("part").agg(F.count("*").alias("n")), "part", "offset")
+    single = single.join(starts, "part").withColumn("number", F.col("at") + F.col("offset"))
+    # Each block gets its own texts and those of other blocks that they are paired with.
+    pairs = written(_pairs(single.select("number", "host", "page", "part"), neighbours))
+    guests = pairs.select("block", F.explode(F.array("a", "b")).alias("number")).filter(F.expr(f"number DIV {BLOCK} <> block")).distinct()
+    columns = ["block", "number", "host", "markup", "text", "copies", "own"]
+    held = single.withColumn("block", F.expr(f"number DIV {BLOCK}")).withColumn("own", F.lit(True)).select(*columns)
+    held = held.unionByName(single.join(guests, "number").withColumn("own", F.lit(False)).select(*columns))
+    found = written(held.groupBy("block").cogroup(pairs.groupBy("block")).applyInPandas(_compared, _FOUND))
+    read = found.filter("what = 0").select("block", "number", "host", "copies", "packed")
+    counts = found.filter("what = 1").groupBy("host", "key").agg(*(F.sum(x).alias(x) for x in ("met", "aligned", "met_whole", "aligned_whole")))
+    least_pairs = F.lit(4)
+    lines = counts.filter((F.col("aligned") >= least_pairs) & (F.col("aligned_whole") >= least_share * F.col("met_whole")))
+    known = written(lines.select("host", F.lit(0).alias("what"), "key"))
+    entries = _over_blocks(read, known, _parts, "host string, key bigint").distinct()
+    known = written(known.unionByName(entries.select("host", F.lit(1).alias("what"), "key")))
+    leads = _over_blocks(read, known, _leads, "host string, key bigint, seen bigint, led bigint").groupBy("host", "key").agg(F.sum("seen").alias("seen"), F.sum("led").alias("led"))
+    leads = leads.filter((F.col("led") >= 2) & (F.col("led") >= 0.6 * F.col("seen")))
+    known = written(known.unionByName(leads.select("host", F.lit(2).alias("what"), "key")))
+    lines = written(_over_blocks(read, known, _kinds, "number bigint, copies bigint, line_no int, key bigint, kind tinyint"))
     # Lines that mostly are template lines where they occur are so on pages, too, whose neighbours lack them.
-    usual = lines.groupBy("key").agg(F.count_if(F.col("kind") == TEMPLATE).alias("known"), F.count("*").alias("n")).filter((F.col("known") >= 3) & (F.col("known") >= 0.5 * F.col("n"))).select("key")
+    usual = lines.groupBy("key").agg(F.sum(F.when(F.col("kind") == TEMPLATE, F.col("copies")).otherwise(0)).alias("known"), F.sum("copies").alias("n")).filter((F.col("known") >= 3) & (F.col("known") >= 0.5 * F.col("n"))).select("key")
     out = lines.filter(F.col("kind").isin(TEMPLATE, OUTSIDE)).unionByName(lines.filter(F.col("kind") == OPEN).join(usual, "key", "left_semi").select(*lines.columns))
-    return out.select("src", "rec_id", "line_no")
+    ids = rows.select("src", "rec_id", *same).join(single.select(*same, "number"), same)
+    return out.join(ids, "number").select("src", "rec_id", "line_no")

@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from adlens.llm import boilerplate as boilerplate_module
 from adlens.llm import contamination, mojibake
 from adlens.llm.boilerplate import boilerplate, common_lines, line_key
 from adlens.llm.contamination import WuManber, leaked, windows
@@ -171,6 +172,20 @@ def test_boilerplate(spark):
     assert boilerplate(rows(spark, []).limit(0)).count() == 0
 
 
+def test_boilerplate_of_a_hot_page(spark, monkeypatch):
+    """One page holds most rows, and the pages beside it stand in other blocks."""
+    monkeypatch.setattr(boilerplate_module, "BLOCK", 8)
+    rng = random.Random(6)
+    texts, urls, want = [], [], set()
+    for i in range(90):
+        lines, off = page_lines(i, rng)
+        texts.append("\n".join(["We use cookies to show you pages that you may like.", *lines]))
+        urls.append(f"https://shop.example/p/{i if i < 10 else 4:03d}")
+        want |= {(i, 0), *((i, j + 1) for j in off)}
+    got = {(r["rec_id"], r["line_no"]) for r in boilerplate(rows(spark, texts, "snapshots", urls=urls)).collect()}
+    assert got == want
+
+
 def test_boilerplate_in_markup(spark):
     rng = random.Random(4)
     texts, urls, want = [], [], set()
