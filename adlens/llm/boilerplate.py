@@ -361,7 +361,8 @@ def boilerplate(texts: DataFrame, neighbours: int = NEIGHBOURS, least_share: flo
     found = written(held.groupBy("block").cogroup(pairs.groupBy("block")).applyInPandas(_compared, _FOUND))
     read = found.filter("what = 0").select("block", "number", "host", "copies", "packed")
     counts = found.filter("what = 1").groupBy("host", "key").agg(*(F.sum(x).alias(x) for x in ("met", "aligned", "met_whole", "aligned_whole")))
-    least_pairs = F.lit(4)
+    # Two pairings, or one where the pages that hold the line have no other (each pairing counts for both of its pages).
+    least_pairs = F.least(F.lit(4), F.col("met"))
     lines = counts.filter((F.col("aligned") >= least_pairs) & (F.col("aligned_whole") >= least_share * F.col("met_whole")))
     known = written(lines.select("host", F.lit(0).alias("what"), "key"))
     entries = _over_blocks(read, known, _parts, "host string, key bigint").distinct()

@@ -186,6 +186,19 @@ def test_boilerplate_of_a_hot_page(spark, monkeypatch):
     assert got == want
 
 
+def test_boilerplate_of_two_pages(spark):
+    """A host with two pages has one pairing, and it counts."""
+    rng = random.Random(8)
+    texts, urls, want = [], [], set()
+    for i in range(2):
+        lines, _ = page_lines(i + 1, rng)
+        texts.append("\n".join(lines))
+        urls.append(f"https://two.example/p/{i}")
+        want |= {(i, lines.index(x)) for x in (*NAV, "Follow us", FOOT[-1])}
+    got = {(r["rec_id"], r["line_no"]) for r in boilerplate(rows(spark, texts, "snapshots", urls=urls)).collect()}
+    assert want <= got and not any(texts[i].split("\n")[j].startswith("The report") for i, j in got)
+
+
 def test_boilerplate_in_markup(spark):
     rng = random.Random(4)
     texts, urls, want = [], [], set()
