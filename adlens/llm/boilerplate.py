@@ -11,7 +11,8 @@ are decided: a block with headings or sentences of its own is main body, any oth
 Lines are compared by their ASCII letters in lower case, numbers as one symbol, so that garbled copies still align.
 
 Defined cases: null texts and rows without url give no row; empty lines show no text and give no row; a page alone on its host
-has no template lines; equal pages and versions of one page are not paired with each other; empty tables give no rows. A text
+has no template lines; equal pages and versions of one page are not paired with each other, but each distinct
+text of a page is paired with a text of each page near it; empty tables give no rows. A text
 that is delivered again and again is read once. Texts are held in blocks of ``BLOCK`` of the sorted order, each with the texts of other
 blocks that it is paired with; counts are summed over the whole host, so a host or page of any size never gathers in one task and
 block borders do not matter.
@@ -333,9 +334,13 @@ def _pairs(texts: DataFrame, neighbours: int) -> DataFrame:
     pages = pages.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("first")))
     starts = _numbered(pages.groupBy("part").agg(F.count("*").alias("n")), "part", "offset")
     pages = written(pages.join(starts, "part").select("host", "first", "n", (F.col("rank") + F.col("offset")).alias("rank")))
-    left = pages.select("host", F.col("first").alias("a"), F.explode(F.sequence(F.col("rank") + 1, F.col("rank") + neighbours)).alias("rank"))
-    near = left.join(pages.select("host", "rank", F.col("first").alias("b")), ["host", "rank"])
-    return near.select(F.expr(f"a DIV {BLOCK}").alias("block"), "a", "b", F.lit(WHOLE).cast("bigint").alias("weight"))
+    left = pages.select("host", F.col("first").alias("a"), F.col("n").alias("n_a"), F.explode(F.sequence(F.col("rank") + 1, F.col("rank") + neighbours)).alias("rank"))
+    near = left.join(pages.select("host", "rank", F.col("first").alias("b"), F.col("n").alias("n_b")), ["host", "rank"])
+    # The texts of both pages go side by side, the last one of the page with fewer beside all later ones; the longer side's block has them.
+    most = F.greatest("n_a", "n_b")
+    near = near.select("*", F.expr(f"{WHOLE} DIV greatest(n_a, n_b)").alias("weight"), F.explode(F.sequence(F.lit(0).cast("bigint"), most - 1)).alias("v"))
+    near = near.select("n_a", "n_b", "weight", (F.col("a") + F.least("v", F.col("n_a") - 1)).alias("a"), (F.col("b") + F.least("v", F.col("n_b") - 1)).alias("b"))
+    return near.select(F.expr(f"if(n_a >= n_b, a, b) DIV {BLOCK}").alias("block"), "a", "b", F.greatest("weight", F.lit(1)).alias("weight"))
 
 
 def boilerplate(texts: DataFrame, neighbours: int = NEIGHBOURS, least_share: float = 0.25) -> DataFrame:

@@ -199,6 +199,21 @@ def test_boilerplate_of_two_pages(spark):
     assert want <= got and not any(texts[i].split("\n")[j].startswith("The report") for i, j in got)
 
 
+def test_boilerplate_of_later_versions(spark):
+    """A notice that only the second version of each page shows is a template line."""
+    rng = random.Random(9)
+    texts, urls, notes = [], [], set()
+    for version in range(2):
+        for i in range(12):
+            lines, _ = page_lines(i + 1, rng)
+            note = ["We have moved to a new shop, so please update your bookmarks today."] * version
+            notes |= {(len(texts), len(lines))} if version else set()
+            texts.append("\n".join([*lines, *note]))
+            urls.append(f"https://shop.example/p/{i}")
+    got = {(r["rec_id"], r["line_no"]) for r in boilerplate(rows(spark, texts, "snapshots", urls=urls)).collect()}
+    assert notes <= got
+
+
 def test_boilerplate_in_markup(spark):
     rng = random.Random(4)
     texts, urls, want = [], [], set()
