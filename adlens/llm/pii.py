@@ -5,7 +5,8 @@ are those that need no context: numbers with a country prefix, identity numbers
 type, and names whose parts stand in an email address of the same text. Candidates become a bipartite graph of instances (the shape of a
 number, the street's words, the given name) and patterns (the words to the left). Spark scores it in rounds: a pattern's
 score is the part of its mentions whose instances are accepted, an instance's the part that is seeded or stands in accepted
-patterns; both need a least number of mentions. Accepted patterns accept unseen instances, and these new patterns. Email
+patterns; both need a least number of mentions. Accepted patterns accept unseen instances, and these new patterns;
+strong ones accept any instance that is not overwhelmingly found elsewhere. Exact copies of a text count once. Email
 addresses need no context.
 
 Defined cases: null texts give no row and stay null when replaced; empty texts hold nothing; every occurrence counts; values
@@ -189,19 +190,24 @@ def score_graph(edges: DataFrame, rounds: int, least_pattern: float, least_insta
     return instances, patterns
 
 
-def personal_information(documents: DataFrame, rounds: int = 3, least_pattern: float = 0.25, least_instance: float = 0.3, support: int = 2) -> DataFrame:
+def personal_information(documents: DataFrame, rounds: int = 3, least_pattern: float = 0.25, least_instance: float = 0.3, support: int = 2, least_odds: float = 0.4) -> DataFrame:
     """(doc_id, pii_kind, start_at, end_at) of every value found in ``documents`` (doc_id, text)."""
-    found = written(mentions(documents))
+    # Each distinct text is read and counted once, so that copies change no score.
+    keyed = documents.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.md5("text").alias("digest"))
+    single = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    copies = written(keyed.select("digest", F.col("doc_id").alias("copy_id")).join(single.select("digest", "doc_id"), "digest").select("doc_id", "copy_id"))
+    found = written(mentions(single))
     # Numbers stand for two kinds; each kind is a graph of its own over the same mentions.
     numbers = found.filter("kind = 'number'")
     as_kinds = numbers.withColumn("kind", F.lit("phone")).withColumn("seed", (F.col("seed") == 1).cast("int")).unionByName(numbers.withColumn("kind", F.lit("id_number")).withColumn("seed", (F.col("seed") == 2).cast("int")))
     others = found.filter("kind IN ('name', 'address')")
     edges = written(as_kinds.unionByName(others).groupBy("kind", "instance", "pattern").agg(F.count("*").alias("n"), F.sum("seed").alias("seeds")))
     instances, patterns = score_graph(edges, rounds, least_pattern, least_instance, support)
-    totals = edges.groupBy("kind", "instance").agg(F.sum("n").alias("i_n"))
+    accepted = edges.join(patterns.select("kind", "pattern", F.lit(1).alias("ok")), ["kind", "pattern"], "left")
+    totals = accepted.groupBy("kind", "instance").agg((F.sum(F.when(F.col("ok") == 1, F.col("n")).otherwise(F.col("seeds"))) / F.sum("n")).alias("share"))
     scored = as_kinds.unionByName(others).join(totals, ["kind", "instance"]).join(instances.withColumnRenamed("score", "i_score"), ["kind", "instance"], "left").join(patterns.withColumnRenamed("score", "p_score"), ["kind", "pattern"], "left").fillna(0.0, ["i_score", "p_score"])
-    # A strong pattern accepts an instance that is too rare to be judged by itself.
-    unseen = (F.col("p_score") >= 0.7) & (F.col("i_n") <= 3 * support)
+    # A strong pattern accepts an instance unless nearly all of its mentions stand elsewhere: the odds of both, at any table size.
+    unseen = (F.col("p_score") >= 0.7) & (F.col("p_score") * F.col("share") >= least_odds * (1 - F.col("p_score")) * (1 - F.col("share")))
     good = F.when((F.col("kind") == "name") & (F.col("instance") == "."), (F.col("p_score") > 0) | (F.col("seed") > 0)).otherwise((F.col("seed") > 0) | (F.col("i_score") > 0) | unseen)
     weight = 2 * F.col("seed") + F.col("i_score") + F.col("p_score")
     kept = scored.filter(good).select("doc_id", "kind", "start_at", "end_at", weight.alias("weight"))
@@ -211,7 +217,8 @@ def personal_information(documents: DataFrame, rounds: int = 3, least_pattern: f
     order = Window.partitionBy("doc_id").orderBy("start_at")
     sides = best.select("*", F.lag("end_at").over(order).alias("end_before"), F.lag("weight").over(order).alias("weight_before"), F.lead("start_at").over(order).alias("start_after"), F.lead("weight").over(order).alias("weight_after"))
     loses = ((F.col("end_before") > F.col("start_at")) & (F.col("weight_before") >= F.col("weight"))) | ((F.col("start_after") < F.col("end_at")) & (F.col("weight_after") > F.col("weight")))
-    return sides.filter(~F.coalesce(loses, F.lit(False))).select("doc_id", F.col("kind").alias("pii_kind"), "start_at", "end_at")
+    values = sides.filter(~F.coalesce(loses, F.lit(False))).select("doc_id", F.col("kind").alias("pii_kind"), "start_at", "end_at")
+    return values.join(copies, "doc_id").select(F.col("copy_id").alias("doc_id"), "pii_kind", "start_at", "end_at")
 
 
 def redacted(documents: DataFrame, **options) -> DataFrame:
