@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from adlens.llm import boilerplate as boilerplate_module
@@ -11,7 +13,7 @@ from adlens.llm.boilerplate import boilerplate, common_lines, line_key
 from adlens.llm.contamination import WuManber, leaked, windows
 from adlens.llm.lookalike import respelled
 from adlens.llm.pii import personal_information, redacted
-from adlens.llm.residue import fit, labelled_lines, residue, residue_vote, scores, validated
+from adlens.llm.residue import fit, labelled_lines, least_score, residue, residue_vote, scores, trained, validated
 
 ROWS = "src string, rec_id long, text string, status int, url string"
 
@@ -122,8 +124,9 @@ def test_residue(spark):
 def test_validation(spark):
     table, _ = residue_table(spark)
     hosts = table.withColumn("url", F.concat(F.lit("https://h"), F.col("rec_id") % 20, F.lit(".example/")))
-    r = validated(hosts).first()
-    assert r["positive"] > 0 and r["right"] >= 0.8 * r["positive"] and r["right"] >= 0.9 * r["found"]
+    r = {x["held_out"]: x for x in validated(hosts).collect()}
+    assert r["hosts"]["positive"] > 0 and r["hosts"]["found"] >= 0.8 * r["hosts"]["positive"] and r["hosts"]["wrong"] <= 2
+    assert set(r) <= {"hosts", "voters 0", "voters 1", "voters 2"}
     assert validated(hosts.limit(0)).count() == 0
 
 
@@ -135,9 +138,17 @@ def test_residue_on_unseen_hosts(spark):
     rng = random.Random(0)
     held = [rng.random() < 0.3 for _ in range(len(lines))]
     train, test = lines[[not h for h in held]], lines[held]
-    z = scores(fit(train), test["line"].tolist(), test["first"].to_numpy(bool), test["alone"].to_numpy(bool))
+    z = scores(fit(train), pa.array(test["line"], pa.large_string()), test["first"].to_numpy(bool), test["alone"].to_numpy(bool))
     assert ((z > 0) == test["label"].to_numpy(bool)).mean() > 0.9
     assert residue_vote(BAD[0]) and not residue_vote(PARAS[2])
+    known = trained(table)
+    assert {r["rec_id"] for r in residue(rows(spark, ["Error 503: the server could not finish your request.", PARAS[1], "Buy {{brand}} now and save at %%shop%%."]), weights=known).collect()} == {0, 2}
+
+
+def test_least_score():
+    z, label = np.array([5.0, 4.0, 1.0, 0.5, -1.0]), np.array([True, True, False, True, False])
+    assert 1 < least_score(z, label, np.array([1.0, 1, 50, 1, 50])) <= 4  # one sampled line stands for fifty
+    assert -1 < least_score(z, label, np.ones(5)) <= 0.5
 
 
 NAV = ["Skip to content", "Home | Kids | Garden | Help", "Basket (0)"]
