@@ -12,22 +12,23 @@ Lines are compared by their ASCII letters in lower case, numbers as one symbol,
 
 Defined cases: null texts and rows without url give no row; empty lines show no text and give no row; a page alone on its host
 has no template lines; equal pages and versions of one page are not paired with each other, but each distinct
-text of a page is paired with a text of each page near it; empty tables give no rows. A text
-that is delivered again and again is read once. Texts are held in blocks of ``BLOCK`` of the sorted order, each with the texts of other
-blocks that it is paired with; counts are summed over the whole host, so a host or page of any size never gathers in one task and
-block borders do not matter.
+text of a page is paired with a text of each page near it; empty tables give no rows; ids are taken as unique within a source.
+Every text is read once, where it is scanned, into the hashes of its lines, and only these are moved. Distinct texts are held in blocks
+of ``BLOCK`` of the sorted order, each with those of other blocks that they are paired with; counts are summed over the whole host, so
+a host or page of any size never gathers in one task and block borders do not matter.
 """
 
 from __future__ import annotations
 
-import hashlib
 import marshal
 import re
+from array import array
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,29 +38,28 @@ from adlens.session import written
 
 BLOCK = 500
 NEIGHBOURS = 3
-#: Kinds of lines: template line, otherwise outside the main body, short line whose block is main body, short line without such evidence.
-TEMPLATE, OUTSIDE, DECIDED, OPEN = 3, 2, 1, 0
-_BEYOND = re.compile(r"[^\x00-\x7f]+")
-_DIGITS = re.compile(r"[0-9]+")
-_WORD = re.compile(r"[a-z]+")
-_SPACE = re.compile(r"\s+")
+#: Flags of a line: a sentence, like a title, begins with a small letter or a figure, ends a sentence.
+SENTENCE, TITLE, LOWER, FIGURE, STOP = 1, 2, 4, 8, 16
+_DIGITS = re.compile(rb"[0-9]+")
+_FIGURES = re.compile("[0-9]+")
+_WORD = re.compile(rb"[a-z]+")
 _PARTS = re.compile(r"\s+(?:[^\x00-\x7f]+|[|/>&*-]|[^\x00-\x7f]*[|/>])\s+|\s{2,}")
 _HEADING = re.compile(r"(?i)<h[1-3]\b")
 _BOX = re.compile(r"(?i)<(/?)(div|section|header|footer|nav|aside|main|article|table|tr|td|ul|ol|form|body)\b([^>]*)>")
 _CLASS = re.compile(r"(?i)\bclass\s*=\s*[\"']?([^\"'>]*)")
 
 
-def line_key(line: str) -> str:
-    """Key under which lines are compared; '' for lines without any letter or digit."""
-    low = _SPACE.sub(" ", _BEYOND.sub("", line)).strip().lower()
+def line_key(line: str) -> bytes:
+    """Key under which lines are compared; empty for lines without any letter or digit."""
+    low = b" ".join(line.encode("ascii", "ignore").lower().split())
     if not low:
-        return _SPACE.sub(" ", line).strip().lower()
-    return _DIGITS.sub("0", low) if len(_WORD.findall(low)) >= 3 or "(" in low else low
+        return " ".join(line.lower().split()).encode()
+    return _DIGITS.sub(b"0", low) if _DIGITS.search(low) and (b"(" in low or len(_WORD.findall(low)) >= 3) else low
 
 
-def line_hash(key: str) -> int:
-    """64 bits of a key, the same in every process."""
-    return int.from_bytes(hashlib.blake2b(key.encode(), digest_size=8).digest(), "little", signed=True)
+def line_hash(line: str) -> int:
+    """64 bits of a line's key, the same in every process."""
+    return xxhash.xxh3_64_intdigest(line_key(line)) - (1 << 63)
 
 
 def common_lines(a: list, places: dict) -> list:
@@ -83,13 +83,27 @@ def common_lines(a: list, places: dict) -> list:
     return out
 
 
+def _flags(line: str) -> int:
+    spaces, first, last = line.count(" "), line[0], line[-1]
+    sentence = spaces >= 9 or (spaces >= 4 and last in ".!?…”“»")
+    lower, figure = first.islower(), first.isdigit()
+    title = not (sentence or lower or figure or last in ".!?;,")
+    return sentence * SENTENCE | title * TITLE | lower * LOWER | figure * FIGURE | (last in ".!?") * STOP
+
+
+def _read_line(line: str) -> tuple[int, int, tuple[int, ...]]:
+    """(hash, flags, hashes of its parts where it has several)."""
+    parts = _PARTS.split(line)
+    return line_hash(line), _flags(line), tuple(map(line_hash, parts)) if len(parts) > 1 else ()
+
+
 class Page:
-    """Visible lines of a text with the hashes of their keys."""
+    """Visible lines of a text: their places, hashes, flags and parts, and the blocks of markup that hold them."""
 
-    __slots__ = ("at", "boxes", "copies", "heads", "host", "keys", "lines", "number", "off", "places")
+    __slots__ = ("at", "boxes", "copies", "flags", "heads", "host", "keys", "number", "off", "parts", "places")
 
     @classmethod
-    def read(cls, text: str, markup: bool, keys: dict[str, int]) -> Page:
+    def read(cls, text: str, markup: bool, known: dict[str, tuple]) -> Page:
         page = cls()
         raw = text.split("\n")
         page.boxes = page.heads = None
@@ -101,39 +115,36 @@ class Page:
                     for m in _BOX.finditer(line):
                         number += 1
                         c = _CLASS.search(m[3])
-                        box = "" if m[1] else f"{m[2].lower()}.{_DIGITS.sub('', c[1]) if c else ''}"
+                        box = "" if m[1] else f"{m[2].lower()}.{_FIGURES.sub('', c[1]) if c else ''}"
                 boxes.append((number, box))
                 heads.append(bool(_HEADING.search(line)))
             page.at = [i for i, x in enumerate(shown) if x]
-            page.lines = [shown[i] for i in page.at]
+            lines = [shown[i] for i in page.at]
             page.boxes, page.heads = [boxes[i] for i in page.at], [heads[i] for i in page.at]
         else:
-            page.at = [i for i, x in enumerate(raw) if x.strip()]
-            page.lines = [raw[i].strip() for i in page.at]
-        page.keys = [keys.get(x) or keys.setdefault(x, line_hash(line_key(x))) if len(x) < 60 else line_hash(line_key(x)) for x in page.lines]
-        page.places = {}
-        for j in range(len(page.keys) - 1, -1, -1):
-            page.places.setdefault(page.keys[j], []).append(j)
+            lines = [x.strip() for x in raw]
+            page.at = [i for i, x in enumerate(lines) if x]
+            lines = [lines[i] for i in page.at]
+        found = [known.get(x) or (known.setdefault(x, _read_line(x)) if len(x) < 60 and len(known) < 200_000 else _read_line(x)) for x in lines]
+        page.keys, page.flags = [x[0] for x in found], bytes([x[1] for x in found])
+        page.parts = {i: x[2] for i, x in enumerate(found) if x[2]}
         return page
 
     def packed(self) -> bytes:
-        return marshal.dumps((self.at, self.lines, self.keys, self.boxes, self.heads))
+        return marshal.dumps((array("i", self.at).tobytes(), array("q", self.keys).tobytes(), self.flags, self.parts, self.boxes, self.heads))
 
     @classmethod
     def unpacked(cls, number: int, host: str, copies: int, blob: bytes) -> Page:
         page = cls()
         page.number, page.host, page.copies = number, host, copies
-        page.at, page.lines, page.keys, page.boxes, page.heads = marshal.loads(blob)
+        at, keys, page.flags, page.parts, page.boxes, page.heads = marshal.loads(blob)
+        page.at, page.keys = array("i", at).tolist(), array("q", keys).tolist()
         return page
 
-
-def _sentence(line: str) -> bool:
-    spaces = line.count(" ")
-    return spaces >= 9 or (spaces >= 4 and line[-1] in ".!?…”“»")
-
-
-def _title_like(line: str) -> bool:
-    return not _sentence(line) and bool(line) and not line[0].islower() and not line[0].isdigit() and line[-1] not in ".!?;,"
+    def place(self) -> None:
+        self.places = {}
+        for j in range(len(self.keys) - 1, -1, -1):
+            self.places.setdefault(self.keys[j], []).append(j)
 
 
 class Pairings:
@@ -165,67 +176,54 @@ class HostTemplates:
         self.lines: set[int] = set()
         self.parts: set[int] = set()
         self.leads: set[int] = set()
-        self.paths: dict[str, bool] = {}
-
-    def parts_of(self, page: Page) -> Iterator[int]:
-        for key, line in zip(page.keys, page.lines):
-            if key in self.lines:
-                parts = _PARTS.split(line)
-                if len(parts) > 1:
-                    yield from (line_hash(line_key(x)) for x in parts)
 
     def leads_of(self, page: Page) -> Iterator[tuple[int, bool]]:
         """Template lines after the main body's start that may be lead-ins, and whether an entry follows."""
-        start = self.start(page)
-        for i in range(start + 1, len(page.keys) - 1):
-            key = page.keys[i]
-            if key in self.lines and page.keys[i - 1] not in self.lines:
-                yield key, page.keys[i + 1] not in self.lines and _title_like(page.lines[i + 1])
-
-    def is_path(self, line: str) -> bool:
-        if line[-1] in ".!?":
+        keys = page.keys
+        for i in range(self.start(page) + 1, len(keys) - 1):
+            if keys[i] in self.lines and keys[i - 1] not in self.lines:
+                yield keys[i], keys[i + 1] not in self.lines and bool(page.flags[i + 1] & TITLE)
+
+    def is_path(self, page: Page, i: int) -> bool:
+        parts = page.parts.get(i)
+        if not parts or len(parts) < 3 or page.flags[i] & STOP:
             return False
-        known = self.paths.get(line)
-        if known is None:
-            parts = _PARTS.split(line)
-            known = len(parts) >= 3 and sum((h := line_hash(line_key(p))) in self.parts or h in self.lines for p in parts) >= min(2, len(parts) - 1)
-            self.paths[line] = known
-        return known
+        return sum(h in self.parts or h in self.lines for h in parts) >= min(2, len(parts) - 1)
 
     def start(self, page: Page) -> int:
-        for i, (key, line) in enumerate(zip(page.keys, page.lines)):
-            if key not in self.lines and not self.is_path(line):
+        for i, key in enumerate(page.keys):
+            if key not in self.lines and not self.is_path(page, i):
                 return i
         return len(page.keys)
 
     def plain_off(self, page: Page) -> list[bool]:
         """Template and path lines, and short lines that stand among them before or after the main body."""
-        keys, lines = page.keys, page.lines
-        off = [k in self.lines or self.is_path(x) for k, x in zip(keys, lines)]
+        keys, flags = page.keys, page.flags
+        off = [k in self.lines or self.is_path(page, i) for i, k in enumerate(keys)]
         n = len(off)
         for i in range(min(n - 2, 6)):  # a title is not followed by template lines only
             if off[i]:
                 continue
-            if _sentence(lines[i]) or not (off[i + 1] and off[i + 2]):
+            if flags[i] & SENTENCE or not (off[i + 1] and off[i + 2]):
                 break
             off[i] = True
-        last = max((i for i in range(n) if not off[i] and _sentence(lines[i])), default=n)
+        last = max((i for i in range(n) if not off[i] and flags[i] & SENTENCE), default=n)
         for i in range(last + 1, n):
-            if not off[i] and off[i - 1] and keys[i - 1] not in self.leads and (i + 1 == n or off[i + 1]) and not lines[i][0].islower() and i >= 2 and off[i - 2] and keys[i - 2] not in self.leads:
+            if not off[i] and off[i - 1] and keys[i - 1] not in self.leads and (i + 1 == n or off[i + 1]) and not flags[i] & LOWER and i >= 2 and off[i - 2] and keys[i - 2] not in self.leads:
                 off[i] = True
         return off
 
     def outside(self, page: Page) -> list[int]:
         """Positions of the lines outside the main body."""
-        keys, lines = page.keys, page.lines
+        keys, flags = page.keys, page.flags
         off = list(page.off)
         start = next((i for i, x in enumerate(off) if not x), len(off))
         led = [i for i in range(start + 1, len(keys)) if keys[i] in self.leads]
         for i in led:
             last = i == led[-1]
-            later = any(_sentence(lines[j]) and not off[j] for j in range(i + 1, len(keys)))
+            later = any(flags[j] & SENTENCE and not off[j] for j in range(i + 1, len(keys)))
             j = i + 1
-            while j < len(keys) and not off[j] and _title_like(lines[j]):
+            while j < len(keys) and not off[j] and flags[j] & TITLE:
                 off[j] = True
                 j += 1
                 if later or not last:  # between parts of the main body a lead-in has one entry
@@ -237,7 +235,7 @@ class HostTemplates:
     @staticmethod
     def _is_list(page: Page, at: list[int], off: list[bool]) -> bool:
         """A block of entries in lower case or with figures, none of them known, continues the main body."""
-        return not any(off[i] for i in at) and any(page.lines[i][0].islower() or page.lines[i][0].isdigit() for i in at)
+        return not any(off[i] for i in at) and any(page.flags[i] & (LOWER | FIGURE) for i in at)
 
     def _by_box(self, page: Page, off: list[bool]) -> list[bool]:
         boxes: dict[tuple[int, str], list[int]] = defaultdict(list)
@@ -245,7 +243,7 @@ class HostTemplates:
             boxes[box].append(i)
         if len(boxes) < 2:
             return [x and not h for x, h in zip(off, page.heads)]
-        own = {b: any(page.heads[i] or (_sentence(page.lines[i]) and not off[i]) for i in at) or self._is_list(page, at, off) for b, at in boxes.items()}
+        own = {b: any(page.heads[i] or (page.flags[i] & SENTENCE and not off[i]) for i in at) or self._is_list(page, at, off) for b, at in boxes.items()}
         titled = {b[1] for b, main in own.items() if main and any(page.heads[i] for i in boxes[b])}
         other = {b[1] for b, main in own.items() if not main and all(off[i] for i in boxes[b])}
         out = list(off)
@@ -257,29 +255,44 @@ class HostTemplates:
 
 
 WHOLE = 1 << 24
-_FOUND = "what int, block bigint, number bigint, host string, copies bigint, key bigint, met bigint, aligned bigint, met_whole bigint, aligned_whole bigint, packed binary"
+_COUNTS = "host string, key bigint, met bigint, aligned bigint, met_whole bigint, aligned_whole bigint, parts array<bigint>"
+_KINDS = "what int, number bigint, key bigint, n bigint, known bigint, at array<int>"
+
+
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
+
+
+def read_pages(rows: DataFrame) -> DataFrame:
+    """(src, rec_id, host, page, digest, packed): each text as its lines' hashes; equal texts of a page have one digest."""
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, tuple] = {}
+        for part in parts:
+            marked = (part["src"] == "pages").tolist()
+            texts, pages = part["text"].tolist(), part["page"].tolist()
+            digests = [xxhash.xxh3_128_digest(f"{p}\n{m}\n{t}".encode("utf-8", "surrogatepass")) for t, m, p in zip(texts, marked, pages)]
+            blobs = [Page.read(t, m, known).packed() for t, m in zip(texts, marked)]
+            yield part.drop(columns="text").assign(digest=digests, packed=blobs)
+
+    return rows.select("src", "rec_id", "host", "page", "text").mapInPandas(read, "src string, rec_id bigint, host string, page string, digest binary, packed binary")
 
 
 def _compared(texts: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-    """The block's own texts, read (what 0), and the counts of lines over its pairings (what 1)."""
-    out: list[tuple] = []
-    keys: dict[str, int] = {}
+    """Counts of lines over the block's pairings, by host."""
     pages: dict[int, Page] = {}
-    for block, number, host, markup, text, copies, own in zip(texts["block"], texts["number"], texts["host"], texts["markup"], texts["text"], texts["copies"], texts["own"]):
-        page = pages[number] = Page.read(text, markup, keys)
-        page.host = host
-        if own:
-            out.append((0, block, number, host, copies, 0, 0, 0, 0, 0, page.packed()))
+    for number, host, packed in zip(texts["number"], texts["host"], texts["packed"]):
+        page = pages[number] = Page.unpacked(number, host, 1, packed)
+        page.place()
     hosts: dict[str, Pairings] = defaultdict(Pairings)
     for a, b, weight in zip(pairs["a"], pairs["b"], pairs["weight"]):
         hosts[pages[a].host].compare(pages[a], pages[b], weight)
-    out += [(1, 0, 0, host, 0, key, *n, None) for host, of in hosts.items() for key, n in of.counts.items()]
-    return pd.DataFrame(out, columns=[x.split()[0] for x in _FOUND.split(", ")])
+    parts = {(p.host, p.keys[i]): list(x) for p in pages.values() for i, x in p.parts.items()}
+    return _frame([(host, key, *n, parts.get((host, key))) for host, of in hosts.items() for key, n in of.counts.items()], _COUNTS)
 
 
-def _over_blocks(read: DataFrame, known: DataFrame, step: Callable[[HostTemplates, list[Page]], Iterator[tuple]], schema: str) -> DataFrame:
+def _over_blocks(single: DataFrame, known: DataFrame, step: Callable[[HostTemplates, list[Page]], Iterator[tuple]], schema: str) -> DataFrame:
     """Rows of ``step`` over the pages of each block and host, with what is known of the host: (host, what, key)."""
-    names = [x.split()[0] for x in schema.split(", ")]
 
     def find(pages: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
         templates: dict[str, HostTemplates] = defaultdict(HostTemplates)
@@ -288,15 +301,11 @@ def _over_blocks(read: DataFrame, known: DataFrame, step: Callable[[HostTemplate
         hosts: dict[str, list[Page]] = defaultdict(list)
         for number, host, copies, packed in zip(pages["number"], pages["host"], pages["copies"], pages["packed"]):
             hosts[host].append(Page.unpacked(number, host, copies, packed))
-        return pd.DataFrame([x for host, own in hosts.items() for x in step(templates[host], own)], columns=names)
+        return _frame([x for host, own in hosts.items() for x in step(templates[host], own)], schema)
 
-    blocks = read.select(F.col("block").alias("block"), F.col("host").alias("host")).distinct()
+    blocks = single.select(F.col("block").alias("block"), F.col("host").alias("host")).distinct()
     facts = blocks.join(known, "host").select(F.col("block").alias("block"), F.col("host").alias("host"), "what", "key")
-    return read.groupBy("block").cogroup(facts.groupBy("block")).applyInPandas(find, schema)
-
-
-def _parts(templates: HostTemplates, pages: list[Page]) -> Iterator[tuple[str, int]]:
-    return iter({(page.host, part) for page in pages for part in templates.parts_of(page)})
+    return single.select("block", "number", "host", "copies", "packed").groupBy("block").cogroup(facts.groupBy("block")).applyInPandas(find, schema)
 
 
 def _leads(templates: HostTemplates, pages: list[Page]) -> Iterator[tuple[str, int, int, int]]:
@@ -308,18 +317,26 @@ def _leads(templates: HostTemplates, pages: list[Page]) -> Iterator[tuple[str, i
     return ((pages[0].host, key, n, led[key]) for key, n in seen.items())
 
 
-def _kinds(templates: HostTemplates, pages: list[Page]) -> Iterator[tuple[int, int, int, int, int]]:
+def _kinds(templates: HostTemplates, pages: list[Page]) -> Iterator[tuple]:
+    """What 0: the lines outside the main body of each text; 1: how often a line occurs and is a template line; 2: lines left open."""
+    seen, known = Counter(), Counter()
     for page in pages:
         page.off = templates.plain_off(page)
-        certain = {i for i, x in enumerate(page.off) if x}
         outside = templates.outside(page)
         boxed = page.boxes is not None and len(set(page.boxes)) > 1
+        if outside:
+            yield 0, page.number, 0, 0, 0, [page.at[i] for i in outside]
         for i in outside:
-            yield page.number, page.copies, page.at[i], page.keys[i], TEMPLATE if i in certain else OUTSIDE
-        inside = set(outside)
-        for i, line in enumerate(page.lines):
-            if i not in inside and not _sentence(line):
-                yield page.number, page.copies, page.at[i], page.keys[i], DECIDED if boxed else OPEN
+            seen[page.keys[i]] += page.copies
+            known[page.keys[i]] += page.copies * page.off[i]
+        rest = set(outside)
+        for i, (key, flags) in enumerate(zip(page.keys, page.flags)):
+            if i not in rest and not flags & SENTENCE:
+                seen[key] += page.copies
+                if not boxed:
+                    yield 2, page.number, key, 0, 0, [page.at[i]]
+    for key, n in seen.items():
+        yield 1, 0, key, n, known[key], None
 
 
 def _numbered(parts: DataFrame, part: str, offset: str) -> DataFrame:
@@ -343,41 +360,39 @@ def _pairs(texts: DataFrame, neighbours: int) -> DataFrame:
     return near.select(F.expr(f"if(n_a >= n_b, a, b) DIV {BLOCK}").alias("block"), "a", "b", F.greatest("weight", F.lit(1)).alias("weight"))
 
 
-def boilerplate(texts: DataFrame, neighbours: int = NEIGHBOURS, least_share: float = 0.25) -> DataFrame:
-    """(src, rec_id, line_no) of the visible lines outside the main body of ``texts`` (src, rec_id, text, url)."""
+def boilerplate_lists(texts: DataFrame, neighbours: int = NEIGHBOURS, least_share: float = 0.25) -> DataFrame:
+    """(src, rec_id, line_nos): the visible lines outside the main body of ``texts`` (src, rec_id, text, url), in one or more rows a text."""
     rows = texts.filter(F.col("text").isNotNull() & F.col("url").isNotNull()).select("src", "rec_id", "text", normal_url(F.col("url")).alias("page"))
     rows = rows.select("src", "rec_id", "text", F.regexp_replace("page", r"^[^/]*//|\.html?$|/+$", "").alias("page"))
-    rows = rows.select("src", "rec_id", "text", F.regexp_replace(F.split("page", "/", 2)[0], r"^www\.", "").alias("host"), "page")
-    rows = rows.select("*", (F.col("src") == "pages").alias("markup"), F.md5("text").alias("digest"))
+    read = written(read_pages(rows.select("src", "rec_id", "text", F.regexp_replace(F.split("page", "/", 2)[0], r"^www\.", "").alias("host"), "page")))
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # Distinct texts of each page, numbered through in the order of host and page.
-    same = ["host", "page", "markup", "digest"]
-    single = rows.groupBy(*same).agg(F.min(F.struct("src", "rec_id")).alias("id"), F.count("*").alias("copies"), F.first("text").alias("text"))
+    single = read.groupBy("digest").agg(F.min(F.struct("src", "rec_id")).alias("id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("host", "page", "packed")))
     ordered = single.repartitionByRange(parts, "host", "page", "id").sortWithinPartitions("host", "page", "id").withColumn("at", F.monotonically_increasing_id())
-    single = written(ordered.select(*same, "copies", "text", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("at")))
+    single = written(ordered.select("digest", "host", "page", "copies", "packed", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("at")))
     starts = _numbered(single.groupBy("part").agg(F.count("*").alias("n")), "part", "offset")
-    single = single.join(starts, "part").withColumn("number", F.col("at") + F.col("offset"))
+    single = single.join(starts, "part").withColumn("number", F.col("at") + F.col("offset")).withColumn("block", F.expr(f"number DIV {BLOCK}"))
     # Each block gets its own texts and those of other blocks that they are paired with.
     pairs = written(_pairs(single.select("number", "host", "page", "part"), neighbours))
     guests = pairs.select("block", F.explode(F.array("a", "b")).alias("number")).filter(F.expr(f"number DIV {BLOCK} <> block")).distinct()
-    columns = ["block", "number", "host", "markup", "text", "copies", "own"]
-    held = single.withColumn("block", F.expr(f"number DIV {BLOCK}")).withColumn("own", F.lit(True)).select(*columns)
-    held = held.unionByName(single.join(guests, "number").withColumn("own", F.lit(False)).select(*columns))
-    found = written(held.groupBy("block").cogroup(pairs.groupBy("block")).applyInPandas(_compared, _FOUND))
-    read = found.filter("what = 0").select("block", "number", "host", "copies", "packed")
-    counts = found.filter("what = 1").groupBy("host", "key").agg(*(F.sum(x).alias(x) for x in ("met", "aligned", "met_whole", "aligned_whole")))
+    columns = ["block", "number", "host", "packed"]
+    held = single.select(*columns).unionByName(single.drop("block").join(guests, "number").select(*columns))
+    counts = held.groupBy("block").cogroup(pairs.groupBy("block")).applyInPandas(_compared, _COUNTS)
+    counts = counts.groupBy("host", "key").agg(*(F.sum(x).alias(x) for x in ("met", "aligned", "met_whole", "aligned_whole")), F.max("parts").alias("parts"))
     # Two pairings, or one where the pages that hold the line have no other (each pairing counts for both of its pages).
     least_pairs = F.least(F.lit(4), F.col("met"))
-    lines = counts.filter((F.col("aligned") >= least_pairs) & (F.col("aligned_whole") >= least_share * F.col("met_whole")))
-    known = written(lines.select("host", F.lit(0).alias("what"), "key"))
-    entries = _over_blocks(read, known, _parts, "host string, key bigint").distinct()
-    known = written(known.unionByName(entries.select("host", F.lit(1).alias("what"), "key")))
-    leads = _over_blocks(read, known, _leads, "host string, key bigint, seen bigint, led bigint").groupBy("host", "key").agg(F.sum("seen").alias("seen"), F.sum("led").alias("led"))
-    leads = leads.filter((F.col("led") >= 2) & (F.col("led") >= 0.6 * F.col("seen")))
-    known = written(known.unionByName(leads.select("host", F.lit(2).alias("what"), "key")))
-    lines = written(_over_blocks(read, known, _kinds, "number bigint, copies bigint, line_no int, key bigint, kind tinyint"))
+    lines = written(counts.filter((F.col("aligned") >= least_pairs) & (F.col("aligned_whole") >= least_share * F.col("met_whole"))).select("host", "key", "parts"))
+    known = lines.select("host", F.lit(0).alias("what"), "key").unionByName(lines.select("host", F.lit(1).alias("what"), F.explode("parts").alias("key")).distinct())
+    leads = _over_blocks(single, known, _leads, "host string, key bigint, seen bigint, led bigint").groupBy("host", "key").agg(F.sum("seen").alias("seen"), F.sum("led").alias("led"))
+    leads = written(leads.filter((F.col("led") >= 2) & (F.col("led") >= 0.6 * F.col("seen"))).select("host", F.lit(2).alias("what"), "key"))
+    kinds = written(_over_blocks(single, known.unionByName(leads), _kinds, _KINDS))
     # Lines that mostly are template lines where they occur are so on pages, too, whose neighbours lack them.
-    usual = lines.groupBy("key").agg(F.sum(F.when(F.col("kind") == TEMPLATE, F.col("copies")).otherwise(0)).alias("known"), F.sum("copies").alias("n")).filter((F.col("known") >= 3) & (F.col("known") >= 0.5 * F.col("n"))).select("key")
-    out = lines.filter(F.col("kind").isin(TEMPLATE, OUTSIDE)).unionByName(lines.filter(F.col("kind") == OPEN).join(usual, "key", "left_semi").select(*lines.columns))
-    ids = rows.select("src", "rec_id", *same).join(single.select(*same, "number"), same)
-    return out.join(ids, "number").select("src", "rec_id", "line_no")
+    usual = kinds.filter("what = 1").groupBy("key").agg(F.sum("known").alias("known"), F.sum("n").alias("n")).filter((F.col("known") >= 3) & (F.col("known") >= 0.5 * F.col("n"))).select("key")
+    out = kinds.filter("what = 0").select("number", "at").unionByName(kinds.filter("what = 2").join(usual, "key", "left_semi").select("number", "at"))
+    named = out.join(single.select("number", "digest"), "number").select("digest", F.col("at").alias("line_nos"))
+    return read.select("src", "rec_id", "digest").join(named, "digest").select("src", "rec_id", "line_nos")
+
+
+def boilerplate(texts: DataFrame, neighbours: int = NEIGHBOURS, least_share: float = 0.25) -> DataFrame:
+    """(src, rec_id, line_no) of the visible lines outside the main body of ``texts`` (src, rec_id, text, url)."""
+    return boilerplate_lists(texts, neighbours, least_share).select("src", "rec_id", F.explode("line_nos").alias("line_no"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.llm.boilerplate import boilerplate
+from adlens.llm.boilerplate import boilerplate_lists
 from adlens.llm.common import texts
 from adlens.llm.contamination import leaked
 from adlens.llm.lookalike import respelled
@@ -17,7 +17,7 @@ from adlens.llm.packing import fill_rates, packed
 from adlens.llm.pii import personal_information, redacted
 from adlens.llm.residue import residue, validated
 from adlens.llm.simcluster import described, linked
-from adlens.session import table
+from adlens.session import table, written
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -65,7 +65,8 @@ def p5_validation(spark: SparkSession, root: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     rows = texts(spark, root)
-    return boilerplate(rows).join(residue(rows).select("src", "rec_id"), ["src", "rec_id"], "left_anti").distinct()
+    cases = written(residue(rows).select("src", "rec_id"))
+    return boilerplate_lists(rows).join(cases, ["src", "rec_id"], "left_anti").select("src", "rec_id", F.explode("line_nos").alias("line_no"))
 
 
 def p8_packed(spark: SparkSession, root: str) -> DataFrame:

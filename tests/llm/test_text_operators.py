@@ -142,7 +142,7 @@ def test_residue_on_unseen_hosts(spark):
     assert ((z > 0) == test["label"].to_numpy(bool)).mean() > 0.9
     assert residue_vote(BAD[0]) and not residue_vote(PARAS[2])
     known = trained(table)
-    assert {r["rec_id"] for r in residue(rows(spark, ["Error 503: the server could not finish your request.", PARAS[1], "Buy {{brand}} now and save at %%shop%%."]), weights=known).collect()} == {0, 2}
+    assert {r["rec_id"] for r in residue(rows(spark, [BAD[0], PARAS[1], BAD[4]]), weights=known).collect()} == {0, 2}
 
 
 def test_least_score():
