@@ -7,22 +7,32 @@ clean model's probability of the run after the pair's inverse transform, and (al
 inverse. The clean model is a character bigram model counted over the whole corpus, without the texts that hold a run
 which is well-formed in a multi-byte pair or U+FFFD. Viterbi labels the runs; each labelled span gets its state's inverse.
 
+Every text is read once, into the runs of its lines; training and labelling work on these. The clean model counts each distinct
+line once, so that copies of a text, or a line that stands on every page of a site, count like one.
+
 Defined cases: null text is no case and gives no row; empty and pure ASCII texts are clean; repeated rows are judged
-each for itself; an empty table gives an empty result. A rare sign is known as clean once it stands in more texts than the model's discount. Numeric references beyond ASCII are read as their characters. Restored text keeps lost characters as U+FFFD.
+each for itself, and alike; an empty table gives an empty result. A rare sign is known as clean once it stands in more distinct
+lines than the model's discount. Numeric references beyond ASCII are read as their characters. Restored text differs from the
+given one in the labelled runs only; lost characters stay as they are.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from array import array
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from adlens.session import written
+
 #: (written in, read in, times). Order decides ties.
 PAIRS = (
     ("utf-8", "cp1252", 1), ("utf-8", "latin-1", 1), ("utf-8", "cp1250", 1), ("utf-8", "cp437", 1), ("utf-8", "cp850", 1), ("utf-8", "mac_roman", 1), ("utf-8", "cp1254", 1),
@@ -33,7 +43,8 @@ PAIRS = (
 )
 STATES = ("clean", *(f"{w}>{r}" + (f"*{n}" if n > 1 else "") for w, r, n in PAIRS), "lost")
 LOST = len(STATES) - 1
-RUN = re.compile(r"[^\x00-\x7f]+")
+#: A run, with the ASCII characters before and after it; the latter may come before the next run, too.
+RUN = re.compile(r"([\x00-\x7f]?)([^\x00-\x7f]+)(?=([\x00-\x7f]?))")
 #: References to characters beyond ASCII in markup, which hide runs.
 BEYOND = r"[^\x00-\x7f]|&#"
 REFERENCE = re.compile(r"&#(\d{3,7}|[xX][0-9a-fA-F]{2,6});")
@@ -98,32 +109,59 @@ def plain(text: str) -> str:
     return REFERENCE.sub(_referred, text) if "&#" in text else text
 
 
-def _sides(text: str, m: re.Match) -> tuple[str, str]:
-    a, b = m.span()
-    return _symbol(text[a - 1]) if a else " ", _symbol(text[b]) if b < len(text) else " "
+def runs_of(line: str) -> list[str]:
+    """The runs of a line, each between its neighbours."""
+    return [before + run + after for before, run, after in RUN.findall(line)]
+
+
+def _taken_apart(key: str) -> tuple[str, str, str]:
+    """(class of the character before, run, class of the character after); the ends of a line are white space."""
+    before, after = key[0] <= "\x7f", key[-1] <= "\x7f"
+    return _symbol(key[0]) if before else " ", key[before : len(key) - after], _symbol(key[-1]) if after else " "
+
+
+def read_runs(texts: DataFrame) -> DataFrame:
+    """(src, rec_id, runs, hashes) of the texts with characters beyond ASCII: runs line by line, and a hash of each such line."""
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for src, rec_id, text in zip(part["src"], part["rec_id"], part["text"]):
+                text = plain(text.replace("\x00", " "))
+                if not text.isascii():
+                    lines = [x for x in text.split("\n") if not x.isascii()]
+                    hashes = array("q", (xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in lines))
+                    out.append((src, rec_id, "\n".join("\0".join(runs_of(x)) for x in lines), hashes.tobytes()))
+            yield pd.DataFrame(out, columns=["src", "rec_id", "runs", "hashes"])
+
+    rows = texts.select("src", "rec_id", "text").filter(F.col("text").rlike(BEYOND))
+    return rows.mapInPandas(read, "src string, rec_id bigint, runs string, hashes binary")
+
+
+def _keys(runs: str) -> list[str]:
+    return runs.replace("\n", "\0").split("\0")
 
 
 def count_bigrams(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Bigrams at non-ASCII runs of the texts that show no multi-byte damage: columns p, c, n."""
+    """Bigrams at the runs of lines that show no multi-byte damage: columns p, c, n."""
     counts: Counter = Counter()
     broken: dict[str, bool] = {}
     for part in parts:
-        for text in part["text"]:
-            own = []
-            for m in RUN.finditer(text):
-                run = m.group()
-                bad = broken.get(run)
+        for line in part["line"]:
+            own = line.split("\0")
+            for key in own:
+                bad = broken.get(key)
                 if bad is None:
-                    bad = _multi_byte(run)
+                    bad = _multi_byte(_taken_apart(key)[1])
                     if len(broken) < 200_000:
-                        broken[run] = bad
+                        broken[key] = bad
                 if bad:
                     break
-                own.append((*_sides(text, m), run))
             else:
                 counts.update(own)
     grams: Counter = Counter()
-    for (before, after, run), n in counts.items():
+    for key, n in counts.items():
+        before, run, after = _taken_apart(key)
         symbols = [_symbol(c) for c in run]
         for p, c in zip([before, *symbols], [*symbols, after]):
             grams[p, c] += n
@@ -198,76 +236,122 @@ def viterbi(emissions: np.ndarray) -> np.ndarray:
 
 
 class Labeller:
-    """Labels whole texts; emissions are kept by run and context."""
+    """Labels the runs of whole texts; emissions are kept by run and neighbours."""
 
     def __init__(self, model: CleanModel):
-        self.model, self.cache = model, {}
-
-    def states(self, text: str) -> list[tuple[re.Match, int]] | None:
-        """The runs with their states, or None if every run is clean."""
-        found, rows, doubt = [], [], False
-        cache = self.cache
-        for m in RUN.finditer(text):
-            key = (*_sides(text, m), m.group())
-            e = cache.get(key)
-            if e is None:
-                vector = _emission(self.model, key[0], key[2], key[1])
-                e = (vector, bool(vector.argmax()))
-                if len(cache) < 300_000:
-                    cache[key] = e
-            found.append(m)
-            rows.append(e[0])
-            doubt |= e[1]
+        self.model, self.known, self.clean = model, {}, set()
+
+    def states(self, keys: list[str]) -> np.ndarray | None:
+        """The states of the runs, or None if every run is clean."""
         # If clean is the best emission everywhere, it is the best path: leaving it only costs.
+        if self.clean.issuperset(keys):
+            return None
+        rows, doubt = [], False
+        for key in keys:
+            e = self.known.get(key)
+            if e is None:
+                before, run, after = _taken_apart(key)
+                e = _emission(self.model, before, run, after)
+                if len(self.known) < 300_000:
+                    self.known[key] = e
+                    if not e.argmax():
+                        self.clean.add(key)
+            rows.append(e)
+            doubt = doubt or bool(e.argmax())
         if not doubt:
             return None
         path = viterbi(np.stack(rows))
-        return list(zip(found, path)) if path.any() else None
-
-    def restore(self, text: str, labelled: list[tuple[re.Match, int]]) -> tuple[str, bool]:
+        return path if path.any() else None
+
+    def restored(self, text: str) -> tuple[str, bool] | None:
+        """``text`` with the inverse of each labelled run in its place, and whether all could be restored; None if it is clean."""
+        spots, shown, ends = [], text, [0]
+        if "&#" in text:  # where each piece of the text with references read stands in the given one
+            pieces, at = [], 0
+            for m in REFERENCE.finditer(text):
+                char = _referred(m)
+                if char != m.group():
+                    pieces += [text[at : m.start()], char]
+                    spots.append((sum(map(len, pieces[-2:])) + ends[-1] - 1, m.start(), m.end()))
+                    ends.append(ends[-1] + len(pieces[-2]) + 1)
+                    at = m.end()
+            shown = "".join([*pieces, text[at:]])
+        starts = [x for x, _, _ in spots]
+
+        def place(i: int, end: bool) -> int:
+            """Offset in ``text`` of the character ``i`` of ``shown``, or of its end."""
+            k = bisect_right(starts, i) - 1
+            if k < 0:
+                return i + end
+            x, a, b = spots[k]
+            return (b if end else a) if x == i else b + i - x - 1 + end
+
+        found, keys, base = [], [], 0
+        for line in shown.replace("\0", " ").split("\n"):
+            if not line.isascii():
+                for m in RUN.finditer(line):
+                    found.append((base + m.start(2), base + m.end(2), m[2]))
+                    keys.append(m[1] + m[2] + m[3])
+            base += len(line) + 1
+        path = self.states(keys) if keys else None
+        if path is None:
+            return None
         out, at, whole = [], 0, True
-        for m, s in labelled:
-            fixed = inverse(m.group(), s)
-            whole &= fixed is not None and s != LOST
-            out += [text[at : m.start()], m.group() if fixed is None else fixed]
-            at = m.end()
+        for (a, b, run), s in zip(found, path):
+            if s:
+                fixed = inverse(run, s)
+                whole &= fixed is not None and s != LOST
+                if fixed is not None and fixed != run:
+                    out += [text[at : place(a, False)], fixed]
+                    at = place(b - 1, True)
         return "".join([*out, text[at:]]), whole
 
 
-def clean_model(texts: DataFrame, rounds: int = 2) -> list[tuple[str, str, int]]:
-    """Bigram counts over all texts; at most (symbols)**2 rows, the symbols being bounded by ``_symbol``.
+def clean_model(runs: DataFrame, rounds: int = 2) -> list[tuple[str, str, int]]:
+    """Bigram counts over the distinct lines of ``runs``; at most (symbols)**2 rows, the symbols being bounded by ``_symbol``.
 
     Viterbi training: every further round counts again without the texts that the round before labelled garbled.
     """
-    sc, grams = texts.sparkSession.sparkContext, None
+    sc, grams = runs.sparkSession.sparkContext, None
     for _ in range(rounds):
         before = sc.broadcast(grams)
 
-        def count(parts: Iterator[pd.DataFrame], before=before) -> Iterator[pd.DataFrame]:
+        def lines(parts: Iterator[pd.DataFrame], before=before) -> Iterator[pd.DataFrame]:
             labeller = Labeller(CleanModel(before.value)) if before.value else None
-            return count_bigrams(({"text": [t for t in map(plain, x["text"]) if not (labeller and labeller.states(t))]} for x in parts))
-
-        counted = texts.select("text").filter(F.col("text").rlike(BEYOND)).mapInPandas(count, "p string, c string, n long")
+            for part in parts:
+                own: dict[int, str] = {}
+                for text, hashes in zip(part["runs"], part["hashes"]):
+                    if labeller is None or labeller.states(_keys(text)) is None:
+                        own.update(zip(np.frombuffer(hashes, "<i8").tolist(), text.split("\n")))
+                yield pd.DataFrame({"hash": pd.Series(list(own), dtype="int64"), "line": pd.Series(list(own.values()), dtype=object)})
+
+        once = runs.select("runs", "hashes").mapInPandas(lines, "hash long, line string").groupBy("hash").agg(F.first("line").alias("line"))
+        counted = once.select("line").mapInPandas(count_bigrams, "p string, c string, n long")
         grams = [tuple(r) for r in counted.groupBy("p", "c").agg(F.sum("n").alias("n")).collect()]
     return grams
 
 
 def mojibake(texts: DataFrame, restore: bool = True) -> DataFrame:
     """Garbled rows of ``texts`` (src, rec_id, text): src, rec_id, states; with ``restore`` also restorable, restored."""
-    spark = texts.sparkSession
     rows = texts.select("src", "rec_id", "text").filter(F.col("text").isNotNull())
-    grams = spark.sparkContext.broadcast(clean_model(rows))
+    runs = written(read_runs(rows))
+    grams = texts.sparkSession.sparkContext.broadcast(clean_model(runs))
 
     def label(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         labeller = Labeller(CleanModel(grams.value))
         for part in parts:
-            out = []
-            for src, rec_id, text in zip(part["src"], part["rec_id"], map(plain, part["text"])):
-                labelled = labeller.states(text)
-                if labelled:
-                    names = sorted({STATES[s] for _, s in labelled if s})
-                    out.append((src, rec_id, names, *(reversed(labeller.restore(text, labelled)) if restore else ())))
-            yield pd.DataFrame(out, columns=["src", "rec_id", "states", "restorable", "restored"][: 5 if restore else 3])
-
-    kind = "src string, rec_id bigint, states array<string>" + ", restorable boolean, restored string" * restore
-    return rows.filter(F.col("text").rlike(BEYOND)).mapInPandas(label, kind)
+            found = ((src, rec_id, labeller.states(_keys(own))) for src, rec_id, own in zip(part["src"], part["rec_id"], part["runs"]))
+            yield pd.DataFrame([(src, rec_id, sorted({STATES[s] for s in path if s})) for src, rec_id, path in found if path is not None], columns=["src", "rec_id", "states"])
+
+    found = runs.select("src", "rec_id", "runs").mapInPandas(label, "src string, rec_id bigint, states array<string>")
+    if not restore:
+        return found
+
+    def mend(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        labeller = Labeller(CleanModel(grams.value))
+        for part in parts:
+            both = [labeller.restored(t) or (t, True) for t in part["text"]]
+            yield part.drop(columns="text").assign(restorable=[w for _, w in both], restored=[t for t, _ in both])
+
+    kind = "src string, rec_id bigint, states array<string>, restorable boolean, restored string"
+    return rows.join(written(found), ["src", "rec_id"]).select("src", "rec_id", "states", "text").mapInPandas(mend, kind)

@@ -29,7 +29,7 @@ CLEAN = [PL, "L’été à la plage, très chaud : « déjà vu » – naïve ca
 
 def test_encodings_round_trip(spark):
     broken = [(PL, "utf-8", "cp1250"), (PL, "utf-8", "latin-1"), (PL, "cp1250", "latin-1"), (PL, "iso8859-2", "latin-1"), (CLEAN[1], "utf-8", "mac_roman"), (CLEAN[2], "utf-8", "cp437"), (CLEAN[2] * 3, "cp1252", "cp850")]
-    texts = CLEAN * 12
+    texts = [f"{text} {i}" for i in range(12) for text in CLEAN]
     wanted = {}
     for text, written, read in broken:
         bad = "".join(mojibake_char(b, read) for b in text.encode(written, errors="ignore"))
@@ -45,6 +45,17 @@ def test_encodings_round_trip(spark):
         assert found[i]["restored"] == text and found[i]["restorable"]
     assert not found[lost]["restorable"]
     assert mojibake.mojibake(rows(spark, []).limit(0)).count() == 0
+    # Copies vouch for nothing: with every text twenty times the same texts are found.
+    again = mojibake.mojibake(rows(spark, texts * 20), restore=False).collect()
+    assert {r["rec_id"] % len(texts) for r in again} == set(found) and len(again) == 20 * len(found)
+
+
+def test_restored_text_differs_in_labelled_runs_only(spark):
+    bad = "<p>caf&#233; &#8211; \0 Größe</p>\n<p>fÃ¼r Ã¼ber &#195;&#188;ber &amp; schÃ¶n</p>\n<p>&#8222;gut&#8220; x&#228;y</p>"
+    good = "<p>caf&#233; &#8211; \0 Größe</p>\n<p>für über über &amp; schön</p>\n<p>&#8222;gut&#8220; x&#228;y</p>"
+    clean = [f"{t} für über schön {i}" for i in range(12) for t in CLEAN]
+    found = {r["rec_id"]: r for r in mojibake.mojibake(rows(spark, [*clean, bad, *clean[:3]])).collect()}
+    assert set(found) == {len(clean)} and found[len(clean)]["restored"] == good and found[len(clean)]["restorable"]
 
 
 def mojibake_char(b, encoding):
