@@ -10,8 +10,11 @@ strong ones accept any instance that is not overwhelmingly found elsewhere. Exac
 addresses need no context.
 
 Defined cases: null texts give no row and stay null when replaced; empty texts hold nothing; every occurrence counts; values
-never overlap, the one that starts first and is longest stays, emails before all others; repeated rows count each under their own id; empty
-tables give no rows. Nothing is cut: texts of any length are read whole.
+never overlap: of values that do, the heaviest stays, then the earliest and longest, emails before all others, and whatever overlaps
+one that stays goes; repeated rows count each under their own id; empty tables give no rows. Texts and their lines are read whole at any
+length: an address is tried at each of the ``REACH`` words before a house number (its grammar has at most five) and may end anywhere on
+the line, a pattern is the last words however long, and a number may have any number of digits from ``LEAST_DIGITS``.
+``support`` is the least number of observations behind a decision, whatever the size of the table.
 """
 
 from __future__ import annotations
@@ -53,6 +56,10 @@ ADDRESS = re.compile(
 _NEAR_NUMBER = re.compile(rf"[{_UP}][{_UP}{_LOW}’'.-]+ \d{{1,4}}(?![\d.,]*\d)|(?<![\w.,/-])\d{{1,4}}(?: ?(?:bis|ter|quater)|[a-zA-Z])?,? (?:[{_UP}]|(?i:{STREET_FRENCH})\b)")
 _AT = re.compile(r"(?i)@|[\[(]at[\])]")
 _NAME_TOKEN = re.compile(rf"(?<![\w@#.&’'-])(?:(?:(?<=[\s=(:;])|(?<!.))[{_UP}]\.(?=[ ][{_UP}])|[{_UP}][{_LOW}]+(?:[’'-][{_UP}]?[{_LOW}]+)*|[{_UP}]{{2,}}(?:-[{_UP}]{{2,}})*)(?![\w@])")
+#: Where an address may begin, and how many words before its number.
+_BEGIN = re.compile(rf"(?<!\w)[{_UP}0-9uaop]")
+REACH = 8
+LEAST_DIGITS = 6
 _CONTEXT = re.compile(r"\w+|[^\w ]")
 _PLAIN = str.maketrans("łŁøØđĐ", "lLoOdD")
 
@@ -65,8 +72,14 @@ def folded(word: str) -> str:
 
 def left_of(text: str, at: int, words: int = 2) -> str:
     """The last words and signs before ``at``, new lines as one sign, numbers as 0."""
-    left = text[max(0, at - 40) : at]
-    tokens = _CONTEXT.findall(left.replace("\n", " ⏎ ").lower())[-words:]
+    width = 40
+    while True:
+        left = text[max(0, at - width) : at]
+        tokens = _CONTEXT.findall(left.replace("\n", " ⏎ ").lower())
+        if len(tokens) > words or width >= at:
+            break
+        width *= 8
+    tokens = tokens[-words:]
     return " ".join("0" if t.isdigit() else t for t in tokens)
 
 
@@ -85,21 +98,30 @@ def _pesel(value: str) -> bool:
 
 
 def _addresses(text: str) -> Iterator[re.Match]:
-    """Address shapes, looked for in the lines around numbers that may be house numbers."""
+    """Address shapes on the lines of numbers that may be house numbers, from left to right, none within another."""
     done = 0
     for hit in _NEAR_NUMBER.finditer(text):
         if hit.end() <= done:
             continue
-        start = max(done, text.rfind("\n", 0, hit.start()) + 1, hit.start() - 90)
-        if start and text[start - 1].isalnum():  # not into the middle of a word
-            start = text.find(" ", start) + 1 or start
-        end = text.find("\n", hit.end(), hit.end() + 120)
-        end = min(len(text), hit.end() + 120) if end < 0 else end
-        for m in ADDRESS.finditer(text, min(start, hit.start()), end):
-            yield m
-            done = m.end()
-            if done >= hit.end():
+        first = max(done, text.rfind("\n", 0, hit.start()) + 1)
+        start = hit.start()
+        for _ in range(REACH):
+            if start <= first:
                 break
+            start = text.rfind(" ", first, start - 1) + 1 or first
+        end = text.find("\n", hit.end())
+        end = len(text) if end < 0 else end
+        at = max(first, start)
+        while at < hit.end():
+            begin = _BEGIN.search(text, at, hit.end())
+            if begin is None:
+                break
+            m = ADDRESS.match(text, begin.start(), end)
+            if m is None:
+                at = begin.end()
+            else:
+                yield m
+                at = done = m.end()
 
 
 def _mentions(text: str) -> list[tuple]:
@@ -129,7 +151,7 @@ def _mentions(text: str) -> list[tuple]:
         if value[0] == "(" and value[-1] == ")" and value.count("(") == 1:  # a number in brackets, not an area code
             value, a, b = value[1:-1], a + 1, b - 1
         digits = sum(c.isdigit() for c in value)
-        if 8 <= digits <= 16 and free(a, b):
+        if digits >= LEAST_DIGITS and free(a, b):
             phone = digits <= 15 and (value[0] == "+" and digits >= 9 or value.startswith("00") and digits >= 12 and len(value) > digits)
             out.append(("number", a, b, number_shape(value), left_of(text, a), 1 if phone else 2 if _is_identity(value) else 0))
     for m in CODE.finditer(text):
@@ -203,22 +225,33 @@ def personal_information(documents: DataFrame, rounds: int = 3, least_pattern: f
     others = found.filter("kind IN ('name', 'address')")
     edges = written(as_kinds.unionByName(others).groupBy("kind", "instance", "pattern").agg(F.count("*").alias("n"), F.sum("seed").alias("seeds")))
     instances, patterns = score_graph(edges, rounds, least_pattern, least_instance, support)
-    accepted = edges.join(patterns.select("kind", "pattern", F.lit(1).alias("ok")), ["kind", "pattern"], "left")
-    totals = accepted.groupBy("kind", "instance").agg((F.sum(F.when(F.col("ok") == 1, F.col("n")).otherwise(F.col("seeds"))) / F.sum("n")).alias("share"))
-    scored = as_kinds.unionByName(others).join(totals, ["kind", "instance"]).join(instances.withColumnRenamed("score", "i_score"), ["kind", "instance"], "left").join(patterns.withColumnRenamed("score", "p_score"), ["kind", "pattern"], "left").fillna(0.0, ["i_score", "p_score"])
+    scored = edges.join(patterns.withColumnRenamed("score", "p_score"), ["kind", "pattern"], "left").fillna(0.0, ["p_score"])
+    totals = scored.groupBy("kind", "instance").agg((F.sum(F.when(F.col("p_score") > 0, F.col("n")).otherwise(F.col("seeds"))) / F.sum("n")).alias("share"))
+    totals = totals.join(instances.withColumnRenamed("score", "i_score"), ["kind", "instance"], "left").fillna(0.0, ["i_score"])
+    scored = scored.join(totals, ["kind", "instance"])
     # A strong pattern accepts an instance unless nearly all of its mentions stand elsewhere: the odds of both, at any table size.
     unseen = (F.col("p_score") >= 0.7) & (F.col("p_score") * F.col("share") >= least_odds * (1 - F.col("p_score")) * (1 - F.col("share")))
-    good = F.when((F.col("kind") == "name") & (F.col("instance") == "."), (F.col("p_score") > 0) | (F.col("seed") > 0)).otherwise((F.col("seed") > 0) | (F.col("i_score") > 0) | unseen)
-    weight = 2 * F.col("seed") + F.col("i_score") + F.col("p_score")
-    kept = scored.filter(good).select("doc_id", "kind", "start_at", "end_at", weight.alias("weight"))
+    good = F.when((F.col("kind") == "name") & (F.col("instance") == "."), F.col("p_score") > 0).otherwise((F.col("i_score") > 0) | unseen)
+    # Every mention of an instance behind a pattern shares one decision, so that only pairs of both are joined to the mentions.
+    decided = scored.filter(good | (F.col("seeds") > 0)).select("kind", "instance", "pattern", good.alias("good"), (F.col("i_score") + F.col("p_score")).alias("weight"))
+    kept = as_kinds.unionByName(others).join(decided, ["kind", "instance", "pattern"]).filter(F.col("good") | (F.col("seed") > 0))
+    kept = kept.select("doc_id", "kind", "start_at", "end_at", (2 * F.col("seed") + F.col("weight")).alias("weight"))
     kept = kept.unionByName(found.filter("kind = 'email'").select("doc_id", "kind", "start_at", "end_at", F.lit(9.0).alias("weight")))
-    # Of overlapping values the heavier stays, then the earlier and longer one. A value overlaps few others, so its neighbours in order suffice.
-    best = kept.withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "start_at").orderBy(F.desc("weight"), F.desc("end_at"), "kind"))).filter("r = 1").drop("r")
-    order = Window.partitionBy("doc_id").orderBy("start_at")
-    sides = best.select("*", F.lag("end_at").over(order).alias("end_before"), F.lag("weight").over(order).alias("weight_before"), F.lead("start_at").over(order).alias("start_after"), F.lead("weight").over(order).alias("weight_after"))
-    loses = ((F.col("end_before") > F.col("start_at")) & (F.col("weight_before") >= F.col("weight"))) | ((F.col("start_after") < F.col("end_at")) & (F.col("weight_after") > F.col("weight")))
-    values = sides.filter(~F.coalesce(loses, F.lit(False))).select("doc_id", F.col("kind").alias("pii_kind"), "start_at", "end_at")
-    return values.join(copies, "doc_id").select(F.col("copy_id").alias("doc_id"), "pii_kind", "start_at", "end_at")
+    return apart(kept).join(copies, "doc_id").select(F.col("copy_id").alias("doc_id"), F.col("kind").alias("pii_kind"), "start_at", "end_at")
+
+
+def apart(values: DataFrame) -> DataFrame:
+    """(doc_id, kind, start_at, end_at): of overlapping values of a text (with weight) the heaviest, then those that overlap none kept before."""
+    order = Window.partitionBy("doc_id").orderBy("start_at", "end_at", "kind")
+    reach = F.max("end_at").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    # A run of values that overlap one another, directly or by others between them, is settled by itself.
+    runs = values.withColumn("new", F.coalesce((reach <= F.col("start_at")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    held = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("lightness"), "start_at", (-F.col("end_at")).alias("back"), "kind")))
+    held = runs.groupBy("doc_id", "run").agg(held.alias("held"))
+    free = lambda kept, x: ~F.exists(kept, lambda k: (k["start_at"] < -x["back"]) & (x["start_at"] < -k["back"]))
+    kept = F.aggregate(F.slice("held", 2, F.size("held")), F.slice("held", 1, 1), lambda kept, x: F.when(free(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+    single = F.when(F.size("held") == 1, F.col("held")).otherwise(kept)
+    return held.select("doc_id", F.explode(single).alias("v")).select("doc_id", "v.kind", "v.start_at", (-F.col("v.back")).alias("end_at"))
 
 
 def redacted(documents: DataFrame, **options) -> DataFrame:
