@@ -34,8 +34,11 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "[ \t\n]+", " "))
 
 
-def latest_rows(snapshots: DataFrame, tie: str = "snap_id") -> DataFrame:
-    """One row per (delivery, page): page, k1/k2 (key hash), digest of the squeezed text."""
+def row_digests(snapshots: DataFrame, tie: str = "snap_id") -> DataFrame:
+    """One row per (delivery, page): page, place (key hash), digest of the squeezed text.
+
+    All that a comparison needs of a delivery: kept as a table, with those of a new delivery appended, no text is read twice.
+    """
     rows = snapshots.filter(F.col("text").isNotNull() & F.col("url").isNotNull() & F.col("delivery").isNotNull()).select(
         F.col("delivery").cast("int").alias("delivery"), normal_url(F.col("url")).alias("page"), F.col("fetched_at"), F.col(tie).alias("tie"), F.unhex(F.sha2(squeezed(F.col("text")), 256)).alias("digest")
     )
@@ -44,6 +47,11 @@ def latest_rows(snapshots: DataFrame, tie: str = "snap_id") -> DataFrame:
     )
 
 
+def bits_for(pages: int) -> int:
+    """Bits that give about one page a leaf, so that a leaf that differs holds little else than what differs."""
+    return min(48, max(4, (max(1, pages) - 1).bit_length()))
+
+
 def merkle_levels(latest: DataFrame, leaf_bits: int, level_bits: int) -> list[DataFrame]:
     """Trees of all deliveries, root level first; each level: delivery, node, digest sums a and b."""
     hashed = latest.select("delivery", F.shiftrightunsigned("place", 64 - leaf_bits).alias("node"), F.xxhash64("page", "digest").alias("a"), F.xxhash64("digest", "page", F.lit(7)).alias("b"))
@@ -86,20 +94,32 @@ def differing_leaves(levels: list[DataFrame], leaf_bits: int, level_bits: int) -
     return open_nodes
 
 
-def snapshot_changes(snapshots: DataFrame, tie: str = "snap_id", leaf_bits: int = 16, level_bits: int = 8) -> DataFrame:
-    """(delivery, url, change_kind) for every delivery against the one before it.
-
-    ``leaf_bits`` sets 2**leaf_bits leaf buckets; choose about log2(pages) - 4, more only costs digests.
-    """
-    latest = written(latest_rows(snapshots, tie))
-    levels = merkle_levels(latest, leaf_bits, level_bits)
+def open_rows(digests: DataFrame, leaf_bits: int | None = None, level_bits: int = 8) -> DataFrame:
+    """(delivery, page, digest, side): the rows in leaves that differ, side 1 of the delivery and side 0 of the one before it."""
+    if leaf_bits is None:
+        most = digests.groupBy("delivery").count().agg(F.max("count")).first()[0]
+        leaf_bits = bits_for(most or 0)
+    levels = merkle_levels(digests, leaf_bits, level_bits)
     there = levels[0].select("delivery").distinct()
     compared = there.join(there.select((F.col("delivery") + 1).alias("delivery")), "delivery", "left_semi")
     leaves = differing_leaves(levels, leaf_bits, level_bits).join(F.broadcast(compared), "delivery", "left_semi")
-    rows = latest.withColumn("node", F.shiftrightunsigned("place", 64 - leaf_bits))
+    rows = digests.withColumn("node", F.shiftrightunsigned("place", 64 - leaf_bits))
     sides = rows.withColumn("side", F.lit(1)).unionByName(rows.withColumn("delivery", F.col("delivery") + 1).withColumn("side", F.lit(0)))
+    return sides.join(leaves, ["delivery", "node"], "left_semi").select("delivery", "page", "digest", "side")
+
+
+def changes(digests: DataFrame, leaf_bits: int | None = None, level_bits: int = 8) -> DataFrame:
+    """(delivery, url, change_kind) from ``row_digests`` of the deliveries.
+
+    2**leaf_bits leaf buckets, by default about one page a leaf in the largest delivery.
+    """
     # One shuffle by (delivery, page) brings both sides together; at most two digests meet in a group.
-    near = sides.join(leaves, ["delivery", "node"], "left_semi")
+    near = open_rows(digests, leaf_bits, level_bits)
     paired = near.groupBy("delivery", "page").agg(*[F.max(F.when(F.col("side") == s, F.col("digest"))).alias(f"d{s}") for s in (0, 1)])
     kind = F.when(F.col("d0").isNull(), "added").when(F.col("d1").isNull(), "removed").when(F.col("d0") != F.col("d1"), "changed")
     return paired.select("delivery", F.col("page").alias("url"), kind.alias("change_kind")).filter(F.col("change_kind").isNotNull())
+
+
+def snapshot_changes(snapshots: DataFrame, tie: str = "snap_id", leaf_bits: int | None = None, level_bits: int = 8) -> DataFrame:
+    """(delivery, url, change_kind) for every delivery against the one before it."""
+    return changes(written(row_digests(snapshots, tie)), leaf_bits, level_bits)

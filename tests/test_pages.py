@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from adlens.operators.html import coverage, gaps, known_availability, parsed, product_view, resolved, signals
-from adlens.operators.snapshot_diff import normal_url, snapshot_changes
+from adlens.operators.snapshot_diff import bits_for, changes, normal_url, open_rows, row_digests, snapshot_changes
 from adlens.operators.versions import diffs, flagged
 from adlens.sources.pages import domain_slug, inline, output_format, url_slug
 from adlens.sources.rest import RestSource, await_task, flattened, location_options, send
@@ -123,7 +123,23 @@ def test_snapshot_changes(spark):
     for bits, step in ((16, 8), (4, 3), (5, 5)):
         got = {tuple(r) for r in snapshot_changes(df, leaf_bits=bits, level_bits=step).collect()}
         assert got == brute_changes(rows)
+    assert {tuple(r) for r in snapshot_changes(df).collect()} == brute_changes(rows)
     assert snapshot_changes(df.limit(0)).count() == 0
+    # Digests kept of the earlier deliveries serve as well as their texts.
+    kept = row_digests(df.filter("delivery < 3")).unionByName(row_digests(df.filter("delivery >= 3")))
+    assert {tuple(r) for r in changes(kept).collect()} == brute_changes(rows)
+
+
+def test_few_rows_are_compared(spark):
+    """The leaves follow the number of pages, so that about as many rows are compared as changed."""
+    for pages in (300, 6000):
+        ids = spark.range(pages)
+        old = ids.select(F.lit(1).alias("delivery"), F.concat(F.lit("http://h/"), "id").alias("url"), F.lit("a").alias("text"), F.col("id").alias("snap_id"), F.lit(None).cast("timestamp_ntz").alias("fetched_at"))
+        new = old.withColumn("delivery", F.lit(2)).withColumn("text", F.when(F.col("snap_id") % 50 == 0, "b").otherwise(F.col("text")))
+        digests = row_digests(old.unionByName(new))
+        opened = open_rows(digests).filter("side = 1").count()
+        assert pages // 50 <= opened <= 3 * pages // 50
+    assert [bits_for(n) for n in (0, 1, 16, 17, 10**9)] == [4, 4, 4, 5, 30]
 
 
 def answer(status, results, task=20000):
