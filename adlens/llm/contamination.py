@@ -9,7 +9,8 @@ comparison confirms them.
 Defined cases: null texts give no row; items of fewer than ``words`` words can't be found; repeated documents and items
 count each under its own id; a document that repeats an item more than once gives one row; empty tables give no rows.
 Patterns are searched in groups of whole items with at most ``group_patterns`` windows each (an item with more is its own
-group), so that what a task holds is bounded however many items there are; a pass over the documents serves each group.
+group), so that what the driver and a task hold is bounded however many items there are. The documents are read once: a task
+takes ``TEXTS_AT_ONCE`` characters of them and searches these for one group after the other.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
 B = 8
+#: Characters of documents that a task holds while it goes through the groups.
+TEXTS_AT_ONCE = 64_000_000
 
 
 def normal_words(text: Column) -> Column:
@@ -76,33 +79,50 @@ class WuManber:
         return found
 
 
-def leaked(documents: DataFrame, items: DataFrame, words: int = 13, group_patterns: int = 200_000) -> DataFrame:
-    """(doc_id, item_id): documents holding at least ``words`` consecutive words of an item."""
-    spark = documents.sparkSession
-    docs = documents.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint"), normal_words(F.col("text")).alias("words")).filter(F.length("words") > 2 * words)
-    groups: list[list[tuple[int, str]]] = [[]]
-    held = 0
+def _groups(items: DataFrame, words: int, group_patterns: int) -> Iterator[list[tuple[int, str]]]:
+    """Items with windows, in groups; one group at a time is held."""
+    group, held = [], 0
     texts = items.filter(F.col("text").isNotNull()).select("item_id", normal_words(F.col("text")).alias("words"))
     for item_id, text in texts.toLocalIterator():
         n = max(0, text.count(" ") - words)
-        if n and held + n > group_patterns and groups[-1]:
-            groups.append([])
-            held = 0
+        if n and held + n > group_patterns and group:
+            yield group
+            group, held = [], 0
         if n:
-            groups[-1].append((item_id, text))
+            group.append((item_id, text))
             held += n
-    out = None
-    for group in groups:
-        if not group:
-            continue
-        shared = spark.sparkContext.broadcast(group)
-
-        def find(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            machine = WuManber(windows(shared.value, words))
-            for part in parts:
-                rows = [(d, i) for d, text in zip(part["doc_id"], part["words"]) for i in machine.search(text)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id"]).astype("int64")
-
-        one = docs.mapInPandas(find, "doc_id bigint, item_id bigint")
-        out = one if out is None else out.unionByName(one)
-    return spark.createDataFrame([], "doc_id bigint, item_id bigint") if out is None else out
+    if group:
+        yield group
+
+
+def leaked(documents: DataFrame, items: DataFrame, words: int = 13, group_patterns: int = 200_000) -> DataFrame:
+    """(doc_id, item_id): documents holding at least ``words`` consecutive words of an item."""
+    spark = documents.sparkSession
+    docs = documents.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint"), normal_words(F.col("text")).alias("words")).filter(F.length("words") > 2 * words)
+    shared = [spark.sparkContext.broadcast(group) for group in _groups(items, words, group_patterns)]
+    if not shared:
+        return spark.createDataFrame([], "doc_id bigint, item_id bigint")
+
+    def machines() -> Iterator[WuManber]:
+        for group in shared:
+            yield WuManber(windows(group.value, words))
+            del group._value  # loaded again when its turn comes
+
+    def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        only = next(machines()) if len(shared) == 1 else None
+
+        def search(held: list[pd.DataFrame]) -> pd.DataFrame:
+            rows = [(d, i) for machine in ([only] if only else machines()) for part in held for d, text in zip(part["doc_id"], part["words"]) for i in machine.search(text)]
+            return pd.DataFrame(rows, columns=["doc_id", "item_id"]).astype("int64")
+
+        held, size = [], 0
+        for part in parts:
+            held.append(part)
+            size += int(part["words"].str.len().sum())
+            if only or size >= TEXTS_AT_ONCE:
+                yield search(held)
+                held, size = [], 0
+        if held:
+            yield search(held)
+
+    return docs.mapInPandas(find, "doc_id bigint, item_id bigint")
