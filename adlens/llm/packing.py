@@ -8,23 +8,27 @@ filled with the largest text that still fits out of the next ``WINDOW`` texts, s
 A text beyond the capacity is split into full containers and a rest, which is packed like any other text; no other text is split.
 
 Defined cases: null texts are no items; empty texts are items of 0 tokens; equal texts have equal keys and are split over ranges by
-their ids, so no key is too frequent; an empty table gives no rows; capacities below 1 raise ValueError. Each range leaves at
-most a few containers at its end that could have been filled further.
+their ids, so no key is too frequent; an empty table gives no rows; null capacities and those below 1 raise ValueError; any number of
+kinds, repeated ones counting once. A range has at most some ``RANGE_ROWS`` texts, by the number of texts and
+not by the number of partitions, and leaves at most a few containers at its end that could have been filled further.
+The tokenizer's file is sent to the workers from the driver.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 from math import erf, sqrt
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +38,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that belongs to the rank file; it splits a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DIMS, BITS, WINDOW = 4, 10, 512
+#: Texts a range, and kinds of containers that one pass over the ranges fills.
+RANGE_ROWS, KINDS = 20_000, 1000
 
 
 @lru_cache(2)
@@ -92,8 +98,11 @@ def hilbert_key(grid: np.ndarray, bits: int = BITS) -> np.ndarray:
 def measured(documents: DataFrame, path: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, n_tokens, v0, v1, ...) of every text."""
 
+    name = os.path.basename(path)
+    documents.sparkSession.sparkContext.addFile(path)
+
     def measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokenizer(path, pattern).encode_ordinary
+        encode = tokenizer(SparkFiles.get(name), pattern).encode_ordinary
         for part in parts:
             texts = part["text"].tolist()
             v = vectors(texts)
@@ -163,27 +172,32 @@ def pack_along(items: Iterator[tuple[int, int]], capacity: int, window: int = WI
 
 def packed(documents: DataFrame, containers: DataFrame, path: str = TOKENIZER, pattern: str = PATTERN, window: int = WINDOW) -> DataFrame:
     """(container_kind, container_id, doc_id, start_token, n_tokens): every text in containers of every kind."""
-    kinds = [(r["container_kind"], r["capacity_tokens"]) for r in containers.select("container_kind", "capacity_tokens").limit(1001).collect()]
-    if len(kinds) > 1000 or any(c is None or c < 1 for _, c in kinds):
-        raise ValueError("capacities must be at least 1, of at most 1000 kinds of containers")
+    kinds = containers.select("container_kind", "capacity_tokens").distinct()
+    if kinds.filter("capacity_tokens IS NULL OR capacity_tokens < 1").limit(1).count():
+        raise ValueError("capacities must be at least 1")
     ordered = written(curve_order(written(measured(documents, path, pattern))))
-    spark = documents.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, -(-ordered.count() // RANGE_ROWS))
     ranged = ordered.repartitionByRange(parts, "curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id")
 
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base = TaskContext.get().partitionId() << 40
-        items = [(d, n) for batch in batches for d, n in zip(batch["doc_id"].tolist(), batch["n_tokens"].tolist())]
-        for kind, capacity in kinds:
-            rows = []
-            for container, doc, start, size in pack_along(items, capacity, window):
-                rows.append((kind, base + container, doc, start, size))
-                if len(rows) == 50_000:
-                    yield pd.DataFrame(rows, columns=["container_kind", "container_id", "doc_id", "start_token", "n_tokens"])
-                    rows = []
-            yield pd.DataFrame(rows, columns=["container_kind", "container_id", "doc_id", "start_token", "n_tokens"])
-
-    return ranged.mapInPandas(fill, "container_kind string, container_id bigint, doc_id bigint, start_token int, n_tokens int")
+    def filled(block: list[tuple[str, int]]) -> DataFrame:
+        def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            base = TaskContext.get().partitionId() << 40
+            items = [(d, n) for batch in batches for d, n in zip(batch["doc_id"].tolist(), batch["n_tokens"].tolist())]
+            for kind, capacity in block:
+                rows = []
+                for container, doc, start, size in pack_along(items, capacity, window):
+                    rows.append((kind, base + container, doc, start, size))
+                    if len(rows) == 50_000:
+                        yield pd.DataFrame(rows, columns=["container_kind", "container_id", "doc_id", "start_token", "n_tokens"])
+                        rows = []
+                yield pd.DataFrame(rows, columns=["container_kind", "container_id", "doc_id", "start_token", "n_tokens"])
+
+        return ranged.mapInPandas(fill, "container_kind string, container_id bigint, doc_id bigint, start_token int, n_tokens int")
+
+    out, listed = None, kinds.orderBy("container_kind", "capacity_tokens").toLocalIterator()
+    while block := [(r["container_kind"], r["capacity_tokens"]) for r in islice(listed, KINDS)]:
+        out = filled(block) if out is None else out.unionByName(filled(block))
+    return filled([]) if out is None else out
 
 
 def fill_rates(packing: DataFrame, containers: DataFrame) -> DataFrame:
