@@ -1,14 +1,17 @@
 """Groups of mutually similar vectors: power-iteration spectral clustering over sparse affinities.
 
-The affinity graph joins vectors of one space whose cosine reaches ``least``. It is kept sparse as incidences: inside every
-cell of the index the linked vectors form neighbourhoods (a neighbourhood has an id, its members are rows), so a dense
-group of m vectors costs m rows and not m**2. The degree-normalised affinity passes values from vectors to their
-neighbourhoods and back. Several start vectors, drawn from key hashes, are iterated together as columns of one distributed
-table; on every connected group they tend to the group's own weighted means, which differ from group to group. k-means on
-this embedding starts from its occupied cells (side ``tolerance``), so that k need not be known; with five columns two groups
-share a cell with a chance of about (number of groups)**2 * tolerance**5. A check against the affinities follows: as long as
-a neighbourhood lies in two clusters, these are merged. Members are ranked by internal affinity, the sum of their cosines with
-all members, which equals the product with the sum of the members' unit vectors.
+The affinity graph joins vectors of one space whose cosine reaches ``least``. It is kept sparse: inside every cell of the index
+a vector keeps its ``STRONGEST`` strongest links and the one to its best linked neighbour, and links that hold parts of the
+cell's graph together; all others say nothing new. The degree-normalised affinity (with each vector's own degree as a loop) is
+applied to several start vectors drawn from key hashes, iterated together as columns of one distributed table. k-means clusters
+the embedding, started from its occupied cells (side ``TOLERANCE``, so that k has a bound whatever the number of rows).
+
+Linked vectors that fall into one cluster become one node, with the affinities of its members added up. As long as affinities
+are left between nodes, the next level iterates the graph of the nodes, with fresh start vectors and, the nodes being fewer,
+cells of twice the side: a group that is well connected is one node after the first level, a long chain takes some more.
+Where a level joins nothing, the next one iterates twice as long. So a group is what the embedding holds together at some level, vectors that no affinity joins never
+share a group even where they share a cell, and with an embedding that tells nothing apart from anything no group is formed. Members
+are ranked by internal affinity, the sum of their cosines with all members, which equals the product with the sum of their unit vectors.
 
 Defined cases: unusable vectors (see ``vectors.usable``) take no part; a vector like no other is no group; equal vectors
 are one vector for the iteration and all members of the result; empty tables give no rows.
@@ -18,6 +21,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,127 +32,150 @@ from adlens.session import written
 #: Cells a vector is placed in and rows a cell is home to: groups hold together by links near the threshold, so in more cells than
 #: for the nearest vectors.
 NEAR, HOME = 7, 64
-COLUMNS, TOLERANCE = 5, 1e-3
+COLUMNS, TOLERANCE, STRONGEST = 3, 0.15, 2
+#: Levels after which links that are left would mean an embedding that holds nothing together.
+LEVELS = 40
 
 
-def _mixed(keys: np.ndarray) -> np.ndarray:
-    """64-bit integers spread evenly."""
-    z = keys.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
-def _hoods(least: float):
-    """Neighbourhoods of one cell: hood (id), key, weight (mean affinity to the hood's linked members)."""
-
-    def hoods(part: pd.DataFrame) -> pd.DataFrame:
+def _connected(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least row that each row is connected with."""
+    label = np.arange(n)
+    while True:
+        low = label.copy()
+        np.minimum.at(low, i, label[j])
+        np.minimum.at(low, j, label[i])
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def sparse_links(n: int, i: np.ndarray, j: np.ndarray, s: np.ndarray, strongest: int = STRONGEST) -> np.ndarray:
+    """Which of the links (i, j, s) of n rows to keep: connected rows stay connected, a row keeps a few."""
+    keep = np.zeros(len(i), bool)
+    degree = np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
+    at = np.arange(len(i), dtype=np.int64)
+
+    def best(score_i: np.ndarray, score_j: np.ndarray) -> None:
+        """Keep each row's link with the greatest score: of row i's link (i, j) that is ``score_i``."""
+        ends, links, scores = np.r_[i, j], np.r_[at, at], np.r_[score_i, score_j]
+        order = np.lexsort((links, -scores, ends))
+        first = np.r_[True, ends[order][1:] != ends[order][:-1]]
+        keep[links[order][first]] = True
+
+    best(degree[j].astype(float), degree[i].astype(float))
+    for _ in range(strongest):
+        free = np.where(keep, -1.0, s)
+        best(free, free)
+    label = _connected(n, i[keep], j[keep])
+    while len(apart := np.flatnonzero(label[i] != label[j])):  # one link for each pair of parts
+        a, b = label[i[apart]], label[j[apart]]
+        keep[apart[np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_index=True)[1]]] = True
+        label = _connected(n, i[keep], j[keep])
+    return keep
+
+
+def _links(least: float):
+    """Kept links of one cell in both directions: a, b, weight."""
+
+    def links(part: pd.DataFrame) -> pd.DataFrame:
         part = part.drop_duplicates("key").sort_values("key")
         keys = part["key"].to_numpy()
-        none = pd.DataFrame({"hood": [], "key": [], "weight": []})
-        if len(keys) < 2:
-            return none
-        links = [x for x in OneBitCodes(decoded(part["code"].tolist())).near_pairs(least) if len(x[0])]
-        if not links:
-            return none
-        i, j, s = (np.concatenate(x) for x in zip(*links))
-        label = np.arange(len(keys))
-        while True:
-            low = label.copy()
-            np.minimum.at(low, i, label[j])
-            np.minimum.at(low, j, label[i])
-            low = low[low]
-            if (low == label).all():
-                break
-            label = low
-        ends, both = np.concatenate([i, j]), np.concatenate([s, s])
-        degree = np.bincount(ends, minlength=len(keys))
-        linked = degree > 0
-        weight = np.bincount(ends, both, minlength=len(keys))[linked] / degree[linked]
-        # The set of members names the neighbourhood, so equal ones of different cells are one.
-        group = np.unique(label[linked], return_inverse=True)[1]
-        mixed = _mixed(keys[linked])
-        name = np.zeros(group.max() + 1, np.uint64)
-        np.add.at(name, group, mixed)
-        return pd.DataFrame({"hood": _mixed(name.view(np.int64)).view(np.int64)[group], "key": keys[linked], "weight": weight})
-
-    return hoods
+        found = [x for x in OneBitCodes(decoded(part["code"].tolist())).near_pairs(least) if len(x[0])] if len(keys) > 1 else []
+        if not found:
+            return pd.DataFrame({"a": [], "b": [], "weight": []})
+        i, j, s = (np.concatenate(x) for x in zip(*found))
+        keep = sparse_links(len(keys), i, j, s)
+        a, b, s = keys[i[keep]], keys[j[keep]], s[keep]
+        return pd.DataFrame({"a": np.r_[a, b], "b": np.r_[b, a], "weight": np.r_[s, s]})
+
+    return links
 
 
 def affinities(rows: DataFrame, least: float, near: int = NEAR) -> DataFrame:
-    """(hood, key, weight) over the distinct usable vectors ``rows``."""
+    """(a, b, weight), each link in both directions, over the distinct usable vectors ``rows``."""
     cells = fit_cells(rows, HOME)
-    found = placed(rows, cells, near).groupBy("space", "cell").applyInPandas(_hoods(least), "hood bigint, key bigint, weight double")
-    return _maximal(written(found.groupBy("hood", "key").agg(F.max("weight").alias("weight"))))
+    found = placed(rows, cells, near).groupBy("space", "cell").applyInPandas(_links(least), "a bigint, b bigint, weight double")
+    return found.groupBy("a", "b").agg(F.max("weight").alias("weight"))
 
 
-def _maximal(hoods: DataFrame) -> DataFrame:
-    """Without neighbourhoods that lie wholly in another one: these hold nothing together that the other does not."""
-    sizes = hoods.groupBy("hood").agg(F.count("*").cast("int").alias("n"))
-    largest = hoods.select("hood", "key").join(sizes, "hood").groupBy("key").agg(F.max(F.struct("n", "hood")).alias("best"))
-    ends = hoods.select("hood", "key").join(largest.select("key", F.col("best.hood").alias("best")), "key").groupBy("hood").agg(F.min("best").alias("low"), F.max("best").alias("high"))
-    # If all members share one largest neighbourhood, they all lie in it.
-    kept = ends.filter((F.col("low") != F.col("high")) | (F.col("low") == F.col("hood"))).select("hood")
-    return hoods.join(kept, "hood", "left_semi")
-
-
-def _means(values: DataFrame, by: str, columns: list[str]) -> DataFrame:
+def power_iteration(links: DataFrame, rounds: int, seed: int = 0, columns: int = COLUMNS) -> DataFrame:
+    """(key, v0, v1, ...): start vectors after ``rounds`` applications of the normalised affinity."""
+    names = [f"v{i}" for i in range(columns)]
+    start = [((F.pmod(F.xxhash64("key", F.lit(seed), F.lit(i)), F.lit(1_000_003))) / 1_000_003.0).alias(c) for i, c in enumerate(names)]
+    # The loop has the weight of all other links, so that two linked vectors don't just change places.
+    loops = links.groupBy("a").agg(F.sum("weight").alias("weight")).select("a", F.col("a").alias("b"), "weight")
+    full = written(links.select("a", "b", "weight").unionByName(loops))
+    values = full.select(F.col("a").alias("key")).distinct().select("key", *start)
     total = F.sum("weight")
-    return values.groupBy(by).agg(*[(F.sum(F.col(c) * F.col("weight")) / total).alias(c) for c in columns])
+    for r in range(rounds):
+        held = full.join(values.withColumnRenamed("key", "b"), "b")
+        values = held.groupBy(F.col("a").alias("key")).agg(*[(F.sum(F.col(c) * F.col("weight")) / total).alias(c) for c in names])
+        if r % 4 == 3:
+            values = written(values)
+    return values
 
 
-def power_iteration(hoods: DataFrame, rounds: int, columns: int = COLUMNS) -> DataFrame:
-    """(key, v0, v1, ...): the start vectors after ``rounds`` applications of the normalised affinity."""
-    names = [f"v{i}" for i in range(columns)]
-    values = hoods.select("key").distinct().select("key", *[((F.xxhash64("key", F.lit(i)) % 1_000_003) / 1_000_003.0).alias(c) for i, c in enumerate(names)])
+def kmeans(values: DataFrame, tolerance: float = TOLERANCE, rounds: int = 2) -> DataFrame:
+    """(key, cluster): k-means started from the means of the occupied cells of side ``tolerance``; at most (1 / tolerance + 1)**columns of them.
+
+    A point is compared with the centre that started in its own cell and, where it lies within a tenth of a side of
+    the border, with the one beyond.
+    """
+    names = [c for c in values.columns if c != "key"]
+    cells = [f"c{i}" for i in range(len(names))]
+    spread = values
+    for c, v in zip(cells, names):
+        side = F.col(v) / tolerance
+        spread = spread.withColumn(c, F.explode(F.array_distinct(F.array(F.floor(side), F.floor(side + 0.1), F.floor(side - 0.1)))))
+    spread = written(spread)
+    held = values.select("*", *[F.floor(F.col(v) / tolerance).alias(c) for c, v in zip(cells, names)])
+    gap = sum(((F.col(v) - F.col(f"m_{v}")) ** 2 for v in names), F.lit(0.0))
     for _ in range(rounds):
-        means = _means(hoods.join(values, "key"), "hood", names)
-        values = written(_means(hoods.join(means, "hood"), "key", names))
-    return values
+        centres = held.groupBy(*cells).agg(*[F.avg(v).alias(f"m_{v}") for v in names])
+        held = written(spread.join(centres, cells).groupBy("key").agg(F.min_by(F.struct(*cells, *names), F.struct(gap.alias("gap"), *cells)).alias("x")).select("key", "x.*"))
+    return held.select("key", F.xxhash64(*cells).alias("cluster"))
 
 
-def _merged(hoods: DataFrame, labels: DataFrame) -> DataFrame:
-    """(label, root): clusters that share a neighbourhood have one root. Only neighbourhoods in several clusters are looked at."""
-    ends = hoods.join(labels, "key").groupBy("hood").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    split = ends.filter("low <> high").select("hood")
-    links = written(hoods.join(split, "hood", "left_semi").join(labels, "key").select("hood", "label").distinct())
-    roots = links.select("label").distinct().withColumn("root", F.col("label"))
-    while True:
-        low = links.join(roots, "label").groupBy("hood").agg(F.min("root").alias("low"))
-        next_roots = links.join(low, "hood").groupBy("label").agg(F.min("low").alias("root"))
-        jump = next_roots.select(F.col("label").alias("root"), F.col("root").alias("further"))
-        next_roots = written(next_roots.join(jump, "root", "left").select("label", F.coalesce("further", "root").alias("root")))
-        if not next_roots.join(roots.withColumnRenamed("root", "before"), "label").filter("root <> before").limit(1).count():
-            return next_roots
-        roots = next_roots
+def _joined(links: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(key, node): linked keys of one cluster get one node, the least key nearby."""
+    left, right = clusters.select(F.col("key").alias("a"), F.col("cluster").alias("of_a")), clusters.select(F.col("key").alias("b"), F.col("cluster").alias("of_b"))
+    inside = written(links.select("a", "b").join(left, "a").join(right, "b").filter("of_a = of_b").select("a", "b"))
+    nodes = clusters.select("key", F.col("key").alias("node"))
+    for _ in range(2):
+        low = inside.join(nodes.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.min("node").alias("low"))
+        near = nodes.join(low, "key", "left").select("key", F.least("node", "low").alias("node"))
+        jump = near.select(F.col("key").alias("node"), F.col("node").alias("further"))
+        nodes = written(near.join(jump, "node", "left").select("key", F.coalesce("further", "node").alias("node")))
+    return nodes
 
 
-def spectral_labels(hoods: DataFrame, rounds: int = 6, tolerance: float = TOLERANCE) -> DataFrame:
+def spectral_labels(links: DataFrame, rounds: int = 4, tolerance: float = TOLERANCE, levels: int = LEVELS) -> DataFrame:
     """(key, label) of every vector in a group of two or more."""
-    values = power_iteration(hoods, rounds)
-    names = [c for c in values.columns if c != "key"]
-    cell = [F.floor(F.col(c) / tolerance) for c in names]
-    centres = values.groupBy(*[x.alias(f"c{i}") for i, x in enumerate(cell)]).agg(*[F.avg(c).alias(c) for c in names])
-    # One k-means step: the centres of occupied cells move to their means; each point goes to the cell of the nearest mean,
-    # looked for in its own cell and, where it lies within a hundredth of a side of the border, in the one beyond.
-    moved = centres.select(*[F.col(f"c{i}") for i in range(len(names))], F.xxhash64(*[F.col(f"c{i}") for i in range(len(names))]).alias("label"), *[F.col(c).alias(f"m_{c}") for c in names])
-    shifts = [F.array(F.floor(F.col(c) / tolerance), F.floor(F.col(c) / tolerance + 0.01), F.floor(F.col(c) / tolerance - 0.01)) for c in names]
-    spread = values
-    for i, s in enumerate(shifts):
-        spread = spread.withColumn(f"c{i}", F.explode(F.array_distinct(s)))
-    gap = sum(((F.col(c) - F.col(f"m_{c}")) ** 2 for c in names), F.lit(0.0))
-    labels = written(spread.join(moved, [f"c{i}" for i in range(len(names))]).groupBy("key").agg(F.min_by("label", F.struct(gap.alias("gap"), "label")).alias("label")))
-    roots = _merged(hoods, labels)
-    return labels.join(roots, "label", "left").select("key", F.coalesce("root", "label").alias("label"))
+    labels, left = None, links.count()
+    for level in range(levels):
+        if not left:
+            break
+        nodes = _joined(links, kmeans(power_iteration(links, rounds, level), tolerance * 2**level))
+        if labels is None:
+            labels = nodes.select("key", F.col("node").alias("label"))
+        else:
+            labels = written(labels.join(nodes.withColumnRenamed("key", "label"), "label", "left").select("key", F.coalesce("node", "label").alias("label")))
+        ends = links.join(nodes.select(F.col("key").alias("a"), F.col("node").alias("at_a")), "a").join(nodes.select(F.col("key").alias("b"), F.col("node").alias("at_b")), "b")
+        links = written(ends.filter("at_a <> at_b").groupBy(F.col("at_a").alias("a"), F.col("at_b").alias("b")).agg(F.sum("weight").alias("weight")))
+        before, left = left, links.count()
+        rounds = rounds if left < before else 2 * rounds
+    if left:
+        raise RuntimeError(f"{left} affinities join vectors that {levels} levels have not brought together")
+    return links.select(F.col("a").alias("key"), F.col("b").alias("label")) if labels is None else labels
 
 
 def groups(emb: DataFrame, least: float = 0.9, near: int = NEAR) -> tuple[DataFrame, DataFrame]:
     """(usable rows, (vec_id, root_id) of all members of groups of two or more)."""
     rows = usable(emb)
-    hoods = written(affinities(rows, least, near))
-    labels = spectral_labels(hoods)
+    labels = spectral_labels(written(affinities(rows, least, near)))
     ids = written(rows.select("key", "vec_id"))
-    # Equal vectors outside any neighbourhood are a group of their own; their key serves as label.
+    # Equal vectors without any link are a group of their own; their key serves as label.
     copies = ids.groupBy("key").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
     by_key = copies.join(labels, "key", "left").filter("label IS NOT NULL OR n > 1").withColumn("label", F.coalesce("label", "key"))
     roots = by_key.groupBy("label").agg(F.min("first").alias("root_id"))
@@ -172,8 +200,8 @@ def described(emb: DataFrame, least: float = 0.9, typical: int = 5, near: int =
 
     text = emb.select("vec_id", "text")
     own = written(rows.select("vec_id", "vec").join(members, "vec_id").groupBy("vec_id", "root_id").agg(F.first("vec").alias("vec")).mapInPandas(lambda it: (x for d in it if len(d) for _, p in d.groupby(d["vec"].str.len()) for x in units([p])), "vec_id bigint, root_id bigint, unit array<double>"))
-    sums = own.select("root_id", F.posexplode("unit").alias("i", "x")).groupBy("root_id", "i").agg(F.sum("x").alias("x")).groupBy("root_id").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("total"))
-    score = F.aggregate(F.zip_with("unit", "total", lambda u, t: u * t["x"]), F.lit(0.0), lambda a, x: a + x)
+    sums = own.groupBy("root_id").agg(Summarizer.sum(array_to_vector("unit")).alias("total")).select("root_id", vector_to_array("total").alias("total"))
+    score = F.aggregate(F.zip_with("unit", "total", lambda u, t: u * t), F.lit(0.0), lambda a, x: a + x)
     ranked = own.join(sums, "root_id").select("vec_id", "root_id", score.alias("affinity")).withColumn("r", F.row_number().over(Window.partitionBy("root_id").orderBy(F.desc("affinity"), "vec_id"))).filter(F.col("r") <= typical)
     sizes = members.groupBy("root_id").agg(F.count("*").alias("size"))
     tops = ranked.join(text, "vec_id").groupBy("root_id").agg(F.array_sort(F.collect_list(F.struct("r", "text"))).alias("typical"))

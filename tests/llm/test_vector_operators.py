@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from adlens.llm.nearest import near_pairs, neighbours
+from adlens.llm import packing
 from adlens.llm.packing import TOKENIZER, fill_rates, hilbert_key, measured, pack_along, packed
-from adlens.llm.simcluster import described, linked
+from adlens.llm import simcluster
+from adlens.llm.simcluster import described, linked, sparse_links, spectral_labels
 from adlens.llm.vectors import OneBitCodes, unit
 
 EMB = "vec_id long, provider string, model string, req_dim int, text string, dim int, vec array<float>"
@@ -78,6 +80,43 @@ def test_groups_equal_brute_force(spark):
     assert linked(df.limit(0)).count() == 0
 
 
+def pairs(spark, links):
+    both = [(a, b, w) for x, y, w in links for a, b in ((x, y), (y, x))]
+    return spark.createDataFrame(both, "a long, b long, weight double")
+
+
+def parts(labels):
+    out = {}
+    for r in labels.collect():
+        out.setdefault(r["label"], set()).add(r["key"])
+    return sorted(map(sorted, out.values()))
+
+
+def test_spectral_groups_of_links(spark, monkeypatch):
+    """A clique, a chain and a pair that share one embedding cell stay apart; the chain holds together."""
+    clique = [(i, j, 0.95) for i in range(6) for j in range(i)]
+    chain = [(100 + i, 101 + i, 0.9) for i in range(40)]
+    links = pairs(spark, [*clique, *chain, (500, 501, 0.99)])
+    want = [list(range(6)), list(range(100, 141)), [500, 501]]
+    assert parts(spectral_labels(links)) == want
+    assert parts(spectral_labels(links, tolerance=10.0)) == want
+    assert spectral_labels(links.limit(0)).count() == 0
+    # An embedding that tells every vector apart from every other holds nothing together.
+    monkeypatch.setattr(simcluster, "kmeans", lambda values, tolerance: values.select("key", F.col("key").alias("cluster")))
+    with pytest.raises(RuntimeError):
+        spectral_labels(links, levels=2)
+
+
+def test_sparse_links_keep_what_is_connected():
+    rng = np.random.default_rng(5)
+    for n, p in ((40, 0.03), (60, 0.3), (30, 1.0)):
+        i, j = np.nonzero(np.triu(rng.random((n, n)) < p, 1))
+        s = rng.random(len(i))
+        keep = sparse_links(n, i, j, s)
+        assert (simcluster._connected(n, i, j) == simcluster._connected(n, i[keep], j[keep])).all()
+        assert keep.sum() <= 4 * n
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(3)
     x = unit(rng.standard_normal((300, 96))).astype(np.float32)
@@ -112,7 +151,7 @@ def test_pack_along_keeps_everything():
     assert list(pack_along([], 5)) == []
 
 
-def test_packing(spark):
+def test_packing(spark, monkeypatch):
     texts = [(i, f"word {i} " * (i % 37)) for i in range(400)] + [(900, None), (901, ""), (902, "long text " * 5000), (903, "word 1 "), (904, "word 1 ")]
     docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("n_tokens", F.lit("clash")).withColumn("v0", F.lit(1))
     boxes = spark.createDataFrame([("s", 128), ("w", 4096)], "container_kind string, capacity_tokens int").withColumn("tokens", F.lit(1))
@@ -125,6 +164,11 @@ def test_packing(spark):
         assert own.groupBy("container_id").agg(F.sum("n_tokens").alias("n")).agg(F.max("n")).first()[0] <= capacity
     assert {r["container_kind"]: r["filled"] > 0.9 for r in fill_rates(out, boxes).collect()}["s"]
     assert packed(docs.limit(0), boxes).count() == 0
+    many = spark.createDataFrame([(f"k{i}", 200 + i) for i in range(5)], "container_kind string, capacity_tokens int")
+    monkeypatch.setattr(packing, "KINDS", 2)
+    monkeypatch.setattr(packing, "RANGE_ROWS", 50)
+    assert {r["container_kind"]: r["n"] for r in packed(docs, many.unionByName(many)).groupBy("container_kind").agg(F.sum("n_tokens").alias("n")).collect()} == {f"k{i}": sum(sizes.values()) for i in range(5)}
+    assert packed(docs, boxes.limit(0)).count() == 0
     with pytest.raises(ValueError):
         packed(docs, spark.createDataFrame([("x", 0)], "container_kind string, capacity_tokens int"))
 
