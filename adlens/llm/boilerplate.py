@@ -40,26 +40,37 @@ BLOCK = 500
 NEIGHBOURS = 3
 #: Flags of a line: a sentence, like a title, begins with a small letter or a figure, ends a sentence.
 SENTENCE, TITLE, LOWER, FIGURE, STOP = 1, 2, 4, 8, 16
-_DIGITS = re.compile(rb"[0-9]+")
+_FOLD = bytes(32 if chr(c).isspace() else 48 if chr(c).isdigit() else ord(chr(c).lower()) for c in range(128)) + bytes(128)
+_ZEROS = re.compile(rb"0+")
 _FIGURES = re.compile("[0-9]+")
 _WORD = re.compile(rb"[a-z]+")
 _PARTS = re.compile(r"\s+(?:[^\x00-\x7f]+|[|/>&*-]|[^\x00-\x7f]*[|/>])\s+|\s{2,}")
+_BETWEEN = (b" | ", b" / ", b" > ", b" & ", b" * ", b" - ")
 _HEADING = re.compile(r"(?i)<h[1-3]\b")
 _BOX = re.compile(r"(?i)<(/?)(div|section|header|footer|nav|aside|main|article|table|tr|td|ul|ol|form|body)\b([^>]*)>")
 _CLASS = re.compile(r"(?i)\bclass\s*=\s*[\"']?([^\"'>]*)")
 
 
-def line_key(line: str) -> bytes:
+def _plain(line: str) -> bytes:
+    """ASCII characters of a line in lower case, white space as spaces, every figure as 0."""
+    return line.encode("ascii", "ignore").translate(_FOLD)
+
+
+def line_key(line: str, plain: bytes | None = None) -> bytes:
     """Key under which lines are compared; empty for lines without any letter or digit."""
-    low = b" ".join(line.encode("ascii", "ignore").lower().split())
+    low = b" ".join((_plain(line) if plain is None else plain).split())
     if not low:
         return " ".join(line.lower().split()).encode()
-    return _DIGITS.sub(b"0", low) if _DIGITS.search(low) and (b"(" in low or len(_WORD.findall(low)) >= 3) else low
+    if b"0" not in low:
+        return low
+    if b"(" in low or len(_WORD.findall(low)) >= 3:
+        return _ZEROS.sub(b"0", low)
+    return b" ".join(line.encode("ascii", "ignore").lower().split())
 
 
-def line_hash(line: str) -> int:
+def line_hash(line: str, plain: bytes | None = None) -> int:
     """64 bits of a line's key, the same in every process."""
-    return xxhash.xxh3_64_intdigest(line_key(line)) - (1 << 63)
+    return xxhash.xxh3_64_intdigest(line_key(line, plain)) - (1 << 63)
 
 
 def common_lines(a: list, places: dict) -> list:
@@ -93,8 +104,10 @@ def _flags(line: str) -> int:
 
 def _read_line(line: str) -> tuple[int, int, tuple[int, ...]]:
     """(hash, flags, hashes of its parts where it has several)."""
-    parts = _PARTS.split(line)
-    return line_hash(line), _flags(line), tuple(map(line_hash, parts)) if len(parts) > 1 else ()
+    plain = _plain(line)
+    # A line without a sign between spaces has one part; signs beyond ASCII leave two spaces.
+    parts = _PARTS.split(line) if b"  " in plain or "\xa0" in line or any(x in plain for x in _BETWEEN) else ()
+    return line_hash(line, plain), _flags(line), tuple(map(line_hash, parts)) if len(parts) > 1 else ()
 
 
 class Page:
