@@ -38,11 +38,12 @@ def _search(least: float, k: int):
 def neighbours(emb: DataFrame, k: int = 5, least: float = 0.8, near: int = NEAR) -> DataFrame:
     """(vec_id, other_id, score, rank): the up to ``k`` other rows of the same space with the greatest cosine from ``least``."""
     rows = usable(emb)
-    cells = fit_cells(rows)
+    members = written(rows.select("space", "key", "vec_id"))
+    cells = fit_cells(rows, members)
     found = placed(rows, cells, near).groupBy("space", "cell").applyInPandas(_search(least, k), "a bigint, b bigint, score double")
     best = found.groupBy("a", "b").agg(F.max("score").alias("score"))
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).filter(F.col("r") <= k).drop("r")
-    members = written(rows.select("key", "vec_id"))
+    members = members.select("key", "vec_id")
     first = members.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
     copies = first.join(first.filter("r = 2").select("key"), "key", "left_semi").select(F.col("key").alias("a"), F.col("vec_id").alias("other_id"), F.lit(1.0).alias("score"))
     others = best.join(first.select(F.col("key").alias("b"), F.col("vec_id").alias("other_id")), "b").select("a", "other_id", "score").unionByName(copies)

@@ -51,7 +51,9 @@ def _connected(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def sparse_links(n: int, i: np.ndarray, j: np.ndarray, s: np.ndarray, strongest: int = STRONGEST) -> np.ndarray:
-    """Which of the links (i, j, s) of n rows to keep: connected rows stay connected, a row keeps a few."""
+    """Which of the links (i, j, s) of n rows to keep: all of up to 4 n; of more, connected rows stay connected, a row keeps a few."""
+    if len(i) <= 4 * n:
+        return np.ones(len(i), bool)
     keep = np.zeros(len(i), bool)
     degree = np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
     at = np.arange(len(i), dtype=np.int64)
@@ -92,9 +94,9 @@ def _links(least: float):
     return links
 
 
-def affinities(rows: DataFrame, least: float, near: int = NEAR) -> DataFrame:
-    """(a, b, weight), each link in both directions, over the distinct usable vectors ``rows``."""
-    cells = fit_cells(rows, HOME)
+def affinities(rows: DataFrame, keys: DataFrame, least: float, near: int = NEAR) -> DataFrame:
+    """(a, b, weight), each link in both directions, over the distinct usable vectors ``rows``; ``keys`` are their space and key, written."""
+    cells = fit_cells(rows, keys, HOME)
     found = placed(rows, cells, near).groupBy("space", "cell").applyInPandas(_links(least), "a bigint, b bigint, weight double")
     return found.groupBy("a", "b").agg(F.max("weight").alias("weight"))
 
@@ -173,8 +175,8 @@ def spectral_labels(links: DataFrame, rounds: int = 4, tolerance: float = TOLERA
 def groups(emb: DataFrame, least: float = 0.9, near: int = NEAR) -> tuple[DataFrame, DataFrame]:
     """(usable rows, (vec_id, root_id) of all members of groups of two or more)."""
     rows = usable(emb)
-    labels = spectral_labels(written(affinities(rows, least, near)))
-    ids = written(rows.select("key", "vec_id"))
+    ids = written(rows.select("space", "key", "vec_id"))
+    labels = spectral_labels(written(affinities(rows, ids, least, near)))
     # Equal vectors without any link are a group of their own; their key serves as label.
     copies = ids.groupBy("key").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
     by_key = copies.join(labels, "key", "left").filter("label IS NOT NULL OR n > 1").withColumn("label", F.coalesce("label", "key"))

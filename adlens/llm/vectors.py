@@ -57,9 +57,9 @@ def kmeans_tree(x: np.ndarray, leaf: float, rng: np.random.Generator, branch: in
     return np.stack(out).astype(np.float32)
 
 
-def fit_cells(rows: DataFrame, home: int = HOME, seed: int = 7) -> dict[int, np.ndarray]:
-    """Cell centres of every space."""
-    counts = {r["space"]: r["n"] for r in rows.groupBy("space").agg(F.approx_count_distinct("key").alias("n")).collect()}
+def fit_cells(rows: DataFrame, keys: DataFrame, home: int = HOME, seed: int = 7) -> dict[int, np.ndarray]:
+    """Cell centres of every space; ``keys`` has space and key of ``rows``."""
+    counts = {r["space"]: r["n"] for r in keys.groupBy("space").agg(F.approx_count_distinct("key").alias("n")).collect()}
     every = max(1, math.ceil(sum(counts.values()) / SAMPLE))
     sample = rows.filter(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).dropDuplicates(["key"]).select("space", "key", "vec").toPandas()
     rng, cells = np.random.default_rng(seed), {}
