@@ -5,7 +5,8 @@ import json
 from pyspark.sql import functions as F
 
 from adlens.operators.html import coverage, gaps, known_availability, parsed, product_view, resolved, signals
-from adlens.operators.snapshot_diff import bits_for, changes, normal_url, open_rows, row_digests, snapshot_changes
+from adlens.operators.snapshot_diff import changes as changes_between
+from adlens.operators.snapshot_diff import bits_for, normal_url, open_rows, row_digests, snapshot_changes
 from adlens.operators.versions import diffs, flagged
 from adlens.sources.pages import domain_slug, inline, output_format, url_slug
 from adlens.sources.rest import RestSource, await_task, flattened, location_options, send
@@ -127,7 +128,7 @@ def test_snapshot_changes(spark):
     assert snapshot_changes(df.limit(0)).count() == 0
     # Digests kept of the earlier deliveries serve as well as their texts.
     kept = row_digests(df.filter("delivery < 3")).unionByName(row_digests(df.filter("delivery >= 3")))
-    assert {tuple(r) for r in changes(kept).collect()} == brute_changes(rows)
+    assert {tuple(r) for r in changes_between(kept).collect()} == brute_changes(rows)
 
 
 def test_few_rows_are_compared(spark):
