@@ -26,7 +26,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adlens.llm.vectors import OneBitCodes, decoded, fit_cells, placed, unit, usable
+from adlens.llm.vectors import decoded, fit_cells, placed, unit, usable
 from adlens.session import written
 
 #: Cells a vector is placed in and rows a cell is home to: groups hold together by links near the threshold, so in more cells than
@@ -51,9 +51,7 @@ def _connected(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def sparse_links(n: int, i: np.ndarray, j: np.ndarray, s: np.ndarray, strongest: int = STRONGEST) -> np.ndarray:
-    """Which of the links (i, j, s) of n rows to keep: all of up to 4 n; of more, connected rows stay connected, a row keeps a few."""
-    if len(i) <= 4 * n:
-        return np.ones(len(i), bool)
+    """Which of the links (i, j, s) of n rows to keep: connected rows stay connected, a row keeps a few."""
     keep = np.zeros(len(i), bool)
     degree = np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
     at = np.arange(len(i), dtype=np.int64)
@@ -77,16 +75,26 @@ def sparse_links(n: int, i: np.ndarray, j: np.ndarray, s: np.ndarray, strongest:
     return keep
 
 
+def close_pairs(x: np.ndarray, least: float, block: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, product), i < j, of all pairs of unit rows with products from ``least``, by products of blocks of rows."""
+    found = []
+    for a in range(0, len(x), block):
+        score = x[a : a + block] @ x[a:].T
+        i, j = np.nonzero(score >= least)
+        i, j = i[i < j], j[i < j]
+        found.append((i + a, j + a, score[i, j]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def _links(least: float):
     """Kept links of one cell in both directions: a, b, weight."""
 
     def links(part: pd.DataFrame) -> pd.DataFrame:
         part = part.drop_duplicates("key").sort_values("key")
         keys = part["key"].to_numpy()
-        found = [x for x in OneBitCodes(decoded(part["code"].tolist())).near_pairs(least) if len(x[0])] if len(keys) > 1 else []
-        if not found:
+        i, j, s = close_pairs(decoded(part["code"].tolist()), least) if len(keys) > 1 else ((), (), ())
+        if not len(i):
             return pd.DataFrame({"a": [], "b": [], "weight": []})
-        i, j, s = (np.concatenate(x) for x in zip(*found))
         keep = sparse_links(len(keys), i, j, s)
         a, b, s = keys[i[keep]], keys[j[keep]], s[keep]
         return pd.DataFrame({"a": np.r_[a, b], "b": np.r_[b, a], "weight": np.r_[s, s]})

@@ -2,7 +2,7 @@
 
 Usable rows of one (provider, model, req_dim) form a space. Equal vectors share a 64-bit key, and only one of them goes on.
 Cells are the leaves of a k-means tree fitted on a bounded sample of at most ``SAMPLE`` vectors; every vector is indexed,
-in its ``near`` nearest cells. Inside a cell inner products are estimated from randomly rotated one-bit codes.
+in its ``near`` nearest cells. The nearest-vector search estimates inner products inside a cell from randomly rotated one-bit codes.
 """
 
 from __future__ import annotations
@@ -152,19 +152,6 @@ class OneBitCodes:
             out[s : s + 100_000] = np.einsum("ij,ij->i", self.x[i[s : s + 100_000]], self.x[j[s : s + 100_000]])
         return out
 
-    def near_pairs(self, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Blocks of (i, j, exact product), i < j, of all pairs with products from ``least`` that the bounds leave."""
-        n = len(self.x)
-        block = max(8, min(512, 2_000_000 // n))
-        for a in range(0, n, block):
-            b = min(n, a + block)
-            _, upper = self.bounds(a, b, a)
-            i, j = np.nonzero(upper >= least)
-            i, j = i[i < j] + a, j[i < j] + a
-            exact = self._exact(i, j)
-            fine = exact >= least
-            yield i[fine], j[fine], exact[fine]
-
     def nearest(self, least: float, top: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Blocks of (i, j, exact product) that hold the ``top`` best of every row with products from ``least``."""
         n = len(self.x)
