@@ -85,10 +85,12 @@ def exploded(rows: DataFrame, options: NgramOptions = NgramOptions()) -> DataFra
     return grams.filter(~is_function_gram(F.col("ngram"), own))
 
 
-def ngram_table(rows: DataFrame, options: NgramOptions = NgramOptions(), keywords: DataFrame | None = None) -> DataFrame:
+def ngram_table(rows: DataFrame, options: NgramOptions = NgramOptions(), keywords: DataFrame | None = None, sessions: DataFrame | None = None, against_account: bool = True) -> DataFrame:
     """Metrics, ratios, wasted spend (``nscore``) and deltas against the account for every n-gram.
 
-    ``blocked_search_terms`` counts distinct raw terms. With ``keywords`` (text) ``blocked_keywords`` counts keywords holding the n-gram.
+    ``blocked_search_terms`` counts distinct raw terms. With ``keywords`` (text) ``blocked_keywords`` counts keywords holding the n-gram;
+    with ``sessions`` the columns of ``engagement`` are added, null where no term of the n-gram has any. Without
+    ``against_account`` the facts are read once and there are no ``vs_avg_`` columns.
     """
     sums = exploded(rows, options).groupBy("ngram", "n").agg(*[F.sum(m).alias(m) for m in METRICS], F.count("*").alias("blocked_search_terms"))
     sums = sums.filter((F.col("cost") >= options.min_cost) & (F.col("blocked_search_terms") >= options.min_terms))
@@ -101,6 +103,10 @@ def ngram_table(rows: DataFrame, options: NgramOptions = NgramOptions(), keyword
     else:
         waste = F.when(F.col("conversions") == 0, F.col("cost")).otherwise(F.col("cost") - F.col("conv_value"))
     table = sums.select("*", *_ratios(), waste.alias("nscore"))
+    if sessions is not None:
+        table = table.join(engagement(rows, sessions, options), ["ngram", "n"], "left")
+    if not against_account:
+        return table
     account = totals(rows).select(*[F.col(c).alias(f"avg_{c}") for c in ("ctr", "conv_rate", "cpa", "roas")])
 
     def against(c: str) -> Column:
