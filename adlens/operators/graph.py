@@ -54,11 +54,14 @@ def ranked_components(labels: DataFrame, id_column: str = "node") -> DataFrame:
 def redirect_chains(starts: DataFrame, responses: DataFrame, max_hops: int = 10) -> DataFrame:
     """(url, final_url, final_status, redirects, downgrade, chain, ok, error) of every start url.
 
-    ``responses``: url, status, location (absolute), error. A chain follows 3xx responses that have a location, for at most
+    ``responses``: url, status, location (absolute), error, and optionally fetched_at: of several answers of a url the newest counts,
+    ties and answers without a time by the greatest (status, location, error). A chain follows 3xx responses that have a location, for at most
     ``max_hops`` redirects; it stops where a url comes again (the 3xx status stays final). A url that
     answers with an error, or not at all, ends the chain without a status: an error for the start, a null final status later.
     """
-    known = responses.filter("url IS NOT NULL").groupBy("url").agg(F.min(F.struct("status", "location", "error")).alias("r")).select(F.col("url").alias("current"), F.col("r.status").alias("status"), F.col("r.location").alias("location"), F.col("r.error").alias("error"))
+    at = F.col("fetched_at") if "fetched_at" in responses.columns else F.lit(None).cast("timestamp_ntz")
+    answer = F.struct("status", "location", "error")
+    known = responses.filter("url IS NOT NULL").groupBy("url").agg(F.max_by(answer, F.struct(at.alias("at"), answer.alias("r"))).alias("r")).select(F.col("url").alias("current"), F.col("r.status").alias("status"), F.col("r.location").alias("location"), F.col("r.error").alias("error"))
     state = starts.filter("url IS NOT NULL").select("url").distinct().select("url", F.col("url").alias("current"), F.array().cast("array<string>").alias("seen"), F.array().cast("array<struct<url:string,status:int>>").alias("chain"))
     ended = None
     for hop in range(max_hops + 1):
@@ -87,13 +90,25 @@ def site_of(url):
     return F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
 
 
+def checked(chains: DataFrame) -> DataFrame:
+    """(site, checked, broken, redirected, broken_urls, redirected_urls) of ``redirect_chains``.
+
+    Broken: no final status, or one from 400. The lists are sorted and meant for one site's report; for many urls take ``chains`` itself.
+    """
+    broken = F.coalesce(F.col("final_status") >= 400, F.lit(True))
+    rows = chains.select(site_of(F.col("url")).alias("site"), "url", broken.alias("broken"), (F.col("redirects") > 0).alias("redirected"))
+    lists = [F.array_sort(F.collect_list(F.when(F.col(c), F.col("url")))).alias(f"{c}_urls") for c in ("broken", "redirected")]
+    return rows.groupBy("site").agg(F.count("*").alias("checked"), F.count_if("broken").alias("broken"), F.count_if("redirected").alias("redirected"), *lists)
+
+
 def crawl(starts: DataFrame, links: DataFrame, max_pages: int = 50) -> DataFrame:
     """(start, url, found_on, depth, ordinal) of the pages a breadth-first crawl visits within each start's site.
 
     ``links``: page, href (absolute, without fragment), ordinal. Pages are visited level by level, in the order in which
     they were found (the order of the page that names them first, then the link's ordinal); at most ``max_pages`` a start.
     """
-    hrefs = links.filter("page IS NOT NULL AND href IS NOT NULL").select("page", "href", "ordinal").filter(F.col("href").rlike("^https?://")).withColumn("site", site_of(F.col("href")))
+    # Written once: every level reads the links again, and finding them may mean parsing all pages.
+    hrefs = written(links.filter("page IS NOT NULL AND href IS NOT NULL").select("page", "href", "ordinal").filter(F.col("href").rlike("^https?://")).withColumn("site", site_of(F.col("href"))))
     visited = written(starts.filter("start IS NOT NULL").select("start").distinct().select("start", F.col("start").alias("url"), F.lit(None).cast("string").alias("found_on"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("ordinal")))
     frontier, depth = visited, 0
     while True:

@@ -20,6 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from adlens.functions.text import fold_content, phrase_count
+from adlens.session import written
+
 # Words that make a link or button a call to action (English, Polish).
 CTA_WORDS = (
     "buy", "buy now", "order", "order now", "add to cart", "add to basket", "shop now", "sign up", "signup", "subscribe", "get started", "get a quote", "request a quote", "book now", "book", "contact", "contact us", "call now",
@@ -27,7 +30,15 @@ CTA_WORDS = (
     "kup", "kup teraz", "kup online", "zamów", "zamów teraz", "dodaj do koszyka", "do koszyka", "zapisz się", "zapisz sie", "zamawiam", "kupuję", "kupuje", "kontakt", "skontaktuj się", "skontaktuj sie", "zadzwoń", "zadzwon",
     "pobierz", "wyceń", "wycen", "wyceń teraz", "zamów wycenę", "sprawdź", "sprawdz", "rezerwuj", "zarezerwuj", "wypróbuj", "wyprobuj", "dowiedz się", "dowiedz sie", "zacznij", "przejdź do kasy", "przejdz do kasy",
 )
-_CTA = [(w, re.compile(rf"\b{re.escape(w)}\b", re.IGNORECASE)) for w in sorted(set(CTA_WORDS), key=lambda w: (-len(w), w))]
+
+
+def _word_patterns(words: tuple[str, ...]) -> list[tuple[str, re.Pattern]]:
+    """Each word with its pattern; the first that matches is the longest."""
+    longest_first = sorted(set(words), key=lambda w: (-len(w), w))
+    return [(w, re.compile(rf"\b{re.escape(w)}\b", re.IGNORECASE)) for w in longest_first]
+
+
+_CTA = _word_patterns(CTA_WORDS)
 # Block elements that end a line of page text.
 _BLOCKS = frozenset("p div section article header footer li ul ol tr table br h1 h2 h3 h4 h5 h6 blockquote pre figure nav main aside".split())
 _SPACE = re.compile(r"\s+")
@@ -222,12 +233,15 @@ def node_types(node: dict) -> list[str]:
     return [x for x in (t if isinstance(t, list) else [t]) if isinstance(x, str)]
 
 
+_TYPE_SEEN = re.compile(r"""["']@type["'] *[:=]\s*["']([^"']+)["']""")
+
+
 def ld_types(block: str) -> list[str]:
     """Types in a block; in a malformed one those that a pattern finds."""
     try:
         return [t for node in ld_nodes(json.loads(block)) for t in node_types(node)]
     except (ValueError, RecursionError):
-        return re.findall(r'"@type"\s*:\s*"([^"]+)"', block)
+        return _TYPE_SEEN.findall(block)
 
 
 def _filled(node: dict, field: str) -> bool:
@@ -241,6 +255,10 @@ RECOMMENDED = ("description", "brand")
 IDENTIFIERS = ("sku", "mpn", "gtin", "gtin8", "gtin12", "gtin13", "gtin14")
 
 
+# The known states of availability, without their prefix.
+AVAILABILITY = ("instock", "outofstock", "preorder", "backorder", "discontinued", "instoreonly", "limitedavailability", "onlineonly", "soldout")
+
+
 def product_view(blocks: list[str]) -> dict:
     """Errors of the blocks, their distinct types, and which fields the first product lacks."""
     errors, types, product = [], {}, None
@@ -255,8 +273,8 @@ def product_view(blocks: list[str]) -> dict:
             if product is None and any(t.lower() == "product" for t in node_types(node)):
                 product = node
     if product is None:
-        return {"errors": errors, "types": list(types), "found": False, "missing": list(REQUIRED), "advised": [*RECOMMENDED, "identifier"]}
-    missing = [f for f in REQUIRED[:2] if not _filled(product, f)]
+        return {"errors": errors, "types": list(types), "found": False, "missing": list(REQUIRED), "advised": [*RECOMMENDED, "identifier"], "unknown_availability": None}
+    missing, unknown = [f for f in REQUIRED[:2] if not _filled(product, f)], None
     offers = product.get("offers")
     offer = offers if isinstance(offers, dict) else next((o for o in offers if isinstance(o, dict)), None) if isinstance(offers, list) else None
     if offer is None:
@@ -268,12 +286,11 @@ def product_view(blocks: list[str]) -> dict:
             missing.append("offers.lowPrice")
         wanted = ("priceCurrency",) if ranged else ("price", "priceCurrency", "availability")
         missing += [f"offers.{f}" for f in wanted if not _filled(offer, f)]
+        state = offer.get("availability")
+        if not ranged and _filled(offer, "availability") and str(state).strip().rsplit("/", 1)[-1].strip().lower() not in AVAILABILITY:
+            unknown = str(state)
     advised = [f for f in RECOMMENDED if not _filled(product, f)] + ([] if any(_filled(product, f) for f in IDENTIFIERS) else ["sku/mpn/gtin"])
-    return {"errors": errors, "types": list(types), "found": True, "missing": missing, "advised": advised}
-
-
-# The known states of availability, without their prefix.
-AVAILABILITY = ("instock", "outofstock", "preorder", "backorder", "discontinued", "instoreonly", "limitedavailability", "onlineonly", "soldout")
+    return {"errors": errors, "types": list(types), "found": True, "missing": missing, "advised": advised, "unknown_availability": unknown}
 
 
 def known_availability(value: Column) -> Column:
@@ -286,7 +303,7 @@ VIEWS = {
     "audit": "struct<lang:string,title:string,description:string,robots:string,viewport:boolean,canonical:string,h1:array<string>,h2:array<string>,images:int,images_no_alt:int,ld_blocks:array<string>,words:int,ld_types:array<string>,ctas:int,cta_words:array<string>,cta_samples:array<string>>",
     "text": "string",
     "links": "array<string>",
-    "product": "struct<errors:array<string>,types:array<string>,found:boolean,missing:array<string>,advised:array<string>>",
+    "product": "struct<errors:array<string>,types:array<string>,found:boolean,missing:array<string>,advised:array<string>,unknown_availability:string>",
 }
 
 
@@ -337,6 +354,7 @@ def signals(pages: DataFrame) -> DataFrame:
     rows = read.join(sides, "page_id")
     a = F.col("audit")
     title, description, h1 = F.length(F.coalesce(a["title"], F.lit(""))), F.length(F.coalesce(a["description"], F.lit(""))), F.size(a["h1"])
+    # The texts of the flags and their limits.
     rules: list[Column] = [
         F.when(~F.col("https"), "not HTTPS"),
         F.when(title == 0, "missing title").when(title > 60, "title too long (>60)"),
@@ -354,20 +372,61 @@ def signals(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "ok", "error", "https", "bytes", title.alias("title_length"), description.alias("description_length"), "audit", flags.alias("flags"))
 
 
-def coverage(content: DataFrame, phrases: list[str], key: str = "page_id") -> DataFrame:
-    """(key, keyword, count, in_title, in_headings) for every read page and phrase; matching ignores case and marks."""
-    from adlens.functions.text import fold_content, phrase_count
-
-    if len(phrases) > 10_000:
-        raise ValueError("coverage takes at most 10000 phrases at a time")
+def _folded(content: DataFrame, key: str) -> DataFrame:
     c = F.col("content")
-    folded = content.filter("ok").select(key, fold_content(c["text"]).alias("body"), fold_content(c["title"]).alias("title"), fold_content(F.array_join(F.concat(c["h1"], c["h2"], c["h3"]), " \n ")).alias("heads"))
-    # The phrases are part of the plan: a page row is expanded in place, nothing is joined.
-    rows = folded.withColumn("keyword", F.explode(F.array(*[F.lit(p) for p in phrases])))
+    return content.filter("ok").select(key, fold_content(c["text"]).alias("body"), fold_content(c["title"]).alias("title"), fold_content(F.array_join(F.concat(c["h1"], c["h2"], c["h3"]), " \n ")).alias("heads"))
+
+
+def _counted(rows: DataFrame, key: str) -> DataFrame:
     phrase = fold_content(F.col("keyword"))
     return rows.select(key, "keyword", phrase_count(phrase, F.col("body")).alias("count"), (phrase_count(phrase, F.col("title")) > 0).alias("in_title"), (phrase_count(phrase, F.col("heads")) > 0).alias("in_headings"))
 
 
+def coverage(content: DataFrame, phrases: list[str], key: str = "page_id") -> DataFrame:
+    """(key, keyword, count, in_title, in_headings) for every read page and each of a list of phrases; matching ignores case and marks.
+
+    The full matrix has pages times phrases rows; for a table of phrases see ``phrase_matches``.
+    """
+    # The phrases are part of the plan, in blocks: a page row is expanded in place, nothing is joined.
+    folded, out = _folded(content, key), None
+    for a in range(0, max(1, len(phrases)), 1000):
+        block = F.array(*[F.lit(p) for p in phrases[a : a + 1000]]).cast("array<string>")
+        one = _counted(folded.withColumn("keyword", F.explode(block)), key)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def phrase_matches(content: DataFrame, phrases: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, keyword, count, in_title, in_headings) of the pairs of a page and a phrase of ``phrases`` (keyword) that meet anywhere.
+
+    All other cells of the matrix are 0 and need no rows. A page's word sequences, as long as the phrases are, are joined with
+    those of the phrases; only pairs that share one are counted. Null phrases and those without a word match nothing.
+    """
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"(?U)\w+"), 0)
+    wanted = written(phrases.filter("keyword IS NOT NULL").select("keyword").distinct().withColumn("w", words(fold_content(F.col("keyword")))).filter(F.size("w") > 0))
+    lengths = sorted(r[0] for r in wanted.select(F.size("w")).distinct().collect())  # the lengths that occur, not the phrases
+    folded = written(_folded(content, key))
+    parts = folded.select(key, F.explode(F.array("body", "title", "heads")).alias("t")).select(key, words(F.col("t")).alias("w"))
+    grams = None
+    for n in lengths:
+        starts = F.sequence(F.lit(1), F.size("w") - n + 1)
+        one = parts.filter(F.size("w") >= n).select(key, F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, n))))).alias("gram"))
+        grams = one if grams is None else grams.unionByName(one)
+    if grams is None:
+        return _counted(folded.withColumn("keyword", F.lit(None).cast("string")).limit(0), key)
+    pairs = grams.join(wanted.select("keyword", F.xxhash64("w").alias("gram")), "gram").select(key, "keyword").distinct()
+    return _counted(folded.join(pairs, key), key).filter((F.col("count") > 0) | F.col("in_title") | F.col("in_headings"))
+
+
+def missing_pages(content: DataFrame, phrases: DataFrame, key: str = "page_id") -> DataFrame:
+    """(keyword, pages): on how many of the read pages each phrase's text count is 0, without the rows of the matrix."""
+    hits = phrase_matches(content, phrases, key).filter("count > 0").groupBy("keyword").agg(F.count("*").alias("held"))
+    read = content.agg(F.count_if("ok").alias("read"))
+    # One row by construction of a global aggregate.
+    rows = phrases.filter("keyword IS NOT NULL").select("keyword").distinct().join(hits, "keyword", "left").crossJoin(F.broadcast(read))
+    return rows.select("keyword", (F.col("read") - F.coalesce("held", F.lit(0))).alias("pages")).filter("pages > 0")
+
+
 def gaps(matrix: DataFrame, key: str = "page_id") -> DataFrame:
     return matrix.filter(F.col("count") == 0).select(key, "keyword")
 

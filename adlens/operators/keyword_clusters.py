@@ -7,23 +7,90 @@ member has the metric; ties go to the smaller kw_id, for labels to the alphabeti
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adlens.functions.text import keyword_tokens, ngrams
 from adlens.operators.graph import components, ranked_components
 from adlens.operators.similarity import blocked_links, blocked_vector_links, lexical_ratio, set_links, token_sets, token_sort_ratio
+from adlens.operators.whitening import apply_background, whitened
 from adlens.session import written
 
 #: Default least similarity of each method.
 THRESHOLDS = {"tokens": 0.5, "lexical": 0.5, "fuzzy": 0.7}
+THRESHOLD_SEMANTIC = 0.8
 
 
 def competition_rank(c: Column) -> Column:
     return F.when(c == "HIGH", 3).when(c == "MEDIUM", 2).when(c == "LOW", 1).otherwise(0)
 
 
+def keyword_rows(spark: SparkSession, rows: list) -> DataFrame:
+    """Keyword rows from texts or dictionaries: a text is a row without metrics; a dictionary without a text is an error."""
+    names = [f.split()[0] for f in _KEYWORD.split(", ")]
+    out = []
+    for i, row in enumerate(rows):
+        own = {"text": row} if isinstance(row, str) else dict(row)
+        if not own.get("text"):
+            raise ValueError(f"keyword {i} has no text")
+        out.append(tuple(own.get(n, i if n == "kw_id" else None) for n in names))
+    return spark.createDataFrame(out, _KEYWORD)
+
+
+_KEYWORD = "kw_id bigint, text string, avg_monthly_searches bigint, cpc_low double, cpc_high double, competition string"
+
+
+def resolve_method(method: str, has_vectors: bool) -> str:
+    """``auto`` is semantic where vectors are at hand, else fuzzy."""
+    if method == "auto":
+        return "semantic" if has_vectors else "fuzzy"
+    if method not in (*THRESHOLDS, "semantic"):
+        raise ValueError(f"unknown method: {method}")
+    return method
+
+
+def keyword_clusters(keywords: DataFrame, method: str = "auto", least: float | None = None, min_size: int = 2, vectors: DataFrame | None = None, whitening: str = "batch", background: tuple | None = None) -> tuple[DataFrame, DataFrame]:
+    """((rollup of every cluster, with label), noise (kw_id)) by any method; clusters are named by their smallest kw_id.
+
+    ``semantic``: ``vectors`` (text, vec) of the keywords are transformed by a saved ``background`` (mean, matrix), whitened as a
+    batch (``whitening`` 'batch') or left as they are ('none'), and linked from a cosine of ``least``. Keywords in groups below
+    ``min_size``, and those without a vector, are noise. A text's vector serves all keywords with that text.
+    """
+    method = resolve_method(method, vectors is not None)
+    rows = keywords.filter("text IS NOT NULL")
+    if method == "semantic":
+        if vectors is None:
+            raise ValueError("the semantic method needs vectors")
+        own = rows.select("kw_id", "text").join(vectors.filter("text IS NOT NULL AND vec IS NOT NULL").groupBy("text").agg(F.first("vec").alias("vec")), "text").select(F.col("kw_id").alias("id"), "vec")
+        dim = own.agg(F.max(F.size("vec"))).first()[0] or 0
+        if background is not None:
+            own = apply_background(own, dim, *background)
+        elif whitening == "batch":
+            own = whitened(own, dim)
+        elif whitening != "none":
+            raise ValueError(f"unknown whitening: {whitening}")
+        labels_ = vector_clusters(own, THRESHOLD_SEMANTIC if least is None else least, 1)[0].select(F.col("id").alias("kw_id"), F.col("root").alias("cluster"))
+    else:
+        labels_ = cluster_ids(rows, method, least).select("kw_id", F.col("root").alias("cluster"))
+    members = written(rows.join(labels_, "kw_id"))
+    large = members.groupBy("cluster").agg(F.count("*").alias("n")).filter(F.col("n") >= min_size).select("cluster")
+    kept = members.join(large, "cluster", "left_semi")
+    named = distinct_labels(labels(kept), kept)
+    noise = rows.select("kw_id").join(kept.select("kw_id"), "kw_id", "left_anti")
+    return rollup(kept, members=True).join(named, "cluster", "left"), noise
+
+
+def two_stage_clusters(keywords: DataFrame, vectors: DataFrame, least: float | None = None, least_fuzzy: float | None = None, min_size: int = 2, whitening: str = "batch", background: tuple | None = None) -> DataFrame:
+    """Semantic clusters, and fuzzy ones of the keywords these leave as noise: the rollups with ``stage``."""
+    semantic, noise = keyword_clusters(keywords, "semantic", least, min_size, vectors, whitening, background)
+    rest = written(keywords.join(noise, "kw_id", "left_semi"))
+    fuzzy, _ = keyword_clusters(rest, "fuzzy", least_fuzzy, min_size)
+    return semantic.withColumn("stage", F.lit("semantic")).unionByName(fuzzy.withColumn("stage", F.lit("fuzzy")))
+
+
 def cluster_ids(keywords: DataFrame, method: str = "tokens", least: float | None = None) -> DataFrame:
     """(kw_id, root, component): connected groups of similar keywords, single ones included.
 
@@ -65,18 +132,23 @@ def title_case(text: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else t.title() for t in text], dtype=object)
 
 
-def rollup(members: DataFrame) -> DataFrame:
-    """One row per cluster of (cluster, kw_id, text, avg_monthly_searches, cpc_low, cpc_high, competition)."""
+def rollup(rows: DataFrame, members: bool = False) -> DataFrame:
+    """One row per cluster of (cluster, kw_id, text, avg_monthly_searches, cpc_low, cpc_high, competition).
+
+    With ``members`` also the texts of all members by kw_id: a list as long as the cluster, so only for clusters that fit a row.
+    """
     v = F.col("avg_monthly_searches")
     by_volume = F.max_by("text", F.when(v.isNotNull(), F.struct(v, -F.col("kw_id"))))
     by_length = F.min_by("text", F.struct(F.length("text"), "kw_id"))
     named = F.when(F.coalesce(F.col("competition"), F.lit("")) != "", F.struct(competition_rank(F.col("competition")), -F.col("kw_id")))
-    return members.filter("text IS NOT NULL").groupBy("cluster").agg(
+    listed = [F.transform(F.array_sort(F.collect_list(F.struct("kw_id", "text"))), lambda m: m["text"]).alias("members")] if members else []
+    return rows.filter("text IS NOT NULL").groupBy("cluster").agg(
         F.count("*").alias("size"),
         F.sum(v).alias("total_volume"),
         F.avg((F.col("cpc_low") + F.col("cpc_high")) / 2).alias("avg_cpc"),
         F.max_by("competition", named).alias("dominant_competition"),
         F.coalesce(by_volume, by_length).alias("representative_keyword"),
+        *listed,
     )
 
 
@@ -99,8 +171,7 @@ def distinct_labels(labelled: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def medoids(vectors: DataFrame) -> DataFrame:
-    """(label, vec_id): the member nearest to its group's mean, of (label, vec_id, vec); means are taken per dimension."""
-    parts = vectors.select("label", F.posexplode("vec").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
-    means = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
+    """(label, vec_id): the member nearest to its group's mean, of (label, vec_id, vec); means are summed per task before the shuffle."""
+    means = vectors.groupBy("label").agg(Summarizer.mean(array_to_vector("vec")).alias("mean")).select("label", vector_to_array("mean").alias("mean"))
     gap = F.aggregate(F.zip_with("vec", "mean", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
     return vectors.join(means, "label").groupBy("label").agg(F.min_by("vec_id", F.struct(F.round(gap, 9), "vec_id")).alias("vec_id"))

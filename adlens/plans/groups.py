@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adlens.functions.text import keyword_tokens
-from adlens.operators.keyword_clusters import cluster_ids, distinct_labels, labels, medoids, rollup, title_case, vector_clusters
+from adlens.operators.keyword_clusters import cluster_ids, distinct_labels, keyword_clusters, labels, medoids, rollup, title_case, two_stage_clusters, vector_clusters
 from adlens.operators.similarity import blocked_vector_links, token_links
 from adlens.operators.whitening import whitened
 from adlens.session import table
@@ -65,6 +65,37 @@ def g3_semantic_rollup(spark: SparkSession, root: str) -> DataFrame:
     return rollup(members).filter("size >= 2").withColumn("avg_cpc", F.round("avg_cpc", 8))
 
 
+def _keyword_vectors(spark: SparkSession, root: str) -> DataFrame:
+    """(text, vec): the newest whole vector of each text by the model with the shorter vectors."""
+    e = table(spark, root, "emb").filter("text IS NOT NULL AND vec IS NOT NULL AND size(vec) = dim AND NOT exists(vec, x -> x IS NULL OR isnan(x)) AND exists(vec, x -> x <> 0)")
+    short = e.agg(F.min("dim").alias("dim"))
+    return newest(e.join(F.broadcast(short), "dim").select("text", "vec", "cached_at", "vec_id"), ["text"], "cached_at", "vec_id").select("text", "vec")
+
+
+def g4_semantic(spark: SparkSession, root: str) -> DataFrame:
+    """Keywords grouped by the cosine of their cached vectors, with rollups."""
+    out = keyword_clusters(table(spark, root, "keywords"), "semantic", 0.9, vectors=_keyword_vectors(spark, root), whitening="none")[0]
+    return out.select("cluster", "size", "total_volume", F.round("avg_cpc", 8).alias("avg_cpc"), "dominant_competition", "representative_keyword", F.array_join("members", "|").alias("members"))
+
+
+def g4_noise(spark: SparkSession, root: str) -> DataFrame:
+    return keyword_clusters(table(spark, root, "keywords"), "semantic", 0.9, vectors=_keyword_vectors(spark, root), whitening="none")[1]
+
+
+def g4_whitened(spark: SparkSession, root: str) -> DataFrame:
+    """The same on vectors whitened as a batch."""
+    return keyword_clusters(table(spark, root, "keywords"), "auto", vectors=_keyword_vectors(spark, root))[0].select("cluster", "size", "label", "representative_keyword")
+
+
+def x5_two_stage(spark: SparkSession, root: str) -> DataFrame:
+    """Semantic groups, and fuzzy ones of what they leave."""
+    return two_stage_clusters(table(spark, root, "keywords"), _keyword_vectors(spark, root), 0.9, whitening="none").select("stage", "cluster", "size", "label")
+
+
+def k1_members(spark: SparkSession, root: str) -> DataFrame:
+    return rollup(_heads(spark, root), members=True).select("cluster", F.array_join("members", "|").alias("members"))
+
+
 def k13_medoids(spark: SparkSession, root: str) -> DataFrame:
     return medoids(table(spark, root, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("vec")))
 
@@ -123,6 +154,7 @@ def x3_distinct_in_order(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     "k1_rollup": k1_rollup, "k5_labels": k5_labels, "k6_distinct_labels": k6_distinct_labels, "min_cluster_size": p7_min_size, "o4_by_volume": o4_by_volume, "k12_card": k12_card, "x1_links": x1_links, "g1_components": g1_components,
     "g3_token_groups": g3_semantic_rollup, "k13_medoids": k13_medoids, "f13_whitened": f13_whitened, "k5_titles": k5_titles, "g2_vector_groups": g2_vector_groups, "j5_vector_links": j5_vector_links, "s8_cache_statistics": s8_cache_statistics, "s9_alive": s9_alive, "s9_keys": s9_keys, "j12_hits": j12_hits, "j12_misses": j12_misses, "x3_distinct_in_order": x3_distinct_in_order,
+    "g4_semantic": g4_semantic, "g4_noise": g4_noise, "g4_whitened": g4_whitened, "x5_two_stage": x5_two_stage, "k1_members": k1_members,
 }
 
 _TOKS = r"regexp_extract_all(trim(regexp_replace(strip_accents(translate(lower(coalesce(text, '')), 'łđø', 'ldo')), '\s+', ' ', 'g')), '[\p{L}\p{N}]+')"
@@ -132,6 +164,21 @@ _LABELS = """g AS (SELECT DISTINCT cluster, kw_id, s.n, array_to_string(list_sli
 c AS (SELECT cluster, n, ngram, count(*) AS held FROM g GROUP BY ALL HAVING count(*) >= 2 OR n = 1),
 l AS (SELECT cluster, ngram AS label FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, held DESC, ngram) AS r FROM c) WHERE r = 1)"""
 
+_ROLLED = f"""count(*) AS size, CAST(sum(avg_monthly_searches) AS BIGINT) AS total_volume, round(avg((cpc_low + cpc_high) / 2), 8) AS avg_cpc,
+ arg_max(competition, {{'r': {_RANK}, 'k': -kw_id}}) FILTER (WHERE coalesce(competition, '') <> '') AS dominant_competition,
+ coalesce(arg_max(text, {{'v': avg_monthly_searches, 'k': -kw_id}}) FILTER (WHERE avg_monthly_searches IS NOT NULL), arg_min(text, {{'l': length(text), 'k': kw_id}})) AS representative_keyword"""
+_TOKEN_GROUPS = f"""m AS (SELECT *, list_distinct({_TOKS}) AS s FROM keywords WHERE text IS NOT NULL), t AS (SELECT kw_id, len(s) AS n, unnest(s) AS w FROM m),
+e AS MATERIALIZED (SELECT a.kw_id AS x, b.kw_id AS y FROM t a JOIN t b ON a.w = b.w AND a.kw_id <> b.kw_id GROUP BY a.kw_id, b.kw_id, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.8),
+r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+rooted AS (SELECT kw_id, coalesce(least(min(y), kw_id), kw_id) AS root FROM m LEFT JOIN r ON x = kw_id GROUP BY kw_id),
+grouped AS (SELECT kw_id, root, dense_rank() OVER (ORDER BY root) - 1 AS component FROM rooted)"""
+_VECTORS = """fine AS (SELECT * FROM emb WHERE text IS NOT NULL AND vec IS NOT NULL AND len(vec) = dim AND len(list_filter(vec, lambda x: isnan(x))) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0),
+newer AS (SELECT text, CAST(vec AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY text ORDER BY cached_at DESC NULLS LAST, vec_id DESC) AS r FROM fine WHERE dim = (SELECT min(dim) FROM fine)),
+held AS (SELECT kw_id, v FROM keywords JOIN newer USING (text) WHERE r = 1),
+e AS MATERIALIZED (SELECT a.kw_id AS x, b.kw_id AS y FROM held a JOIN held b ON a.kw_id <> b.kw_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+grouped AS (SELECT x AS kw_id, min(y) AS cluster FROM r GROUP BY x)"""
+
 SQL = {
     "k1_rollup": f"""WITH {_MEMBERS}
 SELECT cluster, count(*) AS size, CAST(sum(avg_monthly_searches) AS BIGINT) AS total_volume, round(avg((cpc_low + cpc_high) / 2), 8) AS avg_cpc,
@@ -164,4 +211,14 @@ SELECT text, vec_id FROM n WHERE r = 1 AND epoch_us(TIMESTAMP '2024-06-01 00:00:
     "j12_hits": "SELECT DISTINCT term AS text FROM search_terms WHERE term IN (SELECT text FROM emb WHERE text IS NOT NULL)",
     "j12_misses": "SELECT DISTINCT term AS text FROM search_terms WHERE term IS NOT NULL AND term NOT IN (SELECT text FROM emb WHERE text IS NOT NULL)",
     "x3_distinct_in_order": "SELECT text, min(vec_id) AS first_id FROM emb WHERE text IS NOT NULL GROUP BY text",
+    "g1_components": f"WITH RECURSIVE {_TOKEN_GROUPS} SELECT kw_id, root, component FROM grouped",
+    "g3_token_groups": f"WITH RECURSIVE {_TOKEN_GROUPS} SELECT component AS cluster, {_ROLLED} FROM keywords JOIN grouped USING (kw_id) GROUP BY component HAVING count(*) >= 2",
+    "k5_titles": f"WITH {_MEMBERS}, {_LABELS} SELECT cluster, array_to_string([upper(x[1:1]) || x[2:] for x in regexp_extract_all(label, '[\\p{{L}}]+|[^\\p{{L}}]+')], '') AS title FROM l",
+    "k1_members": f"WITH {_MEMBERS} SELECT cluster, string_agg(text, '|' ORDER BY kw_id) AS members FROM h GROUP BY cluster",
+    "g2_vector_groups": """WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+e AS MATERIALIZED (SELECT a.id AS x, b.id AS y FROM v a JOIN v b ON a.id <> b.id AND list_cosine_similarity(a.e, b.e) >= 0.5),
+r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT id, coalesce(least(min(y), id), id) AS root FROM v LEFT JOIN r ON x = id GROUP BY id""",
+    "g4_semantic": f"WITH RECURSIVE {_VECTORS} SELECT cluster, {_ROLLED}, string_agg(text, '|' ORDER BY kw_id) AS members FROM keywords JOIN grouped USING (kw_id) GROUP BY cluster",
+    "g4_noise": f"WITH RECURSIVE {_VECTORS} SELECT kw_id FROM keywords WHERE text IS NOT NULL AND kw_id NOT IN (SELECT kw_id FROM grouped)",
 }

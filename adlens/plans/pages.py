@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.operators.graph import crawl, redirect_chains, site_of
-from adlens.operators.html import coverage, gaps, parsed, resolved, signals
+from adlens.functions.text import keyword_tokens, ngrams
+from adlens.operators.graph import checked, crawl, redirect_chains, site_of
+from adlens.operators.html import coverage, missing_pages, parsed, phrase_matches, resolved, signals
 from adlens.operators.versions import diffs, flagged, listed
-from adlens.session import table
+from adlens.plans import page_sql
+from adlens.session import table, written
 from adlens.sources.pages import domain_slug, fetched, inline, output_path, scan, url_slug
 
-PHRASES = ["water bottle", "rain jacket", "kask rowerowy", "śpiwór dziecięcy", "sac à dos", "bürostuhl", "clicks", "kolorów", "not there at all"]
-
-
 def _pages(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "pages")
 
@@ -72,17 +73,29 @@ def c1_summary(spark: SparkSession, root: str) -> DataFrame:
     return parsed(_pages(spark, root), ("content",)).agg(F.count_if("ok").alias("ok_pages"), F.count_if(~F.col("ok")).alias("failed"), F.coalesce(F.min(w), F.lit(0)).alias("min_words"), F.coalesce(F.max(w), F.lit(0)).alias("max_words"), F.coalesce(F.bround(F.avg(w), 0), F.lit(0.0)).alias("mean_words"))
 
 
+def _phrases(spark: SparkSession, root: str) -> DataFrame:
+    """All word pairs of the keywords."""
+    pairs = table(spark, root, "keywords").filter("text IS NOT NULL").select(F.explode(ngrams(keyword_tokens(F.col("text")), (2,))).alias("g"))
+    return pairs.select(F.col("g.ngram").alias("keyword")).distinct()
+
+
 def c3_coverage(spark: SparkSession, root: str) -> DataFrame:
-    return coverage(parsed(_pages(spark, root), ("content",)), PHRASES)
+    """All word pairs of the keywords against all pages: the cells that are not 0."""
+    return phrase_matches(parsed(_pages(spark, root), ("content",)), _phrases(spark, root))
+
+
+def c3_matrix(spark: SparkSession, root: str) -> DataFrame:
+    """The whole matrix of a list of phrases."""
+    return coverage(parsed(_pages(spark, root), ("content",)), ["rain jacket", "kask rowerowy", "sac à dos", "bürostuhl", "not there at all"])
 
 
 def c4_gaps(spark: SparkSession, root: str) -> DataFrame:
-    return gaps(coverage(parsed(_pages(spark, root), ("content",)), PHRASES)).groupBy("keyword").agg(F.count("*").alias("pages"))
+    return missing_pages(written(parsed(_pages(spark, root), ("content",))), _phrases(spark, root))
 
 
 def s3_fetch_policy(spark: SparkSession, root: str) -> DataFrame:
-    by_body, by_status = fetched(_pages(spark, root), "body"), fetched(_pages(spark, root), "status")
-    return by_body.groupBy(F.lit("body").alias("policy"), "ok").agg(F.count("*").alias("pages")).unionByName(by_status.groupBy(F.lit("status").alias("policy"), "ok").agg(F.count("*").alias("pages")))
+    counted = [fetched(_pages(spark, root), p).groupBy(F.lit(p).alias("policy"), "ok").agg(F.count("*").alias("pages")) for p in ("body", "status", "response", "strict")]
+    return reduce(DataFrame.unionByName, counted)
 
 
 def s2_scan(spark: SparkSession, root: str) -> DataFrame:
@@ -108,12 +121,31 @@ def u1_rollup(spark: SparkSession, root: str) -> DataFrame:
     return p.groupBy("site").agg(F.count("*").alias("checked"), F.count_if(F.col("status") == 200).alias("fine"), F.count_if(F.col("status") >= 400).alias("broken"), F.count_if((F.col("status") >= 300) & (F.col("status") < 400)).alias("redirects"))
 
 
+def _moves(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Urls of the snapshots, and answers that lead each of them step by step to its normal form, which answers 200.
+
+    Steps: no fragment, no tracking parameters, host in lower case, no slash at the end.
+    """
+    urls = table(spark, root, "snapshots").filter("url IS NOT NULL").select("url").distinct()
+    bare = F.regexp_replace("url", "#.*$", "")
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r"([?&])utm_[^&]*", "$1"), r"([?&])&+", "$1"), r"[?&]+$", "")
+    low = F.concat(F.lower(F.regexp_extract(plain, r"^([^/?]*//[^/?]*)", 1)), F.regexp_extract(plain, r"^[^/?]*//[^/?]*(.*)$", 1))
+    forms = urls.select("url", F.array_distinct(F.array("url", bare, plain, low, F.regexp_replace(low, "/+$", ""))).alias("forms"))
+    steps = forms.select(F.explode(F.arrays_zip(F.col("forms").alias("url"), F.slice("forms", 2, 9).alias("location"))).alias("s"))
+    answers = steps.select("s.url", F.when(F.col("s.location").isNull(), 200).otherwise(301).alias("status"), "s.location", F.lit(None).cast("string").alias("error"))
+    return urls, answers
+
+
 def u2_redirects(spark: SparkSession, root: str) -> DataFrame:
-    """Redirect chains over the fetched pages: a fetch with another final url is a redirect to it."""
-    p = _pages(spark, root).filter("url IS NOT NULL")
-    moved = F.col("status").between(300, 399)
-    responses = p.select("url", "status", F.when(moved, F.concat("final_url", F.lit("?moved"))).alias("location"), "error")
-    return redirect_chains(p.select("url"), responses).select("url", "final_url", "final_status", "redirects", "downgrade", "ok")
+    urls, answers = _moves(spark, root)
+    return redirect_chains(urls, answers).select("url", "final_url", "final_status", "redirects", "downgrade", "ok")
+
+
+def u1_checked(spark: SparkSession, root: str) -> DataFrame:
+    """Checked urls by site with the lists of broken and redirected ones."""
+    urls, answers = _moves(spark, root)
+    out = checked(redirect_chains(urls, answers))
+    return out.select("site", "checked", "broken", "redirected", F.array_join("broken_urls", "|").alias("broken_urls"), F.array_join("redirected_urls", "|").alias("redirected_urls"))
 
 
 def u3_crawl(spark: SparkSession, root: str) -> DataFrame:
@@ -141,16 +173,33 @@ def f25_hashes(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     "t1_content": t1_content, "t1_titles": t1_titles, "t2_audit": t2_audit, "t3_text": t3_text, "t4_links": t4_links, "d1_structured_data": d1_structured_data, "d3_types": d3_types, "l1_images": l1_images, "l2_calls": l2_calls, "l3_bytes": l3_bytes, "l4_flags": l4_flags,
-    "c1_summary": c1_summary, "c3_coverage": c3_coverage, "c4_gaps": c4_gaps, "s2_scan": s2_scan, "s3_fetch_policy": s3_fetch_policy, "s11_inline": s11_inline, "s12_paths": s12_paths, "f19_domains": f19_domains, "u1_rollup": u1_rollup, "u2_redirects": u2_redirects, "u3_crawl": u3_crawl,
+    "c1_summary": c1_summary, "c3_coverage": c3_coverage, "c3_matrix": c3_matrix, "u1_checked": u1_checked, "c4_gaps": c4_gaps, "s2_scan": s2_scan, "s3_fetch_policy": s3_fetch_policy, "s11_inline": s11_inline, "s12_paths": s12_paths, "f19_domains": f19_domains, "u1_rollup": u1_rollup, "u2_redirects": u2_redirects, "u3_crawl": u3_crawl,
     "w1_changed": w1_changed, "m3_diffs": m3_diffs, "m4_listed": m4_listed, "f25_hashes": f25_hashes,
 }
 
 _HOST = r"regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)), '^www\.', '')"
 
-SQL = {
+_LOW = "lower(regexp_extract(f2, '^([^/?]*//[^/?]*)', 1)) || regexp_extract(f2, '^[^/?]*//[^/?]*(.*)$', 1)"
+_FORMS = rf"""one AS (SELECT DISTINCT url, regexp_replace(url, '#.*$', '') AS f1 FROM snapshots WHERE url IS NOT NULL),
+two AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(f1, '([?&])utm_[^&]*', '\1', 'g'), '([?&])&+', '\1', 'g'), '[?&]+$', '') AS f2 FROM one),
+forms AS (SELECT *, {_LOW} AS f3, regexp_replace({_LOW}, '/+$', '') AS f4 FROM two)"""
+
+SQL = page_sql.SQL | {
     "l3_bytes": "SELECT page_id, html IS NOT NULL AS ok, coalesce(starts_with(final_url, 'https://'), false) AS https, coalesce(CAST(octet_length(encode(html)) AS BIGINT), 0) AS bytes FROM pages",
     "s2_scan": "SELECT st_id, campaign, clicks FROM search_terms WHERE clicks >= 5 AND seen_at >= TIMESTAMP '2024-04-01' AND seen_at < TIMESTAMP '2024-05-01'",
-    "s3_fetch_policy": "SELECT 'body' AS policy, html IS NOT NULL AS ok, count(*) AS pages FROM pages GROUP BY 2 UNION ALL SELECT 'status', coalesce(status = 200, false) AND html IS NOT NULL, count(*) FROM pages GROUP BY 2",
+    "s3_fetch_policy": """SELECT 'body' AS policy, html IS NOT NULL AS ok, count(*) AS pages FROM pages GROUP BY 2 UNION ALL SELECT 'status', coalesce(status = 200, false) AND html IS NOT NULL, count(*) FROM pages GROUP BY 2
+UNION ALL SELECT 'response', coalesce(status < 400, false) AND error IS NULL, count(*) FROM pages GROUP BY 2 UNION ALL SELECT 'strict', coalesce(status = 200, false) AND coalesce(trim(html) <> '', false), count(*) FROM pages GROUP BY 2""",
+    "u2_redirects": f"WITH {_FORMS} SELECT url, f4 AS final_url, 200 AS final_status, CAST(len(list_distinct([url, f1, f2, f3, f4])) - 1 AS INTEGER) AS redirects, false AS downgrade, true AS ok FROM forms",
+    "u1_checked": f"WITH {_FORMS} SELECT {_HOST} AS site, count(*) AS checked, 0::BIGINT AS broken, count(*) FILTER (WHERE f4 <> url) AS redirected, '' AS broken_urls, coalesce(string_agg(url, '|' ORDER BY url) FILTER (WHERE f4 <> url), '') AS redirected_urls FROM forms GROUP BY 1",
+    "u3_crawl": f"""WITH site_starts AS (SELECT {_HOST} AS site, min(url) AS start FROM pages WHERE url IS NOT NULL GROUP BY 1),
+{page_sql.LINKS},
+near AS (SELECT start, regexp_extract(start, '^[a-zA-Z]+://[^/?#]+') || href AS url, min(pos) AS pos FROM site_starts JOIN pages ON pages.url = start JOIN linked USING (page_id) WHERE starts_with(href, '/') GROUP BY 1, 2),
+ranked AS (SELECT start, url, row_number() OVER (PARTITION BY start ORDER BY pos, url) AS r FROM near WHERE url <> start)
+SELECT start, start AS url, NULL::VARCHAR AS found_on, 0 AS depth, 0::BIGINT AS ordinal FROM site_starts UNION ALL SELECT start, url, start, 1, r FROM ranked WHERE r <= 49""",
+    "s12_paths": f"""WITH u AS (SELECT page_id, url, fetched_at, regexp_replace(coalesce(nullif({_HOST}, ''), 'unknown-domain'), '[^a-z0-9.-]+', '-', 'g') AS domain,
+ trim(regexp_replace(lower(strip_accents(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) || ' ' || regexp_extract(url, '[?]([^#]*)', 1))), '[^a-z0-9]+', '-', 'g'), '-') AS own FROM pages WHERE url IS NOT NULL),
+n AS (SELECT *, CASE WHEN own = '' THEN trim(regexp_replace(domain, '[^a-z0-9]+', '-', 'g'), '-') ELSE own END AS slug FROM u)
+SELECT page_id, domain, slug, 'outputs/' || domain || '/markdown/' || strftime(fetched_at, '%Y-%m-%d-%H-%M') || '-' || slug || '-' || sha1(url)[1:6] AS path FROM n""",
     "s11_inline": "SELECT page_id, CAST(CASE WHEN length(coalesce(html, '')) > 2000 THEN 2000 ELSE length(coalesce(html, '')) END AS INTEGER) AS shown FROM pages",
     "f19_domains": f"SELECT {_HOST} AS domain, count(*) AS rows FROM snapshots WHERE url IS NOT NULL GROUP BY 1",
     "u1_rollup": f"SELECT {_HOST} AS site, count(*) AS checked, count(*) FILTER (WHERE status = 200) AS fine, count(*) FILTER (WHERE status >= 400) AS broken, count(*) FILTER (WHERE status >= 300 AND status < 400) AS redirects FROM pages WHERE url IS NOT NULL GROUP BY 1",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from adlens.plans.terms import FOLDED_TOKENS, STOP_LIST
 from adlens.streaming.page_changes import changes
 from adlens.streaming.search_terms import drained, read_files, windowed_ngrams, windowed_sums
 
@@ -28,4 +29,8 @@ QUERIES = {"stream_weekly_sums": stream_weekly_sums, "stream_ngrams": stream_ngr
 SQL = {
     "stream_weekly_sums": """SELECT strftime(time_bucket(INTERVAL 7 DAY, seen_at, TIMESTAMP '1970-01-01'), '%Y-%m-%d') AS week, campaign, count(*) AS rows, round(sum(coalesce(cost, 0)), 4) AS cost, round(sum(coalesce(clicks, 0)), 4) AS clicks
 FROM search_terms WHERE seen_at IS NOT NULL GROUP BY ALL""",
+    "stream_page_changes": """SELECT url, fetched_at, sha256(text) AS text_hash, lag(sha256(text)) OVER w <> sha256(text) AS changed FROM snapshots WHERE text IS NOT NULL AND url IS NOT NULL AND fetched_at IS NOT NULL
+WINDOW w AS (PARTITION BY url ORDER BY fetched_at, snap_id)""",
+    "stream_ngrams": f"""WITH t AS (SELECT cost, clicks, unnest(list_distinct({FOLDED_TOKENS})) AS ngram FROM search_terms WHERE seen_at IS NOT NULL AND trim(coalesce(term, '')) <> '')
+SELECT ngram, round(sum(coalesce(cost, 0)), 4) AS cost, round(sum(coalesce(clicks, 0)), 4) AS clicks FROM t WHERE length(ngram) > 1 AND ngram NOT IN {STOP_LIST} GROUP BY ngram""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.functions.text import fold_content, fold_terms, keyword_tokens, ngrams, norm_keyword, phrase_count, slug, term_tokens, word_count
+from adlens.functions.text import STOPWORDS, fold_content, fold_terms, keyword_tokens, ngrams, norm_keyword, phrase_count, slug, term_tokens, word_count
 from adlens.operators.metrics import before_after, cost_ratios
 from adlens.operators.ngram import NgramOptions, engagement, keyword_grams, negatives, ngram_table, normalize_schema, ranked, totals
 from adlens.session import table
@@ -131,10 +131,8 @@ QUERIES = {
 
 _FOLD = "lower(strip_accents(replace(replace(replace(replace(replace(replace(translate(coalesce({0}, ''), 'łŁđĐøØð', 'lLdDoOd'), 'ß', 'ss'), 'æ', 'ae'), 'Æ', 'ae'), 'œ', 'oe'), 'Œ', 'oe'), 'þ', 'th')))"
 _TOKENS = "list_filter(regexp_split_to_array({0}, '[^a-z0-9]+'), lambda t: t <> '')"
-_STOP = (
-    "('a','an','and','are','as','at','be','by','for','from','in','into','is','it','of','on','or','the','this','that','to','with','i','w','we','z','ze','na','do','od','po','za','o','u','ok','ktory','która','które','co','czy','to','tak','nie','oraz','lub','albo',"
-    "'ale','jak','gdzie','kiedy','dla','bez','pod','nad','przy','ich','jego','jej','sie','się','jest','są','być','bardzo')"
-)
+STOP_LIST = _STOP = "(" + ", ".join(f"'{w}'" for w in STOPWORDS) + ")"
+FOLDED_TOKENS = _TOKENS.format(_FOLD.format("term"))
 
 
 def _grams(sizes: str, source: str, tokens: str = "toks") -> str:

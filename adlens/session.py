@@ -19,10 +19,13 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Where the session leaves it unset (tests, notebooks on one machine) a temporary folder is set and removed at exit.
+    Where a session on one machine leaves it unset (tests, notebooks) a temporary folder is set and removed at exit. On a cluster a
+    folder of one machine would lose what the others need, so there it must be named.
     """
     own = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         own = "file://" + tempfile.mkdtemp(prefix="adlens-")
         atexit.register(shutil.rmtree, own[7:], ignore_errors=True)
     if not spark.sparkContext.getCheckpointDir():
@@ -30,10 +33,25 @@ def scratch_dir(spark: SparkSession) -> str:
     return own
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """This application's folder in the shared one; the file system removes it when the driver's JVM ends."""
+    folder = os.path.join(scratch_dir(spark), f"adlens-{spark.sparkContext.applicationId}")
+    if folder not in _marked:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _marked.add(folder)
+    return folder
+
+
+_marked: set[str] = set()
+
+
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: a cheap, fault-tolerant lineage cut."""
     spark = df.sparkSession
-    path = os.path.join(scratch_dir(spark), f"adlens-{uuid.uuid4().hex}.parquet")
+    path = os.path.join(_own_folder(spark), f"{uuid.uuid4().hex}.parquet")
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,46 @@ def embedded(texts: DataFrame, cache: DataFrame, model: Callable[[list[str]], li
     return wanted.join(held, "text").unionByName(fresh), fresh
 
 
+@dataclass(frozen=True)
+class EmbeddingSettings:
+    """Where embeddings come from. ``shape`` is 'data' (list of objects under ``data``) or 'plain' (list under ``embeddings``)."""
+
+    model: str = ""
+    base_url: str = ""
+    shape: str = "data"
+    dim: int | None = None
+    api_key: str | None = None
+
+    @classmethod
+    def of(cls, *sources: dict | None) -> EmbeddingSettings:
+        """Settings from defaults, files, the environment and the caller: of each the last source that has a value wins."""
+        names = {f.name for f in fields(cls)}
+        return cls(**{k: v for s in sources for k, v in (s or {}).items() if k in names and v is not None})
+
+
+def embedding_request(texts: list[str], settings: EmbeddingSettings) -> tuple[str, dict, dict]:
+    """(url, payload, headers) of one batch."""
+    base = settings.base_url.rstrip("/")
+    if settings.shape == "plain":
+        return f"{base}/api/embed", {"model": settings.model, "input": texts}, {}
+    if settings.shape != "data":
+        raise ValueError(f"unknown shape: {settings.shape}")
+    if not settings.api_key:
+        raise ValueError("an api key is needed")
+    dim = {"dimensions": settings.dim} if settings.dim else {}
+    return f"{base}/embeddings", {"model": settings.model, "input": texts, **dim}, {"Authorization": f"Bearer {settings.api_key}"}
+
+
+def embedding_model(settings: EmbeddingSettings, post: Callable[[str, dict, dict], dict]) -> Callable[[list[str]], list[list[float]]]:
+    """A model for ``embedded`` that asks a service through ``post`` (url, payload, headers) -> answer."""
+
+    def model(texts: list[str]) -> list[list[float]]:
+        answer = post(*embedding_request(texts, settings))
+        return answer["embeddings"] if settings.shape == "plain" else [row["embedding"] for row in answer["data"]]
+
+    return model
+
+
 def model_slug(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 

@@ -33,7 +33,7 @@ def rows_of(columns: list[str], rows) -> Counter:
 
 
 def sql_rows(sql: str, root: str) -> tuple[list[str], Counter]:
-    con = duckdb.connect()
+    con = duckdb.connect(config={"threads": int(os.environ.get("ADLENS_THREADS", "0")) or os.cpu_count()})
     con.execute("SET TimeZone='UTC'")
     for path in glob.glob(f"{root}/*.parquet"):
         name = os.path.basename(path)[:-8]

@@ -7,12 +7,13 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from adlens.operators.graph import components, crawl, ranked_components, redirect_chains
-from adlens.operators.keyword_clusters import cluster_ids, distinct_labels, labels, rollup, title_case, vector_clusters
+from adlens.operators.graph import checked, components, crawl, ranked_components, redirect_chains
+from adlens.operators.keyword_clusters import cluster_ids, distinct_labels, keyword_clusters, keyword_rows, labels, resolve_method, rollup, title_case, two_stage_clusters, vector_clusters
 from adlens.operators.similarity import blocked_links, cosine, lexical_ratio, token_links, token_sort_ratio
 from adlens.operators.whitening import whitened
 from adlens.sources.caches import alive, newest, split_requests
 from adlens.sources.embeddings import embedded, load_background, model_slug
+from adlens.sources.pages import append_versions
 
 
 def brute(edges):
@@ -165,3 +166,47 @@ def test_embedding_cache(spark, tmp_path):
 def test_title_case(spark):
     df = spark.createDataFrame([("3latka o'neil buty",), (None,)], "t string")
     assert [r[0] for r in df.select(title_case("t")).collect()] == ["3Latka O'Neil Buty", None]
+
+
+def test_keyword_rows(spark):
+    rows = keyword_rows(spark, ["red tent", {"text": "blue tent", "avg_monthly_searches": 5, "kw_id": 9}]).collect()
+    assert [(r["kw_id"], r["text"], r["avg_monthly_searches"]) for r in rows] == [(0, "red tent", None), (9, "blue tent", 5)]
+    for bad in ([{"kw_id": 1}], [""], [{"text": None}]):
+        with pytest.raises(ValueError):
+            keyword_rows(spark, bad)
+
+
+def test_semantic_and_two_stages(spark):
+    texts = ["red tent", "tent red big", "oak shelf", "shelf of oak", "garden hose", "garden hoses", "lamp"]
+    keywords = keyword_rows(spark, [{"text": t, "avg_monthly_searches": 10 * i, "competition": "LOW"} for i, t in enumerate(texts)])
+    vectors = spark.createDataFrame([(texts[0], [1.0, 0.0, 0.1]), (texts[1], [1.0, 0.1, 0.0]), (texts[2], [0.0, 1.0, 0.0]), (texts[3], [0.0, 1.0, 0.1]), (texts[4], [0.0, 0.0, -1.0]), (texts[5], [0.5, 0.5, 1.0]), (None, [1.0, 1.0, 1.0])], "text string, vec array<double>")
+    out, noise = keyword_clusters(keywords, "auto", 0.9, vectors=vectors, whitening="none")
+    assert {r["cluster"]: r["members"] for r in out.collect()} == {0: texts[:2], 2: texts[2:4]}
+    assert {r["kw_id"] for r in noise.collect()} == {4, 5, 6}
+    both = {(r["stage"], r["cluster"]): r["members"] for r in two_stage_clusters(keywords, vectors, 0.9, whitening="none").collect()}
+    assert both == {("semantic", 0): texts[:2], ("semantic", 2): texts[2:4], ("fuzzy", 4): texts[4:6]}
+    mapped = keyword_clusters(keywords, "semantic", 0.9, vectors=vectors, background=(np.zeros(3), np.eye(3)))[0]
+    assert {r["cluster"] for r in mapped.collect()} == {0, 2}
+    assert keyword_clusters(keywords, "semantic", 0.9, vectors=vectors)[0].count() >= 0
+    assert resolve_method("auto", False) == "fuzzy"
+    for bad in ({"method": "other"}, {"method": "semantic"}, {"method": "semantic", "vectors": vectors, "whitening": "odd"}):
+        with pytest.raises(ValueError):
+            keyword_clusters(keywords, **bad)
+
+
+def test_newest_answer_counts_and_lists(spark):
+    answers = [("http://a/", 200, None, None, "2024-01-01"), ("http://a/", 301, "https://a/x", None, "2024-02-01"), ("https://a/x", 404, None, None, None), ("http://b/", None, None, "refused", None)]
+    df = spark.createDataFrame(answers, "url string, status int, location string, error string, at string").withColumn("fetched_at", F.col("at").cast("timestamp_ntz"))
+    chains = redirect_chains(spark.createDataFrame([("http://a/",), ("http://b/",), (None,)], "url string"), df)
+    got = {r["url"]: (r["final_url"], r["final_status"], r["redirects"]) for r in chains.collect()}
+    assert got == {"http://a/": ("https://a/x", 404, 1), "http://b/": ("http://b/", None, 0)}
+    sites = {r["site"]: r for r in checked(chains).collect()}
+    assert sites["a"]["broken_urls"] == sites["a"]["redirected_urls"] == ["http://a/"] and sites["b"]["broken"] == 1 and sites["b"]["redirected_urls"] == []
+
+
+def test_versions_are_appended(spark, tmp_path):
+    rows = spark.createDataFrame([("https://www.h.example/a", "x"), ("https://h.example/b", None), (None, "y")], "url string, text string").withColumn("fetched_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    for _ in range(2):
+        append_versions(rows, str(tmp_path / "v"))
+    out = spark.read.parquet(str(tmp_path / "v"))
+    assert sorted((r["domain"], r["text"]) for r in out.collect()) == [("h.example", "x")] * 2 + [("unknown-domain", "y")] * 2

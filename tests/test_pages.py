@@ -2,14 +2,16 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from adlens.operators.html import coverage, gaps, known_availability, parsed, product_view, resolved, signals
+from adlens.operators.html import coverage, gaps, known_availability, missing_pages, parsed, phrase_matches, product_view, resolved, signals
 from adlens.operators.snapshot_diff import changes as changes_between
 from adlens.operators.snapshot_diff import bits_for, normal_url, open_rows, row_digests, snapshot_changes
 from adlens.operators.versions import diffs, flagged
-from adlens.sources.pages import domain_slug, inline, output_format, url_slug
-from adlens.sources.rest import RestSource, await_task, flattened, location_options, send
+from adlens.sources.embeddings import EmbeddingSettings, embedding_model, embedding_request
+from adlens.sources.pages import domain_slug, inline, output_format, received, url_slug
+from adlens.sources.rest import ENDPOINTS, RestSource, answered, await_task, flattened, location_options, request_for, requests_table, send, tasks_ready
 from adlens.streaming.page_changes import changes
 from adlens.streaming.search_terms import drained, read_files
 
@@ -188,3 +190,80 @@ def test_names(spark):
     assert got[0][0] == "example.com" and got[1][0] == "unknown-domain" and got[2][1] == "shop-item" and got[3][1] == "x-com"
     r = spark.range(1).select(output_format(F.lit("md")), inline(F.lit("x" * 10), F.lit(True), 4), inline(F.lit("x" * 10), F.lit(False), 4)).first()
     assert list(r) == ["markdown", "xxxx", "x" * 10]
+
+
+def test_endpoints():
+    fields = {"keywords": ["a", "b"], "target": "x.example", "keyword": "a", "bid": 2.5}
+    for name, (path, wanted) in ENDPOINTS.items():
+        got, payload = request_for(name, location="Poland", language=1045, **{f: fields[f] for f in wanted if f != "match"})
+        task = json.loads(payload)[0]
+        assert got == path and path.startswith("/v3/") and {f: task[f] for f in wanted} == {f: fields.get(f, "broad") for f in wanted}
+        assert task["language_code"] == 1045 and ("location_name" in task) == (name != "search_intent")
+    for bad in (("nothing", {}), ("serp", {}), ("serp", {"keyword": "a", "bid": 1}), ("search_volume", {"keywords": "abc"})):
+        with pytest.raises(ValueError):
+            request_for(bad[0], **bad[1])
+
+
+def test_cached_calls_send_nothing(spark, tmp_path):
+    log, fine, failed = str(tmp_path / "calls"), answer(20000, [{"q": 1}]), answer(40000, None)
+
+    def transport(method, path, payload):
+        with open(log, "a") as calls:
+            calls.write(payload + "\n")
+        return 200, failed if "bad" in payload else fine
+
+    asked = requests_table(spark, "serp", [{"keyword": k} for k in ("one", "two", "two", "bad")])
+    now = F.lit("2024-05-01").cast("timestamp")
+    first, fresh = answered(asked, None, transport, now)
+    assert sorted(r["cached"] for r in first.collect()) == [False] * 3 and fresh.count() == 2
+    assert len(open(log).readlines()) == 3
+    kept = spark.createDataFrame(fresh.collect(), fresh.schema)
+    again, more = answered(asked, kept, transport, F.lit("2024-05-02").cast("timestamp"), 2 * 86400)
+    assert sorted(r["cached"] for r in again.collect()) == [False, True, True] and more.count() == 0
+    assert len(open(log).readlines()) == 4  # the bad answer only
+    answered(asked, kept, transport, F.lit("2024-05-09").cast("timestamp"), 2 * 86400)
+    assert len(open(log).readlines()) == 7
+    assert answered(asked.limit(0), kept, transport, now)[0].count() == 0
+
+
+def test_ready_tasks():
+    ready = json.dumps({"status_code": 20000, "tasks": [{"result": [{"id": "t1"}, {"id": "t2"}, {}]}, {"result": None}]})
+    assert tasks_ready(lambda m, p, x: (200, ready) if p == "/v3/serp/tasks_ready" else (404, ""), "/v3/serp/") == ["t1", "t2"]
+
+
+def test_embedding_requests():
+    settings = EmbeddingSettings.of({"model": "m", "base_url": "http://h/"}, None, {"model": None, "dim": 8, "other": 1}, {"api_key": "k"})
+    assert embedding_request(["a"], settings) == ("http://h/embeddings", {"model": "m", "input": ["a"], "dimensions": 8}, {"Authorization": "Bearer k"})
+    plain = EmbeddingSettings("m", "http://h", "plain")
+    assert embedding_request(["a"], plain) == ("http://h/api/embed", {"model": "m", "input": ["a"]}, {})
+    assert embedding_model(plain, lambda *a: {"embeddings": [[1.0]]})(["a"]) == [[1.0]]
+    assert embedding_model(settings, lambda *a: {"data": [{"embedding": [2.0]}]})(["a"]) == [[2.0]]
+    with pytest.raises(ValueError):
+        embedding_request(["a"], EmbeddingSettings("m", "http://h"))
+
+
+def test_received_answers(spark):
+    rows = [(1, 200, "żółć".encode("cp1250"), "text/html; charset=windows-1250", None), (2, 404, "nie ma".encode(), None, None), (3, 200, b"\xff", "text/html; charset=unheard-of", None), (4, 200, b"%PDF", "application/pdf", None), (5, None, None, None, "timed out"), (6, 200, b"", "", None)]
+    df = spark.createDataFrame(rows, "id int, status int, body binary, content_type string, error string")
+    got = {r["id"]: (r["html"], r["ok"]) for r in received(df).collect()}
+    assert got == {1: ("żółć", True), 2: ("nie ma", False), 3: ("�", True), 4: ("%PDF", True), 5: (None, False), 6: ("", True)}
+    assert {r["id"]: r["html"] for r in received(df, html_only=True).collect()}[4] is None
+
+
+def test_availability(spark):
+    blocks = ['{"@type": "Product", "name": "n", "image": "i", "offers": {"price": 1, "priceCurrency": "EUR", "availability": "%s"}}' % a for a in ("https://schema.org/InStock", "Someday")]
+    html = [f'<script type="application/ld+json">{b}</script>' for b in blocks]
+    out = {r["page_id"]: r["product"] for r in parsed(spark.createDataFrame(list(enumerate(html)), "page_id int, html string"), ("product",)).collect()}
+    assert out[0]["unknown_availability"] is None and out[1]["unknown_availability"] == "Someday" and out[0]["missing"] == out[1]["missing"] == []
+
+
+def test_phrases_by_their_words(spark):
+    pages = [(0, "<title>Blue tent</title><h1>Tents</h1><p>A blue tent, blue\n tent and bluetent.</p>"), (1, "<p>no</p>"), (2, None)]
+    content = parsed(spark.createDataFrame(pages, "page_id int, html string"), ("content",))
+    phrases = spark.createDataFrame([("blue tent",), ("TENTS",), ("tent and bluetent",), (None,), ("!!",), ("red",), ("no",)], "keyword string")
+    got = {(r["page_id"], r["keyword"]): (r["count"], r["in_title"], r["in_headings"]) for r in phrase_matches(content, phrases).collect()}
+    assert got == {(0, "blue tent"): (2, True, False), (0, "TENTS"): (1, False, True), (0, "tent and bluetent"): (1, False, False), (1, "no"): (1, False, False)}
+    whole = {(r["page_id"], r["keyword"]): r["count"] for r in coverage(content, ["blue tent", "red", "no"]).collect()}
+    assert all(whole[k] == got.get(k, (0,))[0] for k in whole) and len(whole) == 6
+    assert {r["keyword"]: r["pages"] for r in missing_pages(content, phrases).collect()} == {"blue tent": 1, "TENTS": 1, "tent and bluetent": 1, "!!": 2, "red": 2, "no": 1}
+    assert phrase_matches(content, phrases.limit(0)).count() == 0 and phrase_matches(content.limit(0), phrases).count() == 0
