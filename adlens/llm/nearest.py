@@ -1,4 +1,6 @@
-"""The most similar vectors of every vector: randomly rotated one-bit codes with error bounds, exact reranking.
+"""The most similar vectors of every vector: randomly rotated one-bit codes with error bounds, reranking.
+
+Candidates are reranked by their 16-bit vectors in their cell, and by the stored vectors where rounding could decide who is among the best.
 
 Defined cases: unusable vectors (see ``vectors.usable``) take no part; a vector alone in its space has no neighbours; equal
 vectors are each other's nearest, and ties are broken by the smaller vec_id; groups of equal vectors are searched once and
@@ -7,15 +9,19 @@ their members get the same neighbours, so a group of any size costs a few rows p
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adlens.llm.vectors import OneBitCodes, decoded, fit_cells, placed, usable
+from adlens.llm.vectors import SAMPLE, OneBitCodes, decoded, indexed, unit, usable
 from adlens.session import written
 
 NEAR = 6
+#: Most by which rounding to 16 bits moves a cosine, and candidates beyond the k best that are kept until the stored vectors have decided.
+ROUNDED, SPARE = 5e-5, 2
 
 
 def _search(least: float, k: int):
@@ -35,15 +41,36 @@ def _search(least: float, k: int):
     return search
 
 
-def neighbours(emb: DataFrame, k: int = 5, least: float = 0.8, near: int = NEAR) -> DataFrame:
+def _settled(best: DataFrame, rows: DataFrame, least: float, k: int) -> DataFrame:
+    """``best`` (a, b, score, r) with scores from the stored vectors where the rounding of the codes could decide."""
+    last = Window.partitionBy("a")
+    edge = F.max(F.when(F.col("r") == k, F.col("score"))).over(last)
+    spare = F.max("r").over(last) > k
+    doubt = (F.abs(F.col("score") - least) <= ROUNDED) | (spare & (F.abs(F.col("score") - edge) <= ROUNDED))
+    marked = best.withColumn("doubt", F.coalesce(doubt, F.lit(False)))
+    pairs = written(marked.filter("doubt").select("a", "b"))
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    stored = written(rows.select("key", "vec").join(keys, "key", "left_semi").groupBy("key").agg(F.first("vec").alias("vec")))
+    both = pairs.join(stored.select(F.col("key").alias("a"), F.col("vec").alias("x")), "a").join(stored.select(F.col("key").alias("b"), F.col("vec").alias("y")), "b")
+
+    def exact(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            s = [float(unit([x])[0] @ unit([y])[0]) for x, y in zip(part["x"], part["y"])]
+            yield pd.DataFrame({"a": part["a"], "b": part["b"], "exact": pd.Series(s, dtype=float)})
+
+    sure = both.mapInPandas(exact, "a bigint, b bigint, exact double")
+    return best.join(sure, ["a", "b"], "left").select("a", "b", F.coalesce("exact", "score").alias("score"))
+
+
+def neighbours(emb: DataFrame, k: int = 5, least: float = 0.8, near: int = NEAR, sample: int = SAMPLE) -> DataFrame:
     """(vec_id, other_id, score, rank): the up to ``k`` other rows of the same space with the greatest cosine from ``least``."""
     rows = usable(emb)
     members = written(rows.select("space", "key", "vec_id"))
-    cells = fit_cells(rows, members)
-    found = placed(rows, cells, near).groupBy("space", "cell").applyInPandas(_search(least, k), "a bigint, b bigint, score double")
+    found = indexed(rows, members, near, sample=sample).groupBy("space", "cell").applyInPandas(_search(least - ROUNDED, k + SPARE), "a bigint, b bigint, score double")
     best = found.groupBy("a", "b").agg(F.max("score").alias("score"))
+    best = written(best.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).filter(F.col("r") <= k + SPARE))
+    best = _settled(best, rows, least, k).filter(F.col("score") >= least)
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).filter(F.col("r") <= k).drop("r")
-    members = members.select("key", "vec_id")
     first = members.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
     copies = first.join(first.filter("r = 2").select("key"), "key", "left_semi").select(F.col("key").alias("a"), F.col("vec_id").alias("other_id"), F.lit(1.0).alias("score"))
     others = best.join(first.select(F.col("key").alias("b"), F.col("vec_id").alias("other_id")), "b").select("a", "other_id", "score").unionByName(copies)

@@ -26,7 +26,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adlens.llm.vectors import decoded, fit_cells, placed, unit, usable
+from adlens.llm.vectors import decoded, indexed, unit, usable
 from adlens.session import written
 
 #: Cells a vector is placed in and rows a cell is home to: groups hold together by links near the threshold, so in more cells than
@@ -104,8 +104,7 @@ def _links(least: float):
 
 def affinities(rows: DataFrame, keys: DataFrame, least: float, near: int = NEAR) -> DataFrame:
     """(a, b, weight), each link in both directions, over the distinct usable vectors ``rows``; ``keys`` are their space and key, written."""
-    cells = fit_cells(rows, keys, HOME)
-    found = placed(rows, cells, near).groupBy("space", "cell").applyInPandas(_links(least), "a bigint, b bigint, weight double")
+    found = indexed(rows, keys, near, HOME).groupBy("space", "cell").applyInPandas(_links(least), "a bigint, b bigint, weight double")
     return found.groupBy("a", "b").agg(F.max("weight").alias("weight"))
 
 

@@ -2,7 +2,9 @@
 
 Usable rows of one (provider, model, req_dim) form a space. Equal vectors share a 64-bit key, and only one of them goes on.
 Cells are the leaves of a k-means tree fitted on a bounded sample of at most ``SAMPLE`` vectors; every vector is indexed,
-in its ``near`` nearest cells. The nearest-vector search estimates inner products inside a cell from randomly rotated one-bit codes.
+in its ``near`` nearest cells. Where these cells would hold more than some ``DEEP`` times ``HOME`` rows, as in tables far larger than the
+sample, each is divided by a tree of its own, fitted in parallel on every eighth of its rows: the number of cells follows the
+table and their size does not. The nearest-vector search estimates inner products inside a cell from randomly rotated one-bit codes.
 """
 
 from __future__ import annotations
@@ -16,8 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from adlens.session import written
+
 #: Most vectors that the cells are fitted on, and rows that a cell is home to while the sample allows.
 SAMPLE, HOME = 32_000, 64
+#: Times ``HOME`` that a cell may be expected to hold before it is divided; cells of the first level and parts of each that a row of a
+#: divided index is placed in; rows that one task divides at a time.
+DEEP, FIRST, SECOND, AT_ONCE = 8, 4, 3, 50_000
 #: Rank of the error bound: a true inner product is outside with probability below exp(-EPS**2 / 2).
 EPS = 3.0
 
@@ -36,14 +43,15 @@ def unit(vectors) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def kmeans_tree(x: np.ndarray, leaf: float, rng: np.random.Generator, branch: int = 8, rounds: int = 6) -> np.ndarray:
-    """Means of the leaves of a k-means tree that stops at ``leaf`` rows."""
-    out, todo = [], [x]
+def kmeans_tree(x: np.ndarray, leaf: float, rng: np.random.Generator, branch: int = 8, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """Means and sizes of the leaves of a k-means tree that stops at ``leaf`` rows."""
+    out, sizes, todo = [], [], [x]
     while todo:
         rows = todo.pop()
         k = min(branch, math.ceil(len(rows) / max(leaf, 1)))
         if k < 2:
             out.append(rows.mean(axis=0))
+            sizes.append(len(rows))
             continue
         centres = rows[rng.choice(len(rows), k, replace=False)]
         for _ in range(rounds):
@@ -52,34 +60,68 @@ def kmeans_tree(x: np.ndarray, leaf: float, rng: np.random.Generator, branch: in
         parts = [p for i in range(k) if len(p := rows[near == i])]
         if len(parts) == 1:  # inseparable rows
             out.append(rows.mean(axis=0))
+            sizes.append(len(rows))
         else:
             todo += parts
-    return np.stack(out).astype(np.float32)
+    return np.stack(out).astype(np.float32), np.array(sizes)
 
 
-def fit_cells(rows: DataFrame, keys: DataFrame, home: int = HOME, seed: int = 7) -> dict[int, np.ndarray]:
-    """Cell centres of every space; ``keys`` has space and key of ``rows``."""
+def fit_cells(rows: DataFrame, keys: DataFrame, home: int = HOME, seed: int = 7, sample: int = SAMPLE) -> tuple[dict[int, np.ndarray], float]:
+    """Cell centres of every space, and how many rows the largest cell is expected to be home to; ``keys`` has space and key of ``rows``."""
     counts = {r["space"]: r["n"] for r in keys.groupBy("space").agg(F.approx_count_distinct("key").alias("n")).collect()}
-    every = max(1, math.ceil(sum(counts.values()) / SAMPLE))
-    sample = rows.filter(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).dropDuplicates(["key"]).select("space", "key", "vec").toPandas()
-    rng, cells = np.random.default_rng(seed), {}
+    every = max(1, math.ceil(sum(counts.values()) / sample))
+    drawn = rows.filter(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).dropDuplicates(["key"]).select("space", "key", "vec").toPandas()
+    rng, cells, most = np.random.default_rng(seed), {}, 0.0
     for space in sorted(counts):
-        own = sample[sample["space"] == space].sort_values("key")
+        own = drawn[drawn["space"] == space].sort_values("key")
         if len(own):
-            cells[space] = kmeans_tree(unit(own["vec"]).astype(np.float32), max(4, home / every), rng)
-    return cells
+            cells[space], sizes = kmeans_tree(unit(own["vec"]).astype(np.float32), max(4, home / every), rng)
+            most = max(most, float(sizes.max()) * every)
+        else:  # a space that the sample missed is one cell
+            most = max(most, counts[space])
+    return cells, most
+
+
+def indexed(rows: DataFrame, keys: DataFrame, near: int, home: int = HOME, sample: int = SAMPLE) -> DataFrame:
+    """(space, cell, key, code): each distinct vector of ``rows`` in the cells where its neighbours are looked for."""
+    cells, most = fit_cells(rows, keys, home, sample=sample)
+    if most <= DEEP * home:
+        return placed(rows, cells, near)
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.drop_duplicates("key").sort_values("key")
+        centres, _ = kmeans_tree(decoded(part["code"].tolist()), home / 8, np.random.default_rng(int(part["cell"].iloc[0])))
+        return pd.DataFrame({"space": part["space"].iloc[0], "cell": part["cell"].iloc[0], "centre": [c.tobytes() for c in centres]})
+
+    some = rows.filter(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(8)) == 0)
+    parts = written(placed(some, cells, 1).groupBy("space", "cell").applyInPandas(fit, "space bigint, cell bigint, centre binary"))
+    # A cell is divided by several tasks, each with some of its rows and all of its centres.
+    tasks = max(1, math.ceil(most * FIRST / AT_ONCE))
+    left = placed(rows, cells, FIRST).withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks)))
+    right = parts.withColumn("task", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(tasks - 1).cast("bigint"))))
+
+    def divide(own: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return own[["space", "cell", "key", "code"]]
+        names = sorted(centres["centre"]) or [np.zeros(len(own["code"].iloc[0]) // 2, np.float32).tobytes()]
+        m = np.frombuffer(b"".join(names), np.float32).reshape(len(names), -1)
+        score = decoded(own["code"].tolist()) @ m.T - 0.5 * (m**2).sum(axis=1)
+        r = min(SECOND, len(m))
+        best = np.argpartition(-score, r - 1, axis=1)[:, :r]
+        keep = np.repeat(np.arange(len(own)), r)
+        return pd.DataFrame({"space": own["space"].to_numpy()[keep], "cell": (own["cell"].to_numpy()[keep] << 24) + best.ravel(), "key": own["key"].to_numpy()[keep], "code": own["code"].to_numpy(object)[keep]})
+
+    by = ["space", "cell", "task"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(divide, "space bigint, cell bigint, key bigint, code binary")
 
 
 def placed(rows: DataFrame, cells: dict[int, np.ndarray], near: int) -> DataFrame:
-    """(space, cell, key, code): each distinct vector in its ``near`` nearest cells, as 16-bit integers."""
+    """(space, cell, key, code): each vector in its ``near`` nearest cells, as 16-bit integers; equal ones of a batch once."""
     shared = rows.sparkSession.sparkContext.broadcast(cells)
 
     def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
         for part in parts:
-            part = part.drop_duplicates("key")
-            part = part[~part["key"].isin(seen)] if seen else part
-            seen.update(part["key"])
+            part = part.drop_duplicates("key")  # copies in other batches meet in their cells
             for space, own in part.groupby("space"):
                 x = unit(own["vec"])
                 # A space that the sample missed is one cell.
@@ -88,9 +130,9 @@ def placed(rows: DataFrame, cells: dict[int, np.ndarray], near: int) -> DataFram
                 r = min(near, len(centres))
                 best = np.argpartition(-score, r - 1, axis=1)[:, :r]
                 codes = [c.tobytes() for c in np.rint(x * (32767 / np.abs(x).max(axis=1, keepdims=True))).astype("<i2")]
-                yield pd.DataFrame({"space": space, "cell": best.ravel().astype(np.int32), "key": np.repeat(own["key"].to_numpy(), r), "code": np.repeat(np.array(codes, object), r)})
+                yield pd.DataFrame({"space": space, "cell": best.ravel().astype(np.int64), "key": np.repeat(own["key"].to_numpy(), r), "code": np.repeat(np.array(codes, object), r)})
 
-    return rows.select("space", "key", "vec").mapInPandas(place, "space bigint, cell int, key bigint, code binary")
+    return rows.select("space", "key", "vec").mapInPandas(place, "space bigint, cell bigint, key bigint, code binary")
 
 
 @lru_cache(4)

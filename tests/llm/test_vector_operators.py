@@ -9,7 +9,7 @@ from adlens.llm import packing
 from adlens.llm.packing import TOKENIZER, fill_rates, hilbert_key, measured, pack_along, packed
 from adlens.llm import simcluster
 from adlens.llm.simcluster import described, linked, sparse_links, spectral_labels
-from adlens.llm.vectors import OneBitCodes, unit
+from adlens.llm.vectors import FIRST, SECOND, OneBitCodes, indexed, unit, usable
 
 EMB = "vec_id long, provider string, model string, req_dim int, text string, dim int, vec array<float>"
 
@@ -181,3 +181,40 @@ def test_token_counts_are_the_tokenizers(spark):
     text = "Zażółć gęślą jaźń 123!\n\n  x"
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert measured(docs).first()["n_tokens"] == len(tokenizer(TOKENIZER, PATTERN).encode_ordinary(text))
+
+
+def test_cells_follow_the_table(spark):
+    """With a sample far smaller than the table, cells are divided and stay small, and nearly all neighbours are found."""
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((400, 24))
+    x = (centres[rng.integers(0, 400, 6000)] + 0.4 * rng.standard_normal((6000, 24))).astype("f4")
+    rows = [(i, "p", "m", 0, "t", 24, v) for i, v in enumerate(x.tolist())]
+    emb = spark.createDataFrame([*rows, *[(10_000 + i, "p", "m", 0, "hot", 24, rows[0][6]) for i in range(3000)]], EMB)
+    keys = usable(emb).select("space", "key")
+    sizes = {s: [r["count"] for r in indexed(usable(emb), keys, 3, home=16, sample=s).dropDuplicates(["cell", "key"]).groupBy("cell").count().collect()] for s in (150, 32_000)}
+    assert max(sizes[150]) <= 4 * FIRST * SECOND * 16 and len(sizes[150]) >= 6000 / 64  # each row is in FIRST * SECOND cells
+    s = unit(x) @ unit(x).T
+    np.fill_diagonal(s, -2)
+    want = {(min(i, int(j)), max(i, int(j))) for i in range(0, 6000, 10) for j in np.argsort(-s[i], kind="stable")[:5] if s[i, j] >= 0.8}
+    found = neighbours(emb.filter("vec_id < 6000"), sample=150)
+    got = {(min(r["vec_id"], r["other_id"]), max(r["vec_id"], r["other_id"])) for r in found.collect()}
+    assert len(want & got) >= 0.97 * len(want)
+
+
+def test_scores_that_rounding_could_decide(spark):
+    """Neighbours closer together than the codes' rounding are put in order by the stored vectors."""
+    base = np.zeros(8)
+    base[0] = 1.0
+    rows = [(0, "p", "m", 0, "t", 8, base.tolist())]
+    for i in range(1, 8):  # as many as are kept
+        v = base.copy()
+        v[1] = 0.1 + i * 1e-6
+        rows.append((i, "p", "m", 0, "t", 8, v.tolist()))
+    edge = [1.0, 0.75 - 1e-6, *[0.0] * 6]
+    rows.append((20, "p", "two", 0, "t", 8, base.tolist()))
+    rows.append((21, "p", "two", 0, "t", 8, edge))
+    rows.append((22, "p", "two", 0, "t", 8, [1.0, 0.0, 0.75 + 1e-6, *[0.0] * 5]))
+    emb = spark.createDataFrame(rows, EMB.replace("array<float>", "array<double>"))
+    got = {(r["vec_id"], r["other_id"]) for r in neighbours(emb, k=5).collect()}
+    assert {o for v, o in got if v == 0} == {1, 2, 3, 4, 5}
+    assert (20, 21) in got and (20, 22) not in got
