@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -99,18 +100,19 @@ def _pesel(value: str) -> bool:
 
 def _addresses(text: str) -> Iterator[re.Match]:
     """Address shapes on the lines of numbers that may be house numbers, from left to right, none within another."""
-    done = 0
+    done = line = end = 0
     for hit in _NEAR_NUMBER.finditer(text):
         if hit.end() <= done:
             continue
-        first = max(done, text.rfind("\n", 0, hit.start()) + 1)
+        if hit.end() > end or not end:
+            line, end = text.rfind("\n", 0, hit.start()) + 1, text.find("\n", hit.end())
+            end = len(text) if end < 0 else end
+        first = max(done, line)
         start = hit.start()
         for _ in range(REACH):
             if start <= first:
                 break
             start = text.rfind(" ", first, start - 1) + 1 or first
-        end = text.find("\n", hit.end())
-        end = len(text) if end < 0 else end
         at = max(first, start)
         while at < hit.end():
             begin = _BEGIN.search(text, at, hit.end())
@@ -129,11 +131,12 @@ def _mentions(text: str) -> list[tuple]:
     out = []
     emails = [(m.start(), m.end()) for m in EMAIL.finditer(text)] if _AT.search(text) else []
     out += [("email", a, b, "", "", 1) for a, b in emails]
-    locals_ = [re.split(r"@|[\[(\s]", text[a:b].strip(), maxsplit=1)[0].lower() for a, b in emails]
+    locals_ = list(dict.fromkeys(re.split(r"@|[\[(\s]", text[a:b].strip(), maxsplit=1)[0].lower() for a, b in emails))
     taken = list(emails)
 
     def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y in taken)
+        i = bisect_left(taken, (b,))  # values taken don't overlap, so that the last one before b ends last
+        return not i or taken[i - 1][1] <= a
 
     for m in _addresses(text):
         a, b = m.span()
@@ -145,7 +148,7 @@ def _mentions(text: str) -> list[tuple]:
         if free(a, b):
             out.append(("address", a, b, key, left_of(text, a), int(kind != "bare")))
             if kind != "bare":
-                taken.append((a, b))
+                insort(taken, (a, b))
     for m in NUMBER.finditer(text):
         value, (a, b) = m.group(), m.span()
         if value[0] == "(" and value[-1] == ")" and value.count("(") == 1:  # a number in brackets, not an area code
@@ -169,8 +172,6 @@ def _mentions(text: str) -> list[tuple]:
                 continue
             last = tokens[k + 2]
             two = last.group()
-        if gap == ", " and k + 2 < len(tokens) and tokens[k + 2].group()[-1] == "." and text[t2.end() :].startswith(" "):
-            pass
         if (one.isupper() and len(one) > 2) != (two.isupper() and len(two) > 2) and one[-1] != ".":
             continue
         a, b = t1.start(), last.end()
