@@ -45,8 +45,8 @@ def _settled(best: DataFrame, rows: DataFrame, least: float, k: int) -> DataFram
     """``best`` (a, b, score, r) with scores from the stored vectors where the rounding of the codes could decide."""
     last = Window.partitionBy("a")
     edge = F.max(F.when(F.col("r") == k, F.col("score"))).over(last)
-    spare = F.max("r").over(last) > k
-    doubt = (F.abs(F.col("score") - least) <= ROUNDED) | (spare & (F.abs(F.col("score") - edge) <= ROUNDED))
+    beyond = F.max(F.when(F.col("r") == k + 1, F.col("score"))).over(last)
+    doubt = (F.abs(F.col("score") - least) <= ROUNDED) | ((edge - beyond <= ROUNDED) & (F.abs(F.col("score") - edge) <= ROUNDED))
     marked = best.withColumn("doubt", F.coalesce(doubt, F.lit(False)))
     pairs = written(marked.filter("doubt").select("a", "b"))
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()

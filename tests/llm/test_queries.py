@@ -5,7 +5,7 @@ import os
 import pytest
 
 from adlens.llm.queries import QUERIES, SQL
-from tests.oracle import ROOT
+from tests.oracle import ROOT, spark_rows, sql_rows
 
 SMALL = f"{ROOT}/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables here")
@@ -30,5 +30,10 @@ def test_runs(spark, name):
         assert len(set(map(tuple, rows))) == len(rows)
 
 
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_twin(spark, name):
+    assert spark_rows(QUERIES[name](spark, SMALL)) == sql_rows(SQL[name], SMALL)
+
+
 def test_twins_have_queries():
     assert set(SQL) <= set(QUERIES)
