@@ -49,14 +49,20 @@ def token_sort_ratio(a: str, b: str) -> float:
     a, b = " ".join(sorted(a.split())), " ".join(sorted(b.split()))
     if not a and not b:
         return 1.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        left = 0
-        for j, y in enumerate(b, 1):
-            up = row[j]
-            row[j] = left + 1 if x == y else max(up, row[j - 1])
-            left = up
-    return 2 * row[-1] / (len(a) + len(b))
+    return 2 * common_length(a, b) / (len(a) + len(b))
+
+
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a bit for each character of ``a`` in one long integer."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    open_ = full
+    for c in b:
+        met = open_ & places.get(c, 0)
+        open_ = ((open_ + met) | (open_ - met)) & full
+    return len(a) - open_.bit_count()
 
 
 def token_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -96,7 +102,8 @@ def blocked_links(texts: DataFrame, measure: Callable[[str, str], float], least:
     """(a, b, score), a < b: all pairs of (id, text) with ``measure`` of the normalised texts of at least ``least``.
 
     Rows are numbered into blocks by a hash of the id; tasks compare one pair of blocks. Both ratios stay below
-    2 * common characters / total length, which spares most comparisons.
+    2 * common characters / total length, or below the Jaccard similarity of the words; both bounds are found for all pairs of two
+    blocks at once, and only pairs that may reach ``least`` are measured.
     """
     rows = written(texts.filter("text IS NOT NULL").select("id", norm_keyword(F.col("text")).alias("norm")))
     blocks = max(1, -(-rows.count() // block))
@@ -109,14 +116,14 @@ def blocked_links(texts: DataFrame, measure: Callable[[str, str], float], least:
         x, y = int(part["x"].iloc[0]), int(part["y"].iloc[0])
         out = []
         if x in by and y in by:
-            bags = {t: _bag(t) for _, t in by[x] + by[y]}
-            for i, s in by[x]:
-                for j, t in by[y]:
-                    if (i < j or x != y) and i != j and _may_reach(bags[s], bags[t], s, t, least):
-                        a, b, p, q = (i, j, s, t) if i < j else (j, i, t, s)
-                        score = measure(p, q)
-                        if score >= least:
-                            out.append((a, b, score))
+            left, right = by[x], by[y]
+            for p, q in zip(*np.nonzero(_may_reach([t for _, t in left], [t for _, t in right], least))):
+                (i, s), (j, t) = left[p], right[q]
+                if i != j and (i < j or x != y):
+                    a, b, s, t = (i, j, s, t) if i < j else (j, i, t, s)
+                    score = measure(s, t)
+                    if score >= least:
+                        out.append((a, b, score))
         return pd.DataFrame(out, columns=["a", "b", "score"])
 
     return sent.groupBy("x", "y").applyInPandas(compare, "a bigint, b bigint, score double")
@@ -155,16 +162,25 @@ def blocked_vector_links(vectors: DataFrame, least: float, block: int = 2000) ->
     return sent.groupBy("x", "y").applyInPandas(compare, "a bigint, b bigint, score double")
 
 
-def _bag(text: str) -> dict[str, int]:
-    out: dict[str, int] = {}
-    for c in text:
-        out[c] = out.get(c, 0) + 1
-    return out
-
-
-def _may_reach(p: dict[str, int], q: dict[str, int], s: str, t: str, least: float) -> bool:
-    total = len(s) + len(t)
-    if not total or 2 * sum(min(n, q.get(c, 0)) for c, n in p.items()) >= least * total - 1e-9:
-        return True
-    x, y = set(s.split()), set(t.split())
-    return len(x & y) >= least * len(x | y) - 1e-9
+def _counts(rows: list[list[str]]) -> tuple[np.ndarray, dict[str, int]]:
+    known: dict[str, int] = {}
+    at = [(i, known.setdefault(x, len(known))) for i, row in enumerate(rows) for x in row]
+    out = np.zeros((len(rows), len(known)), np.float32)
+    if at:
+        np.add.at(out, tuple(np.array(at).T), 1)
+    return out, known
+
+
+def _may_reach(left: list[str], right: list[str], least: float) -> np.ndarray:
+    """Whether a pair's common characters or common words allow a similarity of ``least``: an upper bound for every pair."""
+    n = len(left)
+    chars, _ = _counts([list(t) for t in left + right])
+    common = np.zeros((n, len(right)), np.float32)
+    for column in chars.T:
+        held, other = np.flatnonzero(column[:n]), np.flatnonzero(column[n:])
+        common[np.ix_(held, other)] += np.minimum(column[held][:, None], column[n + other])
+    total = np.add.outer(np.array([len(t) for t in left]), np.array([len(t) for t in right]))
+    words, _ = _counts([sorted(set(t.split())) for t in left + right])
+    both = words[:n] @ words[n:].T
+    either = np.add.outer(words[:n].sum(axis=1), words[n:].sum(axis=1)) - both
+    return (2 * common >= least * total - 1e-4) | (both >= least * either - 1e-4)
