@@ -65,6 +65,7 @@ def keyword_clusters(keywords: DataFrame, method: str = "auto", least: float | N
         if vectors is None:
             raise ValueError("the semantic method needs vectors")
         own = rows.select("kw_id", "text").join(vectors.filter("text IS NOT NULL AND vec IS NOT NULL").groupBy("text").agg(F.first("vec").alias("vec")), "text").select(F.col("kw_id").alias("id"), "vec")
+        own = written(own)
         dim = own.agg(F.max(F.size("vec"))).first()[0] or 0
         if background is not None:
             own = apply_background(own, dim, *background)
@@ -119,7 +120,7 @@ def vector_clusters(vectors: DataFrame, least: float = 0.8, min_size: int = 1) -
     Components are numbered over the groups of at least ``min_size``; ids of smaller ones and of unusable vectors are noise.
     """
     ids = vectors.select("id").distinct()
-    found = components(blocked_vector_links(vectors, least).select("a", "b"))
+    found = components(blocked_vector_links(vectors, least, forest=True).select("a", "b"))
     labels = written(ids.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root")))
     large = labels.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") >= min_size).select("root")
     kept = ranked_components(written(labels.join(large, "root", "left_semi")), "id")

@@ -12,10 +12,12 @@ linked to each other.
 from __future__ import annotations
 
 import difflib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,37 +131,107 @@ def blocked_links(texts: DataFrame, measure: Callable[[str, str], float], least:
     return sent.groupBy("x", "y").applyInPandas(compare, "a bigint, b bigint, score double")
 
 
-def blocked_vector_links(vectors: DataFrame, least: float, block: int = 2000) -> DataFrame:
+def blocked_vector_links(vectors: DataFrame, least: float, block: int = 4000, forest: bool = False) -> DataFrame:
     """(a, b, score), a < b: all pairs of (id, vec) of one length with a cosine of at least ``least``, by products of blocks.
 
-    Vectors with nulls, NaN or zeros only are left out. Every pair of blocks is one task; for large tables search an index instead.
+    Vectors with nulls, NaN or zeros only are left out. Rows are packed into blocks where they lie; every pair of blocks is a row of a
+    product of the packed table with itself, which is read anew by each task, so nothing is copied to disk a second time. The number of
+    products grows with the square of the rows; for tables far larger search an index instead. With ``forest`` only as many
+    pairs of two blocks come out as connect what their pairs connect, without score: as many as rows at most.
     """
+    packed = _packed(vectors, block)
+    x, y = (packed.select(*[F.col(c).alias(f"{c}_{side}") for c in packed.columns]) for side in "xy")
+    # Of the two orders of a pair one counts, now this and now that, so that all tasks have as much to do.
+    once = (F.col("block_x") == F.col("block_y")) | ((F.col("block_x") < F.col("block_y")) == ((F.col("block_x") + F.col("block_y")) % 2 == 0))
+    pairs = x.join(y.hint("shuffle_replicate_nl"), once & (F.col("dim_x") == F.col("dim_y")))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k] for c in batch.schema.names}
+                (ia, ma), (ib, mb) = ((np.frombuffer(row[f"ids_{s}"].as_buffer(), np.int64), _unit_rows(row[f"vecs_{s}"].as_buffer(), row[f"kind_{s}"].as_py(), row["dim_x"].as_py())) for s in "xy")
+                same, edges = row["block_x"] == row["block_y"], []
+                for i, j, score in _near_rows(ma, mb, least):
+                    a, b = ia[i], ib[j]
+                    keep = (a < b) if same else a != b
+                    a, b, score = np.minimum(a, b)[keep], np.maximum(a, b)[keep], score[keep]
+                    if forest:
+                        edges.append(spanning(a, b))
+                    elif len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(score)], ["a", "b", "score"])
+                if edges:
+                    a, b = spanning(*map(np.concatenate, zip(*edges)))
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.float64())], ["a", "b", "score"])
+
+    return pairs.mapInArrow(compare, "a bigint, b bigint, score double")
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from the smallest node of every connected component of the edges (a, b) to its others."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    low = np.arange(len(nodes))
+    while True:
+        new = low.copy()
+        np.minimum.at(new, i, low[j])
+        np.minimum.at(new, j, low[i])
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    others = np.flatnonzero(low != np.arange(len(nodes)))
+    return nodes[low[others]], nodes[others]
+
+
+def _packed(vectors: DataFrame, block: int) -> DataFrame:
+    """(block, dim, kind, ids, vecs): up to ``block`` usable vectors of one length a row, as bytes of their own number type."""
     fine = F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x)) & F.exists("vec", lambda x: x != 0)
-    rows = written(vectors.filter(fine).select("id", "vec"))
-    blocks = max(1, -(-rows.count() // block))
-    numbered = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    sent = numbered.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "id", "vec")
-
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        x, y = int(part["x"].iloc[0]), int(part["y"].iloc[0])
-        out = []
-        for _, own in part.groupby(part["vec"].str.len()):
-            sides = []
-            for b in (x, y):
-                side = own[own["block"] == b]
-                if len(side):
-                    m = np.stack(side["vec"]).astype(float)
-                    sides.append((side["id"].to_numpy(), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)))
-            if len(sides) == 2:
-                (ia, ma), (ib, mb) = sides
-                score = ma @ mb.T
+    names = ["block", "dim", "kind", "ids", "vecs"]
+
+    def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made, open_ = TaskContext.get().partitionId() << 32, {}
+
+        def closed(dim: int) -> pd.DataFrame:
+            nonlocal made
+            ids, vecs = map(np.concatenate, zip(*open_.pop(dim)))
+            made += 1
+            return pd.DataFrame([(made - 1, dim, vecs.dtype.str, ids.tobytes(), vecs.tobytes())], columns=names)
+
+        for part in parts:
+            for dim, own in part.groupby(part["vec"].str.len()):
+                ids, vecs = own["id"].to_numpy(np.int64), np.stack(own["vec"])
+                vecs = vecs if vecs.dtype.kind == "f" else vecs.astype(float)
+                while len(ids):
+                    room = block - sum(len(i) for i, _ in open_.get(dim, []))
+                    open_.setdefault(dim, []).append((ids[:room], vecs[:room]))
+                    full, ids, vecs = len(ids) >= room, ids[room:], vecs[room:]
+                    if full:
+                        yield closed(dim)
+        for dim in list(open_):
+            yield closed(dim)
+
+    return written(vectors.filter(fine).select(F.col("id").cast("bigint").alias("id"), "vec").mapInPandas(pack, "block bigint, dim int, kind string, ids binary, vecs binary"), rows_a_file=8)
+
+
+def _unit_rows(data: pa.Buffer, kind: str, dim: int) -> np.ndarray:
+    m = np.frombuffer(data, kind).reshape(-1, dim).astype(float)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
+def _near_rows(left: np.ndarray, right: np.ndarray, least: float, tile: int = 1000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, score) of unit rows with a product of at least ``least``, a tile at a time: single precision, less all that its rounding
+    may take away, tells the rows and columns that are multiplied in double precision."""
+    a, b = left.astype(np.float32), right.astype(np.float32)
+    bound = np.float32(least - 1e-6 - 2.5e-7 * left.shape[1])
+    for p in range(0, len(a), tile):
+        for q in range(0, len(b), tile):
+            rough = a[p : p + tile] @ b[q : q + tile].T
+            rows = np.flatnonzero(rough.max(axis=1) >= bound)
+            if len(rows):
+                columns = np.flatnonzero(rough[rows].max(axis=0) >= bound)
+                score = left[p + rows] @ right[q + columns].T
                 i, j = np.nonzero(score >= least)
-                a, b = ia[i], ib[j]
-                keep = (a < b) if x == y else a != b
-                out.append(pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "score": score[i, j][keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "score": []})
-
-    return sent.groupBy("x", "y").applyInPandas(compare, "a bigint, b bigint, score double")
+                yield p + rows[i], q + columns[j], score[i, j]
 
 
 def _counts(rows: list[list[str]]) -> tuple[np.ndarray, dict[str, int]]:

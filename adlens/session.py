@@ -48,10 +48,13 @@ def _own_folder(spark: SparkSession) -> str:
 _marked: set[str] = set()
 
 
-def written(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: a cheap, fault-tolerant lineage cut."""
+def written(df: DataFrame, *partition_by: str, rows_a_file: int = 0) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back: a cheap, fault-tolerant lineage cut.
+
+    ``rows_a_file`` keeps files small where rows are large, so that they are read in as many tasks.
+    """
     spark = df.sparkSession
     path = os.path.join(_own_folder(spark), f"{uuid.uuid4().hex}.parquet")
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_a_file)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)

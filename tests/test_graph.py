@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from adlens.operators.graph import checked, components, crawl, ranked_components, redirect_chains
 from adlens.operators.keyword_clusters import cluster_ids, distinct_labels, keyword_clusters, keyword_rows, labels, resolve_method, rollup, title_case, two_stage_clusters, vector_clusters
-from adlens.operators.similarity import blocked_links, cosine, lexical_ratio, token_links, token_sort_ratio
+from adlens.operators.similarity import blocked_links, blocked_vector_links, cosine, lexical_ratio, token_links, token_sort_ratio
 from adlens.operators.whitening import whitened
 from adlens.sources.caches import alive, newest, split_requests
 from adlens.sources.embeddings import embedded, load_background, model_slug
@@ -149,6 +149,24 @@ def test_vector_clusters(spark):
     assert {r["id"] for r in noise.collect()} == {3, 4, 5, 6, 7}
 
 
+def test_vector_links_copy_no_block(spark):
+    rng = np.random.default_rng(4)
+    vecs = [rng.normal(size=3 + i % 2) for i in range(90)]
+    vecs[5:30] = [vecs[5] * (i + 1) for i in range(25)]  # numbered apart, of one direction, in several blocks
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "id long, vec array<double>").repartition(3)
+    unit = [v / np.linalg.norm(v) for v in vecs]
+    expected = {(i, j) for i in range(90) for j in range(i + 1, 90) if len(vecs[i]) == len(vecs[j]) and unit[i] @ unit[j] >= 0.9}
+    links = blocked_vector_links(df, 0.9, block=8)
+    assert sorted((r["a"], r["b"]) for r in links.collect()) == sorted(expected)
+    assert all(abs(r["score"] - unit[r["a"]] @ unit[r["b"]]) < 1e-12 for r in links.collect())
+    # Blocks are not copied to the pairs they belong to by way of the disk, and groups need no list of all pairs.
+    assert "Exchange" not in links._jdf.queryExecution().executedPlan().toString()
+    some = [(r["a"], r["b"]) for r in blocked_vector_links(df.coalesce(1), 0.9, block=1000, forest=True).collect()]
+    assert len(some) < 90 < len(expected) and brute(some) == brute(expected)
+    groups = vector_clusters(df, 0.9)[0]
+    assert {r["id"]: r["root"] for r in groups.collect()} == {i: brute(expected).get(i, i) for i in range(90)}
+
+
 def test_embedding_cache(spark, tmp_path):
     texts = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "text string")
     cache = spark.createDataFrame([("a", [9.0], "2024-01-01", 1), ("a", [8.0], "2024-01-02", 2)], "text string, vec array<float>, cached_at string, vec_id long")
