@@ -2,7 +2,7 @@
 
 ``token_links`` joins on Jaccard similarity of token sets by prefix filtering: with tokens ordered by rarity, two sets of
 similarity t or more share a token among their first len - ceil(t * len) + 1. Equal token sets are one row before the join, so a set
-that holds a third of all rows costs nothing. ``blocked_links`` compares all pairs in blocks with any of the measures and
+that holds a third of all rows costs nothing; where only numbers of links are asked for, no pair of short sets is formed. ``blocked_links`` compares all pairs in blocks with any of the measures and
 is meant for inputs for which a quadratic number of comparisons is acceptable.
 
 Defined cases: null texts are left out; two texts without tokens have similarity 1, one without tokens 0; equal texts are
@@ -12,6 +12,7 @@ linked to each other.
 from __future__ import annotations
 
 import difflib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -74,32 +75,62 @@ def token_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members.groupBy("set_id").agg(F.first("tokens").alias("tokens")), members.select("id", "set_id")
 
 
-def set_links(sets: DataFrame, least: float) -> DataFrame:
-    """(a, b, score), a < b: pairs of token sets with Jaccard similarity of at least ``least``."""
+def set_links(sets: DataFrame, least: float, above: int = 0) -> DataFrame:
+    """(a, b, score), a < b: pairs of token sets with Jaccard similarity of at least ``least``, one of which has over ``above`` tokens."""
     tokens = sets.select("set_id", F.explode("tokens").alias("token"))
     rarity = tokens.groupBy("token").agg(F.count("*").alias("n"))
     ordered = tokens.join(rarity, "token").withColumn("at", F.row_number().over(Window.partitionBy("set_id").orderBy("n", "token")))
     sizes = sets.select("set_id", F.size("tokens").alias("size"))
     # The small term keeps products such as 0.7 * 10 from being rounded up.
     prefix = written(ordered.join(sizes, "set_id").filter(F.col("at") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).select("token", "set_id", "size"))
-    left = prefix.select("token", F.col("set_id").alias("a"), F.col("size").alias("size_a"))
+    left = prefix.filter(F.col("size") > above).select("token", F.col("set_id").alias("a"), F.col("size").alias("size_a"))
     right = prefix.select("token", F.col("set_id").alias("b"), F.col("size").alias("size_b"))
-    near = left.join(right, "token").filter((F.col("a") < F.col("b")) & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * least - 1e-9)).select("a", "b").distinct()
+    near = left.join(right, "token").filter(((F.col("a") < F.col("b")) | (F.col("size_b") <= above)) & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * least - 1e-9)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     full = sets.select(F.col("set_id"), "tokens")
     scored = near.join(full.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta")), "a").join(full.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb")), "b")
     return scored.withColumn("score", jaccard(F.col("ta"), F.col("tb"))).filter(F.col("score") >= least).select("a", "b", "score")
 
 
 def token_links(texts: DataFrame, least: float = 0.5) -> DataFrame:
-    """(id, links): for each text the number of other texts with Jaccard similarity of at least ``least``."""
+    """(id, links): for each text the number of other texts with Jaccard similarity of at least ``least``.
+
+    Links are counted, not listed: with N(S) token sets of some size that hold the tokens S, those that share t or more tokens with a
+    set x are the sum over the subsets S of x of (-1)^(|S| - t) * C(|S| - 1, t - 1) * N(S). That takes as many rows as sets have subsets
+    of the least size that counts, whatever the number of links; pairs with a set of over ``COUNTED`` tokens are joined instead.
+    """
     sets, members = token_sets(texts)
-    pairs = set_links(sets, least)
-    sizes = members.groupBy("set_id").agg(F.count("*").alias("n"))
+    sized = written(sets.join(members.groupBy("set_id").agg(F.count("*").alias("n")), "set_id").withColumn("size", F.size("tokens")))
+    counted = _counted_links(sized.filter(F.col("size") <= COUNTED), least)
+    pairs = set_links(sized.select("set_id", "tokens"), least, above=COUNTED)
+    sizes = sized.select("set_id", "n")
     ends = pairs.select(F.col("a").alias("set_id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("set_id"), F.col("a").alias("other")))
-    beyond = ends.join(sizes.select(F.col("set_id").alias("other"), "n"), "other").groupBy("set_id").agg(F.sum("n").alias("beyond"))
+    joined = ends.join(sizes.select(F.col("set_id").alias("other"), "n"), "other").select("set_id", "n")
+    beyond = joined.unionByName(counted).groupBy("set_id").agg(F.sum("n").alias("beyond"))
     return members.join(sizes, "set_id").join(beyond, "set_id", "left").select("id", (F.col("n") - 1 + F.coalesce("beyond", F.lit(0))).alias("links"))
 
 
+#: Token sets of up to so many tokens have few enough subsets to be counted by them.
+COUNTED = 8
+
+
+def _counted_links(sized: DataFrame, least: float) -> DataFrame:
+    """(set_id, n): rows of other sets with Jaccard similarity of at least ``least``, of (set_id, tokens, n, size <= COUNTED)."""
+    sizes = range(COUNTED + 1)
+    # Least number of common tokens by both sizes, COUNTED + 1 where none will do.
+    common = [[next((c for c in range(1, min(x, y) + 1) if c / (x + y - c) >= least), COUNTED + 1) for y in sizes] for x in sizes]
+    weights = [(-1) ** (k - t) * math.comb(k - 1, t - 1) if (t := common[x][y]) <= k else 0 for k in sizes for x in sizes for y in sizes]
+
+    def held_by(mask: Column) -> Column:
+        return F.struct(F.bit_count(mask).alias("k"), F.array_join(F.filter("tokens", lambda w, i: F.getbit(mask, i) == 1), " ").alias("subset"))
+
+    masks = F.filter(F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.col("size")) - 1), lambda m: F.bit_count(m) >= F.get(F.lit([min(row) for row in common]), F.col("size")))
+    subsets = sized.filter("size > 0").select("set_id", "n", "size", F.explode(F.transform(masks, held_by)).alias("s")).select("set_id", "n", "size", "s.k", "s.subset")
+    holders = subsets.groupBy("subset", F.col("size").alias("other")).agg(F.sum("n").alias("held"))
+    weight = F.get(F.lit(weights), (F.col("k") * len(sizes) + F.col("size")) * len(sizes) + F.col("other"))
+    met = subsets.join(holders, "subset").withColumn("weight", weight).filter("weight <> 0")
+    return met.groupBy("set_id", "n").agg(F.sum(F.col("held") * F.col("weight")).alias("met")).select("set_id", (F.col("met") - F.col("n")).alias("n"))
+
+
 def blocked_links(texts: DataFrame, measure: Callable[[str, str], float], least: float, block: int = 1000) -> DataFrame:
     """(a, b, score), a < b: all pairs of (id, text) with ``measure`` of the normalised texts of at least ``least``.
 

@@ -65,6 +65,29 @@ def test_token_links_equal_brute_force(spark):
         assert {r["id"]: r["links"] for r in token_links(df, least).collect()} == expected
 
 
+def test_token_links_form_no_pairs(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(16)]
+    texts = [" ".join(rng.choices(words, k=rng.choice((1, 2, 3, 5, 8, 9, 12)))) for _ in range(150)] + [" ".join(words[:n]) for n in range(1, 17)] + ["w1 w2"] * 3
+    sets = [set(t.split()) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for least in (0.3, 0.5, 0.8):
+        expected = {i: sum(len(s & t) / len(s | t) >= least for t in sets) - 1 for i, s in enumerate(sets)}
+        assert {r["id"]: r["links"] for r in token_links(df, least).collect()} == expected
+    # 6 000 short sets with a common word have 18 million links; none of these may become a row.
+    many = spark.range(6000).select("id", F.concat(F.lit("lamp m"), "id").alias("text")).union(spark.createDataFrame([(9999, "lamp")], "id long, text string"))
+    out = token_links(many, 0.3)
+    assert {r["links"] for r in out.collect()} == {6000}
+    todo, most = [out._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if "Join" in name and node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        todo += [node.executedPlan()] if name.startswith("AdaptiveSparkPlan") else [node.plan()] if "QueryStage" in name else [node.children().apply(i) for i in range(node.children().size())]
+    assert 0 < most <= 60000
+
+
 def test_blocked_links_equal_brute_force(spark):
     texts = ["buty trekkingowe", "trekkingowe buty tanie", "rower gorski", "rower gorskie", "", "x" * 300]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
