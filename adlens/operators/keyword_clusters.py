@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from adlens.functions.text import keyword_tokens, ngrams
 from adlens.operators.graph import components, ranked_components
-from adlens.operators.similarity import blocked_links, blocked_vector_links, lexical_ratio, set_links, token_sets, token_sort_ratio
+from adlens.operators.similarity import blocked_vector_links, lexical_ratio, set_links, token_sets, token_sort_ratio
+from adlens.operators.text_groups import group_links
 from adlens.operators.whitening import apply_background, whitened
 from adlens.session import written
 
@@ -95,7 +96,8 @@ def two_stage_clusters(keywords: DataFrame, vectors: DataFrame, least: float | N
 def cluster_ids(keywords: DataFrame, method: str = "tokens", least: float | None = None) -> DataFrame:
     """(kw_id, root, component): connected groups of similar keywords, single ones included.
 
-    ``tokens`` links by Jaccard similarity of token sets and scales; ``lexical`` and ``fuzzy`` compare all pairs in blocks.
+    ``tokens`` links by Jaccard similarity of token sets and scales; ``lexical`` and ``fuzzy`` compare texts with a hub, and those apart
+    from the largest component with all others.
     """
     if method not in THRESHOLDS:
         raise ValueError(f"unknown method: {method}")
@@ -108,7 +110,7 @@ def cluster_ids(keywords: DataFrame, method: str = "tokens", least: float | None
         roots = grouped.groupBy("mark").agg(F.min("id").alias("root"))
         labels = grouped.join(roots, "mark").select(F.col("id").alias("kw_id"), "root")
     else:
-        links = blocked_links(texts, lexical_ratio if method == "lexical" else token_sort_ratio, least)
+        links = group_links(texts, lexical_ratio if method == "lexical" else token_sort_ratio, least)
         found = components(links).select(F.col("node").alias("id"), "root")
         labels = texts.join(found, "id", "left").select(F.col("id").alias("kw_id"), F.coalesce("root", "id").alias("root"))
     return ranked_components(written(labels), "kw_id")

@@ -7,9 +7,11 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from adlens.functions.text import norm_keyword
 from adlens.operators.graph import checked, components, crawl, ranked_components, redirect_chains
 from adlens.operators.keyword_clusters import cluster_ids, distinct_labels, keyword_clusters, keyword_rows, labels, resolve_method, rollup, title_case, two_stage_clusters, vector_clusters
 from adlens.operators.similarity import blocked_links, blocked_vector_links, cosine, lexical_ratio, token_links, token_sort_ratio
+from adlens.operators.text_groups import group_links
 from adlens.operators.whitening import whitened
 from adlens.sources.caches import alive, newest, split_requests
 from adlens.sources.embeddings import embedded, load_background, model_slug
@@ -96,6 +98,23 @@ def test_blocked_links_equal_brute_force(spark):
         assert {(r["a"], r["b"]) for r in blocked_links(df, measure, 0.6, block=2).collect()} == expected
 
 
+def test_group_links_connect_what_all_pairs_do(spark):
+    rng = random.Random(8)
+    words = ["lamp", "tent", "red", "hose", "garden", "oak", "shelf", "стул", "półka"]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(1, 4))) + f" {rng.randrange(30)}" for _ in range(110)] + ["".join(rng.choices("abcdefghijkl", k=rng.randrange(4, 80))) for _ in range(40)] + [None, "", "lamp red 1", "lamp red 1", "x" * 70, "x" * 80]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    norm = {r["id"]: r["norm"] for r in df.filter("text IS NOT NULL").select("id", norm_keyword(F.col("text")).alias("norm")).collect()}
+    for measure, least in ((token_sort_ratio, 0.75), (lexical_ratio, 0.8)):
+        expected = brute([(i, j) for i in norm for j in norm if i < j and measure(norm[i], norm[j]) >= least])
+        for hub in (20, 1000):
+            found = [(r["a"], r["b"]) for r in group_links(df, measure, least, hub=hub, block=16).collect()]
+            assert brute(found) == expected and len(set(expected.values())) > 3
+    # A group of 3 000 has 4.5 million links; no more come out than connect it.
+    many = spark.range(3000).select("id", F.concat(F.lit("garden hose lamp "), "id").alias("text"))
+    links = group_links(many, token_sort_ratio, 0.7, hub=500).select("a", "b").collect()
+    assert len(links) < 20000 and set(brute([(r["a"], r["b"]) for r in links]).values()) == {0}
+
+
 def test_cluster_methods(spark):
     rows = [(3, "buty trekkingowe", None, None, None, None), (1, "trekkingowe buty tanie", None, None, None, None), (2, "rower gorski", None, None, None, None), (4, None, 5, None, None, None)]
     df = spark.createDataFrame(rows, KW)
