@@ -26,7 +26,9 @@ from array import array
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -38,14 +40,15 @@ from adlens.session import written
 
 BLOCK = 500
 NEIGHBOURS = 3
+#: Characters of lines that a task holds to read each only once.
+ROOM = 20_000_000
 #: Flags of a line: a sentence, like a title, begins with a small letter or a figure, ends a sentence.
 SENTENCE, TITLE, LOWER, FIGURE, STOP = 1, 2, 4, 8, 16
 _FOLD = bytes(32 if chr(c).isspace() else 48 if chr(c).isdigit() else ord(chr(c).lower()) for c in range(128)) + bytes(128)
-_ZEROS = re.compile(rb"0+")
 _FIGURES = re.compile("[0-9]+")
-_WORD = re.compile(rb"[a-z]+")
+_THREE_WORDS = re.compile(rb"[a-z][^a-z]+[a-z]+[^a-z]+[a-z]")
 _PARTS = re.compile(r"\s+(?:[^\x00-\x7f]+|[|/>&*-]|[^\x00-\x7f]*[|/>])\s+|\s{2,}")
-_BETWEEN = (b" | ", b" / ", b" > ", b" & ", b" * ", b" - ")
+_BETWEEN = re.compile(rb" [|/>&*-] ")
 _HEADING = re.compile(r"(?i)<h[1-3]\b")
 _BOX = re.compile(r"(?i)<(/?)(div|section|header|footer|nav|aside|main|article|table|tr|td|ul|ol|form|body)\b([^>]*)>")
 _CLASS = re.compile(r"(?i)\bclass\s*=\s*[\"']?([^\"'>]*)")
@@ -63,8 +66,10 @@ def line_key(line: str, plain: bytes | None = None) -> bytes:
         return " ".join(line.lower().split()).encode()
     if b"0" not in low:
         return low
-    if b"(" in low or len(_WORD.findall(low)) >= 3:
-        return _ZEROS.sub(b"0", low)
+    if b"(" in low or _THREE_WORDS.search(low):
+        while b"00" in low:
+            low = low.replace(b"00", b"0")
+        return low
     return b" ".join(line.encode("ascii", "ignore").lower().split())
 
 
@@ -80,12 +85,13 @@ def common_lines(a: list, places: dict) -> list:
     back: list[tuple[int, int]] = []
     for i, key in enumerate(a):
         for j in places.get(key, ()):
-            at = bisect_left(tails, j)
-            back.append((i, ends[at - 1] if at else -1))
-            if at == len(tails):
+            if not tails or j > tails[-1]:
+                back.append((i, ends[-1] if ends else -1))
                 tails.append(j)
                 ends.append(len(back) - 1)
             else:
+                at = bisect_left(tails, j)
+                back.append((i, ends[at - 1] if at else -1))
                 tails[at], ends[at] = j, len(back) - 1
     out, k = [], ends[-1] if ends else -1
     while k >= 0:
@@ -102,12 +108,46 @@ def _flags(line: str) -> int:
     return sentence * SENTENCE | title * TITLE | lower * LOWER | figure * FIGURE | (last in ".!?") * STOP
 
 
-def _read_line(line: str) -> tuple[int, int, tuple[int, ...]]:
-    """(hash, flags, hashes of its parts where it has several)."""
-    plain = _plain(line)
-    # A line without a sign between spaces has one part; signs beyond ASCII leave two spaces.
-    parts = _PARTS.split(line) if b"  " in plain or "\xa0" in line or any(x in plain for x in _BETWEEN) else ()
-    return line_hash(line, plain), _flags(line), tuple(map(line_hash, parts)) if len(parts) > 1 else ()
+class Known:
+    """What was read of lines (hash, flags, parts), of parts (hash) and of lines of markup (boxes begun or ended, the last of them).
+
+    It is forgotten whenever ``ROOM`` characters are held, so that texts of any number can be read with it.
+    """
+
+    __slots__ = ("lines", "marks", "parts", "room")
+
+    def __init__(self):
+        self.lines: dict[str, tuple[int, int, tuple[int, ...]]] = {}
+        self.parts: dict[str, int] = {}
+        self.marks: dict[str, tuple[int, str]] = {}
+        self.room = ROOM
+
+    def keep(self, of: dict, text: str, value):
+        if len(text) < 1000:
+            self.room -= len(text) + 50
+            if self.room < 0:
+                self.lines, self.parts, self.marks, self.room = {}, {}, {}, ROOM
+            else:
+                of[text] = value
+        return value
+
+    def line(self, line: str) -> tuple[int, int, tuple[int, ...]]:
+        """(hash, flags, hashes of its parts where it has several)."""
+        plain, parts = _plain(line), ()
+        # A line without a sign between spaces has one part; signs beyond ASCII leave two spaces.
+        if b"  " in plain or "\xa0" in line or _BETWEEN.search(plain):
+            parts = _PARTS.split(line)
+            parts = tuple([self.parts.get(x) or self.keep(self.parts, x, line_hash(x)) for x in parts]) if len(parts) > 1 else ()
+        return self.keep(self.lines, line, (line_hash(line, plain), _flags(line), parts))
+
+    def boxes(self, line: str) -> tuple[int, str]:
+        """How many boxes begin or end in a line of markup, and what the last of them leaves open."""
+        n, box = 0, ""
+        for m in _BOX.finditer(line):
+            n += 1
+            c = _CLASS.search(m[3])
+            box = "" if m[1] else f"{m[2].lower()}.{_FIGURES.sub('', c[1]) if c else ''}"
+        return self.keep(self.marks, line, (n, box))
 
 
 class Page:
@@ -116,29 +156,28 @@ class Page:
     __slots__ = ("at", "boxes", "copies", "flags", "heads", "host", "keys", "number", "off", "parts", "places")
 
     @classmethod
-    def read(cls, text: str, markup: bool, known: dict[str, tuple]) -> Page:
+    def read(cls, text: str, markup: bool, known: Known) -> Page:
         page = cls()
         raw = text.split("\n")
         page.boxes = page.heads = None
         if markup:
-            shown = shown_lines(text)
-            box, boxes, heads, number = "", [], [], 0
-            for line, seen in zip(raw, shown):
-                if not seen:
-                    for m in _BOX.finditer(line):
-                        number += 1
-                        c = _CLASS.search(m[3])
-                        box = "" if m[1] else f"{m[2].lower()}.{_FIGURES.sub('', c[1]) if c else ''}"
-                boxes.append((number, box))
-                heads.append(bool(_HEADING.search(line)))
-            page.at = [i for i, x in enumerate(shown) if x]
-            lines = [shown[i] for i in page.at]
-            page.boxes, page.heads = [boxes[i] for i in page.at], [heads[i] for i in page.at]
+            box, number = "", 0
+            page.at, page.boxes, page.heads, lines = [], [], [], []
+            for i, (line, seen) in enumerate(zip(raw, shown_lines(text))):
+                if seen:
+                    lines.append(seen)
+                    page.at.append(i)
+                    page.boxes.append((number, box))
+                    page.heads.append(_HEADING.search(line) is not None)
+                elif "<" in line:
+                    n, last = known.marks.get(line) or known.boxes(line)
+                    if n:
+                        number, box = number + n, last
         else:
             lines = [x.strip() for x in raw]
             page.at = [i for i, x in enumerate(lines) if x]
             lines = [lines[i] for i in page.at]
-        found = [known.get(x) or (known.setdefault(x, _read_line(x)) if len(x) < 60 and len(known) < 200_000 else _read_line(x)) for x in lines]
+        found = [known.lines.get(x) or known.line(x) for x in lines]
         page.keys, page.flags = [x[0] for x in found], bytes([x[1] for x in found])
         page.parts = {i: x[2] for i, x in enumerate(found) if x[2]}
         return page
@@ -160,28 +199,6 @@ class Page:
             self.places.setdefault(self.keys[j], []).append(j)
 
 
-class Pairings:
-    """Counts of lines over a host's pairings: [met, aligned], and both with each pair of pages counting ``WHOLE`` in all."""
-
-    def __init__(self):
-        self.counts: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
-
-    def compare(self, page: Page, other: Page, weight: int) -> None:
-        """Count one pairing for both pages."""
-        same = common_lines(page.keys, other.places)
-        if len(same) >= 0.9 * min(len(page.keys), len(other.keys)):  # a copy or a version of the page
-            return
-        for places in (page.places, other.places):
-            for key in places:
-                n = self.counts[key]
-                n[0] += 1
-                n[2] += weight
-        for key in set(same):
-            n = self.counts[key]
-            n[1] += 2
-            n[3] += 2 * weight
-
-
 class HostTemplates:
     """Template lines of a host, their parts, and its lead-ins, as hashes of keys."""
 
@@ -269,7 +286,7 @@ class HostTemplates:
 
 WHOLE = 1 << 24
 _COUNTS = "host string, key bigint, met bigint, aligned bigint, met_whole bigint, aligned_whole bigint, parts array<bigint>"
-_KINDS = "what int, number bigint, key bigint, n bigint, known bigint, at array<int>"
+_KINDS = "what int, number bigint, at array<int>, keys array<bigint>, n array<bigint>, known array<bigint>"
 
 
 def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
@@ -280,7 +297,7 @@ def read_pages(rows: DataFrame) -> DataFrame:
     """(src, rec_id, host, page, digest, packed): each text as its lines' hashes; equal texts of a page have one digest."""
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple] = {}
+        known = Known()
         for part in parts:
             marked = (part["src"] == "pages").tolist()
             texts, pages = part["text"].tolist(), part["page"].tolist()
@@ -291,17 +308,52 @@ def read_pages(rows: DataFrame) -> DataFrame:
     return rows.select("src", "rec_id", "host", "page", "text").mapInPandas(read, "src string, rec_id bigint, host string, page string, digest binary, packed binary")
 
 
+_SUMS = ["met", "aligned", "met_whole", "aligned_whole"]
+
+
+def _summed(found: list[tuple[str, tuple[int, int, int, int], list[int]]]) -> pd.DataFrame:
+    """Counts by (host, key), from (host, counts of each key, keys)."""
+    hosts, codes = np.unique(np.array([x[0] for x in found], object), return_inverse=True)
+    sizes = np.array([len(x[2]) for x in found], np.int64)
+    rows = pd.DataFrame({"host": np.repeat(codes, sizes), "key": np.fromiter(chain.from_iterable(x[2] for x in found), np.int64, sizes.sum())})
+    rows[_SUMS] = np.repeat(np.array([x[1] for x in found], np.int64).reshape(-1, 4), sizes, axis=0)
+    rows = rows.groupby(["host", "key"], sort=False, as_index=False).sum()
+    return rows.assign(host=hosts[rows["host"].to_numpy(np.int64)])
+
+
 def _compared(texts: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-    """Counts of lines over the block's pairings, by host."""
+    """Counts of lines over the block's pairings, by host: met, aligned, and both with each pair of pages counting ``WHOLE`` in all."""
     pages: dict[int, Page] = {}
     for number, host, packed in zip(texts["number"], texts["host"], texts["packed"]):
         page = pages[number] = Page.unpacked(number, host, 1, packed)
         page.place()
-    hosts: dict[str, Pairings] = defaultdict(Pairings)
+    met, weights, sums, found, held = Counter(), Counter(), [], [], 0
+
+    def count(host: str, counts: tuple[int, int, int, int], keys: list[int]) -> None:
+        nonlocal held
+        found.append((host, counts, keys))
+        held += len(keys)
+        if held > 500_000:
+            sums.append(_summed(found))
+            found.clear()
+            held = 0
+
     for a, b, weight in zip(pairs["a"], pairs["b"], pairs["weight"]):
-        hosts[pages[a].host].compare(pages[a], pages[b], weight)
+        page, other = pages[a], pages[b]
+        same = common_lines(page.keys, other.places)
+        if len(same) >= 0.9 * min(len(page.keys), len(other.keys)):  # a copy or a version of the page
+            continue
+        for x in (a, b):  # one pairing for both pages
+            met[x] += 1
+            weights[x] += weight
+        count(page.host, (0, 2, 0, 2 * weight), list(set(same)))
+    for x, n in met.items():
+        count(pages[x].host, (n, 0, weights[x], 0), list(pages[x].places))
+    rows = pd.concat([*sums, _summed(found)], ignore_index=True)
+    if sums:
+        rows = rows.groupby(["host", "key"], sort=False, as_index=False).sum()
     parts = {(p.host, p.keys[i]): list(x) for p in pages.values() for i, x in p.parts.items()}
-    return _frame([(host, key, *n, parts.get((host, key))) for host, of in hosts.items() for key, n in of.counts.items()], _COUNTS)
+    return rows.assign(parts=[parts.get(x) for x in zip(rows["host"].tolist(), rows["key"].tolist())])
 
 
 def _over_blocks(single: DataFrame, known: DataFrame, step: Callable[[HostTemplates, list[Page]], Iterator[tuple]], schema: str) -> DataFrame:
@@ -331,25 +383,26 @@ def _leads(templates: HostTemplates, pages: list[Page]) -> Iterator[tuple[str, i
 
 
 def _kinds(templates: HostTemplates, pages: list[Page]) -> Iterator[tuple]:
-    """What 0: the lines outside the main body of each text; 1: how often a line occurs and is a template line; 2: lines left open."""
+    """What 0: the lines outside the main body of each text; 1: how often lines occur and are template lines; 2: lines of a text left open."""
     seen, known = Counter(), Counter()
     for page in pages:
         page.off = templates.plain_off(page)
         outside = templates.outside(page)
         boxed = page.boxes is not None and len(set(page.boxes)) > 1
+        keys, at, copies = page.keys, page.at, page.copies
         if outside:
-            yield 0, page.number, 0, 0, 0, [page.at[i] for i in outside]
+            yield 0, page.number, np.array([at[i] for i in outside], np.int32), None, None, None
         for i in outside:
-            seen[page.keys[i]] += page.copies
-            known[page.keys[i]] += page.copies * page.off[i]
+            seen[keys[i]] += copies
+            if page.off[i]:
+                known[keys[i]] += copies
         rest = set(outside)
-        for i, (key, flags) in enumerate(zip(page.keys, page.flags)):
-            if i not in rest and not flags & SENTENCE:
-                seen[key] += page.copies
-                if not boxed:
-                    yield 2, page.number, key, 0, 0, [page.at[i]]
-    for key, n in seen.items():
-        yield 1, 0, key, n, known[key], None
+        left = [i for i, flags in enumerate(page.flags) if not flags & SENTENCE and i not in rest]
+        for i in left:
+            seen[keys[i]] += copies
+        if left and not boxed:
+            yield 2, page.number, np.array([at[i] for i in left], np.int32), np.array([keys[i] for i in left], np.int64), None, None
+    yield 1, 0, None, np.fromiter(seen, np.int64, len(seen)), np.fromiter(seen.values(), np.int64, len(seen)), np.array([known[x] for x in seen], np.int64)
 
 
 def _numbered(parts: DataFrame, part: str, offset: str) -> DataFrame:
@@ -400,8 +453,10 @@ def boilerplate_lists(texts: DataFrame, neighbours: int = NEIGHBOURS, least_shar
     leads = written(leads.filter((F.col("led") >= 2) & (F.col("led") >= 0.6 * F.col("seen"))).select("host", F.lit(2).alias("what"), "key"))
     kinds = written(_over_blocks(single, known.unionByName(leads), _kinds, _KINDS))
     # Lines that mostly are template lines where they occur are so on pages, too, whose neighbours lack them.
-    usual = kinds.filter("what = 1").groupBy("key").agg(F.sum("known").alias("known"), F.sum("n").alias("n")).filter((F.col("known") >= 3) & (F.col("known") >= 0.5 * F.col("n"))).select("key")
-    out = kinds.filter("what = 0").select("number", "at").unionByName(kinds.filter("what = 2").join(usual, "key", "left_semi").select("number", "at"))
+    counted = kinds.filter("what = 1").select(F.inline(F.arrays_zip(F.col("keys").alias("key"), "n", "known")))
+    usual = counted.groupBy("key").agg(F.sum("known").alias("known"), F.sum("n").alias("n")).filter((F.col("known") >= 3) & (F.col("known") >= 0.5 * F.col("n"))).select("key")
+    left = kinds.filter("what = 2").select("number", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("at").alias("line_no"))))
+    out = kinds.filter("what = 0").select("number", "at").unionByName(left.join(usual, "key", "left_semi").select("number", F.array("line_no").alias("at")))
     named = out.join(single.select("number", "digest"), "number").select("digest", F.col("at").alias("line_nos"))
     return read.select("src", "rec_id", "digest").join(named, "digest").select("src", "rec_id", "line_nos")
 

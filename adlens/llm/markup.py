@@ -24,7 +24,13 @@ def shown_text(line: str) -> str:
 
 def shown_lines(page: str) -> list[str]:
     """For each line of ``page`` (split at newline characters) the text it shows, '' for none."""
-    return [_read(x) if x else x for x in _TAG.sub(_blank, _HIDDEN.sub(_blank, page)).split("\n")]
+    page = _HIDDEN.sub(_blank, page)
+    shown = _TAG.sub("", page)
+    if shown.count("\n") != page.count("\n"):  # a tag goes over several lines
+        shown = _TAG.sub(_blank, page)
+    if "&" in shown:
+        return [_read(x) for x in shown.split("\n")]
+    return [x.strip() for x in shown.replace("\xa0", " ").split("\n")]
 
 
 def notice_lines(page: str) -> list[str]:

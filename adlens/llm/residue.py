@@ -256,9 +256,12 @@ def fit(lines: pd.DataFrame, penalty: float = 1e-4, rounds: int = 200, rate: flo
 def scores(weights: np.ndarray, lines: pa.Array, first: np.ndarray, alone: np.ndarray) -> np.ndarray:
     if not len(lines):
         return np.zeros(0)
-    row, feat = features(lines, first, alone)
-    n = np.bincount(row, minlength=len(lines))
-    return np.bincount(row, weights[feat], len(lines)) / np.sqrt(np.maximum(n, 1)) + weights[-1]
+    # Equal lines in equal places are scored once.
+    kinds = np.asarray(lines.dictionary_encode().indices).astype(np.int64) * 4 + np.asarray(first, bool) * 2 + np.asarray(alone, bool)
+    _, at, same = np.unique(kinds, return_index=True, return_inverse=True)
+    row, feat = features(lines.take(pa.array(at)), first[at], alone[at])
+    n = np.bincount(row, minlength=len(at))
+    return (np.bincount(row, weights[feat], len(at)) / np.sqrt(np.maximum(n, 1)) + weights[-1])[same]
 
 
 def _scored(weights: np.ndarray, lines: pd.DataFrame) -> np.ndarray:

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from adlens.llm import boilerplate as boilerplate_module
 from adlens.llm import contamination, mojibake
+from adlens.llm import residue as residue_module
 from adlens.llm.boilerplate import boilerplate, common_lines, line_key
 from adlens.llm.contamination import WuManber, leaked, windows
 from adlens.llm.lookalike import respelled
+from adlens.llm.markup import shown_lines
 from adlens.llm.pii import personal_information, redacted
 from adlens.llm.residue import fit, labelled_lines, least_score, residue, residue_vote, scores, trained, validated
 
@@ -236,6 +238,36 @@ def test_boilerplate_of_later_versions(spark):
     assert notes <= got
 
 
+def test_repeated_lines_are_read_and_scored_once(monkeypatch):
+    hashed, scored = [], []
+    line_hash, features = boilerplate_module.line_hash, residue_module.features
+    monkeypatch.setattr(boilerplate_module, "line_hash", lambda line, plain=None: hashed.append(line) or line_hash(line, plain))
+    monkeypatch.setattr(residue_module, "features", lambda lines, first, alone: scored.append(len(lines)) or features(lines, first, alone))
+    long = "This notice on cookies – shown on all pages of the shop – is much longer than a menu entry would ever be."
+    text = f"{long}\nHome | Shop | Help\n{long}"
+    known = boilerplate_module.Known()
+    pages = [boilerplate_module.Page.read(text, False, known) for _ in range(5)]
+    assert len(hashed) == len(set(hashed)) == 8  # two lines, three parts each
+    assert {(tuple(p.keys), p.flags, tuple(p.parts)) for p in pages} == {(tuple(map(line_hash, text.split("\n"))), pages[0].flags, (0, 1, 2))}
+    monkeypatch.setattr(boilerplate_module, "ROOM", 300)  # less than the two lines and their parts need
+    known = boilerplate_module.Known()
+    again = [boilerplate_module.Page.read(text, False, known) for _ in range(5)]
+    assert [(p.keys, p.flags, p.parts) for p in again] == [(p.keys, p.flags, p.parts) for p in pages]
+    weights = np.random.default_rng(0).normal(size=residue_module.DIM + 1)
+    own = text.split("\n") * 4
+    first = np.arange(len(own)) % 3 == 0
+    z = residue_module.scores(weights, pa.array(own, pa.large_string()), first, np.zeros(len(own), bool))
+    assert scored == [3]  # the long line is first in its text or not
+    alone = [float(residue_module.scores(weights, pa.array([x], pa.large_string()), first[i : i + 1], np.zeros(1, bool))[0]) for i, x in enumerate(own)]
+    assert np.allclose(z, alone, rtol=0, atol=1e-12)
+
+
+def test_shown_lines_of_tags_over_several_lines():
+    page = "<p class='a'>One &amp; two</p>\n<p\n class='b'>Three<br\n/> four</p>\n\xa0Five <b>six</b>\n<!-- no\nno -->seven"
+    assert shown_lines(page) == ["One & two", "", "Three", "four", "Five six", "", "seven"]
+    assert shown_lines(page.replace("&amp; ", "")) == ["One two", "", "Three", "four", "Five six", "", "seven"]
+
+
 def test_boilerplate_in_markup(spark):
     rng = random.Random(4)
     texts, urls, want = [], [], set()
